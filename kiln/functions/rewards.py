@@ -183,6 +183,24 @@ def repetition_penalty_reward(
     )
 
 
+def with_repetition_penalty(
+    df, text: str, ngram_size: int, max_penalty: float, out: str = "repetition_penalty"
+):
+    """DataFrame form of R13: words are computed once in their own projection."""
+    if max_penalty > 0:
+        raise ValueError(f"max_penalty {max_penalty} should not be positive")
+    w = df.withColumn("_rp_words", split_words(text, lower=True))
+    total = F.size("_rp_words") - F.lit(ngram_size - 1)
+    distinct = F.size(F.array_distinct(word_ngrams("_rp_words", ngram_size)))
+    scaled = (F.lit(1.0) - distinct.cast("double") / total.cast("double")) * F.lit(float(max_penalty))
+    val = (
+        F.when(F.col(text) == "", _d(0.0))
+        .when(F.size("_rp_words") < ngram_size, _d(0.0))
+        .otherwise(scaled)
+    )
+    return w.withColumn(out, val).drop("_rp_words")
+
+
 # R17
 def soft_overlong_punishment(length: Column, max_completion_len: int, soft_punish_cache: int) -> Column:
     """DAPO soft overlong penalty from a completion length (e.g. ``size(ids)``)."""

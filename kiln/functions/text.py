@@ -35,14 +35,26 @@ def normalize_text(c: Column | str) -> Column:
     return F.array_join(split_words(c, lower=True), " ")
 
 
-def word_ngrams(words: Column, n: int) -> Column:
-    """Word n-grams (joined by one space) of a word array; fewer than n words → empty."""
+def word_ngrams(words: Column | str, n: int) -> Column:
+    """Word n-grams (joined by one space) of a word array; fewer than n words → empty.
+
+    Pass the *name* of a column holding the words (computed once in an
+    earlier projection) for the fastest plan: the lambda then reads an
+    attribute. A Column expression is accepted too; it is expanded as n
+    shifted slices zipped together, so the words expression is evaluated a
+    fixed number of times per row instead of once per position.
+    """
+    empty = F.array().cast("array<string>")
+    if isinstance(words, str):
+        w = F.col(words)
+        size = F.size(w)
+        grams = F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(size >= n, grams).otherwise(empty)
     size = F.size(words)
-    grams = F.transform(
-        F.sequence(F.lit(1), size - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+    slices = [F.slice(words, i + 1, F.greatest(size - F.lit(n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)]
+    fields = [f"w{i}" for i in range(n)]
+    grams = F.transform(F.arrays_zip(*slices), lambda s: F.concat_ws(" ", *[s[f] for f in fields]))
+    return F.when(size >= n, grams).otherwise(empty)
 
 
 def count_occurrences(c: Column | str, sub: str) -> Column:

@@ -29,8 +29,14 @@ FLAG_PREFIX = "contaminated_"
 
 def ngram_set(df: DataFrame, text: str, n: int) -> DataFrame:
     """Rows → distinct n-gram strings of the normalised text (column ``ngram``)."""
-    grams = F.array_distinct(word_ngrams(split_words(text, lower=True), n))
-    return df.select(F.explode(grams).alias("ngram")).distinct()
+    words = df.select(split_words(text, lower=True).alias("_w"))
+    return words.select(F.explode(F.array_distinct(word_ngrams("_w", n))).alias("ngram")).distinct()
+
+
+def _doc_grams(corpus: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``(key, ngram)`` for each distinct n-gram of each row (words computed once per row)."""
+    words = corpus.select(F.col(key), split_words(text, lower=True).alias("_w"))
+    return words.select(F.col(key), F.explode(F.array_distinct(word_ngrams("_w", n))).alias("ngram"))
 
 
 def benchmark_ngrams(benchmarks: Mapping[str, tuple[DataFrame, str]], n: int = 8) -> DataFrame:
@@ -51,9 +57,7 @@ def contamination_hits(
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark."""
-    doc_grams = corpus.select(
-        F.col(key), F.explode(F.array_distinct(word_ngrams(split_words(text, lower=True), n))).alias("ngram")
-    )
+    doc_grams = _doc_grams(corpus, key, text, n)
     small, is_bc = broadcast_if_small(bench_grams, max_broadcast_rows)
     if is_bc:
         return doc_grams.join(small, "ngram", "inner").select(key, "benchmark").distinct()
@@ -62,9 +66,7 @@ def contamination_hits(
     hashed_bench = bench_grams.select(F.xxhash64("ngram").alias("h")).distinct()
     cand_keys = hashed_docs.join(hashed_bench, "h", "left_semi").select(key).distinct()
     cand = corpus.join(cand_keys, key, "left_semi")
-    cand_grams = cand.select(
-        F.col(key), F.explode(F.array_distinct(word_ngrams(split_words(text, lower=True), n))).alias("ngram")
-    )
+    cand_grams = _doc_grams(cand, key, text, n)
     return cand_grams.join(bench_grams, "ngram", "inner").select(key, "benchmark").distinct()
 
 

@@ -123,7 +123,11 @@ def collect_generations(
     keys = _keys(group)
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(v) for v in values])))
     g = df.groupBy(*keys).agg(packed.alias("_p"))
-    return g.select(*keys, *[F.transform("_p", lambda s, v=v: s[v]).alias(f"{v}s") for v in values])
+    return g.select(*keys, *[F.transform("_p", _field(v)).alias(f"{v}s") for v in values])
+
+
+def _field(name: str):
+    return lambda s: s[name]
 
 
 # W3
