@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "kiln.plans.scoring",
     "kiln.plans.cleaning",
+    "kiln.plans.mixing",
 )
 
 
