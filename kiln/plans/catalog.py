@@ -8,6 +8,7 @@ MODULES = (
     "kiln.plans.scoring",
     "kiln.plans.cleaning",
     "kiln.plans.mixing",
+    "kiln.plans.grading",
 )
 
 
