@@ -9,6 +9,7 @@ MODULES = (
     "kiln.plans.cleaning",
     "kiln.plans.mixing",
     "kiln.plans.grading",
+    "kiln.plans.curation",
 )
 
 
