@@ -10,6 +10,7 @@ MODULES = (
     "kiln.plans.mixing",
     "kiln.plans.grading",
     "kiln.plans.curation",
+    "kiln.plans.tokens",
 )
 
 
