@@ -11,6 +11,7 @@ MODULES = (
     "kiln.plans.grading",
     "kiln.plans.curation",
     "kiln.plans.tokens",
+    "kiln.plans.streams",
 )
 
 

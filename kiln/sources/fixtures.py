@@ -24,7 +24,12 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: doc_id, prompt_id, gen_idx, gold, solution, completion.
     """
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return rollouts_from(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def rollouts_from(docs: DataFrame) -> DataFrame:
+    """The rollout reshaping on any frame with ``doc_id, text`` (batch or stream)."""
+    d = docs.select("doc_id", "text")
     pid = F.floor(F.col("doc_id") / 4).cast("bigint")
     gold = _s(pid % 7)
     pred = F.when(F.col("doc_id") % 3 == 0, _s(pid % 7)).otherwise(_s(F.col("doc_id") % 7))
