@@ -12,6 +12,7 @@ MODULES = (
     "kiln.plans.curation",
     "kiln.plans.tokens",
     "kiln.plans.streams",
+    "kiln.plans.files",
 )
 
 
