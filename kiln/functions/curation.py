@@ -62,9 +62,10 @@ def split_reasoning_answer(c: Column | str, on_error: str = "raise") -> tuple[Co
     if on_error == "raise":
         guard = F.when(bad, F.raise_error(F.concat(F.lit("more than one '####' in answer: "), F.substring(x, 1, 80))))
         reasoning = F.coalesce(guard, F.when(n == 2, py_strip(F.get(parts, 0))))
+        result = F.coalesce(guard, F.when(n == 2, py_strip(F.get(parts, 1))))
     else:
         reasoning = F.when(n == 2, py_strip(F.get(parts, 0)))
-    result = F.when(n == 2, py_strip(F.get(parts, 1)))
+        result = F.when(n == 2, py_strip(F.get(parts, 1)))
     return reasoning, result
 
 

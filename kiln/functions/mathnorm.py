@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .text import col_of, first_between, py_strip
 
-_BOXED = r"\\boxed\{([^{}]*)\}"
+# ``\boxed{…}`` whose content may nest braces two levels deep (e.g. ``\frac{a}{b}``).
+_BRACED = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
+_BOXED = r"\\boxed\{(" + _BRACED + r")\}"
 _FRAC = r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}"
 _NUM_FRAC = r"^(-?[0-9]+(?:\.[0-9]+)?)/(-?[0-9]+(?:\.[0-9]+)?)$"
 

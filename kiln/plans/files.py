@@ -68,7 +68,7 @@ FROM p
 """
 
 
-@query("publish_and_merge", ids=("SNK2", "SNK3", "SNK6", "SRC6"), sql=_PUBLISH_SQL)
+@query("publish_and_merge", ids=("SNK2", "SNK3", "SNK6"), sql=_PUBLISH_SQL)
 def q_publish_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pass rates published as two configs (kept band / the rest), re-publish skipped, merged back."""
     r = rollouts(spark, sf_dir).select("prompt_id", R.accuracy_reward("completion", "solution").alias("acc"))

@@ -172,9 +172,12 @@ def q_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_repetition_penalty(d, "text", 3, -1.0).select("doc_id", "repetition_penalty")
 
 
+_BRACED_SQL = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
+
+
 def _sql_answer_text(x: str) -> str:
     return (
-        f"coalesce(regexp_extract_all({x}, '\\\\boxed\\{{([^{{}}]*)\\}}', 1)[-1], "
+        f"coalesce(regexp_extract_all({x}, '\\\\boxed\\{{({_BRACED_SQL})\\}}', 1)[-1], "
         f"CASE WHEN instr({x}, '<answer>') > 0 THEN {S.first_tag(x, '<answer>', '</answer>')} END, {x})"
     )
 
