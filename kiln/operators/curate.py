@@ -119,3 +119,14 @@ def preview(df: DataFrame, long_col: str = "response", n: int = 200) -> DataFram
     """A response cut at n characters with ``...`` appended when longer."""
     c = F.col(long_col)
     return df.withColumn(long_col, F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c))
+
+
+def single_value(df: DataFrame, col: str) -> bool:
+    """Whether ``col`` holds exactly one distinct value (reads at most two)."""
+    return df.select(col).distinct().limit(2).count() == 1
+
+
+def assert_single_value(df: DataFrame, col: str, what: str = "language") -> None:
+    """Raise when rows disagree on ``col`` (the enforce-same-language option)."""
+    if not single_value(df, col):
+        raise ValueError(f"All rows must have the same {what}")

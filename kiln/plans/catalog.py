@@ -13,6 +13,7 @@ MODULES = (
     "kiln.plans.tokens",
     "kiln.plans.streams",
     "kiln.plans.files",
+    "kiln.plans.extras",
 )
 
 
