@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -373,3 +374,34 @@ def q_all_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
         R.accuracy_reward(F.col("completion"), alt).alias("accuracy_alt"),
     )
     return G.rows_with_all_rewards_missing(s, ["accuracy", "accuracy_alt"]).select("doc_id")
+
+
+def _char_segmenter():
+    """Stand-in word segmenter hook: every character is a token (an Arrow-batched pandas UDF)."""
+
+    @F.pandas_udf("array<string>")
+    def seg(s: pd.Series) -> pd.Series:
+        return s.map(list)
+
+    return seg
+
+
+_REP_SEG_SQL = f"""
+SELECT doc_id,
+       CASE WHEN text = '' THEN 0.0 WHEN len(w) < 3 THEN 0.0
+            ELSE (1 - len(list_distinct(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) / (len(w) - 2)) * (-1.0)
+       END::DOUBLE AS repetition_penalty
+FROM (SELECT doc_id, text, string_split(text, '') AS w FROM documents WHERE lang <> 'en')
+"""
+
+
+@query("reward_repetition_segmented", ids=("R14",), sql=_REP_SEG_SQL)
+def q_repetition_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition penalty for non-English documents through a segmenter hook (character tokens)."""
+    from ..sources.tables import read_table
+
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).filter(F.col("lang") != "en")
+    seg = _char_segmenter()
+    return d.select(
+        "doc_id", R.repetition_penalty_reward("text", 3, -1.0, language="zh", segmenter=seg).alias("repetition_penalty")
+    )
