@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +59,8 @@ def contamination_hits(
 ) -> DataFrame:
     """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark."""
     doc_grams = _doc_grams(corpus, key, text, n)
+    # Counted first, then broadcast: keep the (small) table so it is built once.
+    bench_grams = bench_grams.persist(StorageLevel.MEMORY_AND_DISK)
     small, is_bc = broadcast_if_small(bench_grams, max_broadcast_rows)
     if is_bc:
         return doc_grams.join(small, "ngram", "inner").select(key, "benchmark").distinct()

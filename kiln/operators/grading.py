@@ -97,6 +97,7 @@ def subtask_scores(
     keys: Sequence[str] = ("submission_id", "subtask"),
     points: Column | None = None,
     precision: int = 2,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Subtask score = round(min test score), weighted by points; worst status.
 
@@ -110,6 +111,7 @@ def subtask_scores(
         F.bround(F.min("score") * F.first("_pts"), precision).alias("weighted_score"),
         F.min_by("status", "_prio").alias("subtask_status"),
         F.count(F.lit(1)).alias("n_tests"),
+        *extra,
     )
 
 

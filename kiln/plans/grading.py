@@ -95,9 +95,8 @@ FROM e GROUP BY submission_id, subtask
 def q_ioi_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests after the first failing batch stay SKIPPED with score 0; then subtask scores."""
     r = GR.apply_early_stop(GR.with_test_status(test_results(spark, sf_dir)), ("submission_id", "subtask"))
-    sub = GR.subtask_scores(r, ("submission_id", "subtask"), points=_points())
-    skipped = r.groupBy("submission_id", "subtask").agg(F.count(F.when(F.col("status") == "SKIPPED", 1)).alias("n_skipped"))
-    return sub.join(skipped, ["submission_id", "subtask"], "inner")
+    n_skipped = F.count(F.when(F.col("status") == "SKIPPED", 1)).alias("n_skipped")
+    return GR.subtask_scores(r, ("submission_id", "subtask"), points=_points(), extra=[n_skipped])
 
 
 def _stdout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
