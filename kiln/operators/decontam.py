@@ -7,7 +7,8 @@ Plan shape (one pass over the corpus, no shuffle of the corpus text):
 2. corpus rows → ``array_distinct`` of their 8-grams → ``explode`` →
    broadcast hash join on the n-gram string (exact, no hash collisions) →
    distinct ``(row key, benchmark)`` hits (tiny);
-3. flags per row = left join of the corpus with the hit list on the key.
+3. flags per row = left join of the corpus with the per-row flags, broadcast
+   after a count when few rows are hit (no shuffle of the corpus then).
 
 If the benchmark n-gram set is above the broadcast bound, step 2 becomes a
 shuffle join on ``xxhash64(ngram)`` (8-byte keys) followed by an exact
@@ -87,6 +88,10 @@ def decontaminate(
     flags = hits.groupBy(key).agg(
         *[F.max(F.col("benchmark") == F.lit(nm)).alias(FLAG_PREFIX + nm) for nm in names]
     )
+    # Only contaminated rows have a flag row; when they are few (counted) the
+    # flags are broadcast and the corpus is joined without being shuffled.
+    flags = flags.persist(StorageLevel.MEMORY_AND_DISK)
+    flags, _ = broadcast_if_small(flags, max_broadcast_rows)
     out = corpus.join(flags, key, "left")
     for nm in names:
         out = out.withColumn(FLAG_PREFIX + nm, F.coalesce(F.col(FLAG_PREFIX + nm), F.lit(False)))

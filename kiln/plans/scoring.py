@@ -28,10 +28,21 @@ def score_rollouts(r: DataFrame) -> DataFrame:
     )
 
 
-def score_and_advantage(r: DataFrame, scale_rewards: bool = True) -> DataFrame:
-    scored = score_rollouts(r)
-    total = scored.withColumn("reward", G.weighted_reward_sum(["accuracy", "format"]))
-    return G.group_advantages(total, "reward", "prompt_id", scale_rewards=scale_rewards)
+def score_and_advantage(r: DataFrame, scale_rewards: bool = True, materialize: bool = True) -> DataFrame:
+    """Rewards are computed once per row; the narrow scored table (ids + rewards,
+    no text) is written to the checkpoint folder so the group statistics and
+    the per-row side of the join both read it instead of re-running the
+    regexes over the completions."""
+    scored = score_rollouts(r).select(
+        "doc_id", "prompt_id", "gen_idx", "accuracy", "format",
+        G.weighted_reward_sum(["accuracy", "format"]).alias("reward"),
+    )
+    if materialize:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(scored.sparkSession)
+        scored = scored.checkpoint(eager=True)
+    return G.group_advantages(scored, "reward", "prompt_id", scale_rewards=scale_rewards)
 
 
 _ADV_SQL = f"""
