@@ -2,8 +2,9 @@
 
 Randomness is a seeded hash of a unique row key, so every step is
 deterministic, independent of partitioning, and re-runnable after executor
-loss. "First k of the shuffled order" uses an exact global rank
-(``ranking.global_row_number``), never Bernoulli ``sample``.
+loss. "First k of the shuffled order" is exact, never Bernoulli ``sample``:
+the k-th order key is found on a narrow ranked projection of the keys
+(``ranking.first_k``) and the rows are then selected by a plain filter.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number, seeded_order_key
+from .ranking import first_k, global_row_number, seeded_order_key
 
 
 @dataclass
@@ -47,8 +48,7 @@ def exact_fraction(df: DataFrame, key: str, seed: int, weight: float | None) ->
         return df
     n = df.count()
     k = int(n * weight)
-    r = global_row_number(df, [seeded_order_key(seed, key), F.col(key)], out="_rk")
-    return r.filter(F.col("_rk") <= F.lit(k)).drop("_rk")
+    return first_k(df, [seeded_order_key(seed, key), F.col(key)], k)
 
 
 def check_columns(frames: Sequence[DataFrame]) -> None:
@@ -105,11 +105,13 @@ def pad_to_multiple(df: DataFrame, key: str, multiple: int = 32, seed: int = 0)
     base = df.withColumn("is_padding", F.lit(False))
     if pad == 0 or n == 0:
         return base
-    ranked = global_row_number(df, [F.col(key)], out="_rk")
+    # Rank only the keys; the (< multiple) picked keys are broadcast back to the rows.
+    ranked = global_row_number(df.select(key), [F.col(key)], out="_rk")
     picks = df.sparkSession.range(pad).select(
         (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)) + 1).alias("_rk")
     )
-    extra = ranked.join(F.broadcast(picks), "_rk", "inner").drop("_rk").withColumn("is_padding", F.lit(True))
+    picked = ranked.join(F.broadcast(picks), "_rk", "inner").select(key)
+    extra = df.join(F.broadcast(picked), key, "inner").withColumn("is_padding", F.lit(True))
     return base.unionByName(extra)
 
 

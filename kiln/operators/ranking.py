@@ -58,6 +58,44 @@ def global_row_number(
     return tagged.withColumn(out, off + local + F.lit(1)).drop("_pid", "_mid")
 
 
+def order_values_at(df: DataFrame, order: Sequence[str | Column], ranks: Sequence[int]) -> dict[int, tuple]:
+    """The order-key tuples at the given 1-based ranks (at most ``len(ranks)`` rows reach the driver).
+
+    Only a narrow projection of the order keys is ranked and checkpointed.
+    """
+    cols = _order_cols(order)
+    narrow = df.select(*[c.alias(f"_o{i}") for i, c in enumerate(cols)])
+    names = [f"_o{i}" for i in range(len(cols))]
+    ranked = global_row_number(narrow, names, out="_rk")
+    rows = ranked.filter(F.col("_rk").isin(*[int(r) for r in ranks])).collect()
+    return {r["_rk"]: tuple(r[n] for n in names) for r in rows}
+
+
+def order_key(order: Sequence[str | Column]) -> Column:
+    """The order keys as one struct; structs compare field by field."""
+    return F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(_order_cols(order))])
+
+
+def key_literal(values: tuple, like: DataFrame, order: Sequence[str | Column]) -> Column:
+    """A struct literal with the same field types as :func:`order_key`."""
+    types = like.select(order_key(order).alias("k")).schema["k"].dataType
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, types.fields)])
+
+
+def first_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
+    """The first k rows in a unique total order, as a filter on the original rows.
+
+    The k-th key is found on a narrow ranked projection; the table itself is
+    only filtered (no full-row shuffle, sort or write).
+    """
+    if k <= 0:
+        return df.limit(0)
+    at = order_values_at(df, order, [k])
+    if k not in at:
+        return df
+    return df.filter(order_key(order) <= key_literal(at[k], df, order))
+
+
 def rank_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "rank") -> DataFrame:
     """1-based position inside each group, skew-safe.
 
@@ -79,12 +117,24 @@ def seeded_order_key(seed: int, *keys: str | Column) -> Column:
 
 
 def row_slice(df: DataFrame, order: Sequence[str | Column], start: int, end: int | None) -> DataFrame:
-    """SRC7: rows ``[start, end)`` of the ordered table (0-based, like ``range``)."""
-    r = global_row_number(df, order, out="_rn")
-    cond = F.col("_rn") > F.lit(start)
-    if end is not None:
-        cond = cond & (F.col("_rn") <= F.lit(end))
-    return r.filter(cond).drop("_rn")
+    """SRC7: rows ``[start, end)`` of the table in a unique order (0-based, like ``range``).
+
+    The boundary keys are read from a narrow ranked projection; the rows are
+    then selected with a range predicate on the order key.
+    """
+    wanted = [r for r in (start, end) if r is not None and r > 0]
+    at = order_values_at(df, order, wanted)
+    cond = F.lit(True)
+    key = order_key(order)
+    if start > 0:
+        if start not in at:
+            return df.limit(0)
+        cond = cond & (key > key_literal(at[start], df, order))
+    if end is not None and end in at:
+        cond = cond & (key <= key_literal(at[end], df, order))
+    elif end is not None and end <= 0:
+        return df.limit(0)
+    return df.filter(cond)
 
 
 def batch_ids(df: DataFrame, order: Sequence[str | Column], batch_size: int, out: str = "batch") -> DataFrame:
