@@ -37,17 +37,17 @@ FROM rollouts
 
 @query("stream_reward_scoring", ids=("ST1", "ST2", "SNK5"), sql=_STREAM_SCORE_SQL)
 def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive as a file stream → rollouts → rewards → appended per batch, twice.
+    """Documents arrive as a file stream → rollouts → rewards → written per batch; run twice.
 
-    The second run reuses the checkpoint and the output: nothing is written twice.
+    The second run reuses the checkpoint and skips finished ids: nothing is written twice.
     """
     schema = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).schema
     out = SJ.scratch_dir(spark, "scored")
     ckpt = SJ.scratch_dir(spark, "scored-ckpt")
     for _ in range(2):
         stream = SJ.file_stream(spark, sf_dir, schema, glob="documents.parquet")
-        SJ.run_scoring_stream(stream, _score, "doc_id", out, ckpt)
-    return spark.read.parquet(out)
+        SJ.run_scoring_stream(stream, _score, "doc_id", out, ckpt, SJ.finished_keys(spark, out, "doc_id"))
+    return spark.read.parquet(out).select("doc_id", "prompt_id", "accuracy", "format", "tag_count")
 
 
 _WINDOW_SQL = f"""

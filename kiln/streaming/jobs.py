@@ -3,9 +3,9 @@
 * ST1 / SNK5 — score completions as files arrive and append each micro-batch
   to a parquet table (``foreachBatch``), instead of flushing every N rows.
 * ST2 — resume without redoing finished rows: the stream's checkpoint skips
-  files already processed, and each batch is anti-joined on ``md5(id)``
-  against the rows already in the output, so a replayed batch after a
-  failure writes nothing twice.
+  files already processed, each batch overwrites its own epoch folder (a
+  replayed batch writes nothing twice), and ids finished by earlier runs are
+  anti-joined away on ``md5(id)``.
 * ST3 — per-step metric means as event-time tumbling windows with a
   watermark; each batch upserts the windows it changed and readers take the
   latest version per window.
@@ -42,34 +42,55 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return r.load(folder)
 
 
-def append_new_rows(out_path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: append rows whose ``md5(key)`` is not in the output yet (ST2)."""
+def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer (ST1 / ST2).
+
+    Each micro-batch overwrites its own ``epoch=<id>`` folder, so a batch that
+    is replayed after a failure replaces itself instead of adding duplicates.
+    Rows whose ``md5(key)`` is in ``done_keys`` (ids finished by an earlier
+    run, read once when the stream starts) are skipped.
+    """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("_k", F.md5(F.col(key).cast("string")))
-        try:
-            done = spark.read.parquet(out_path).select(F.md5(F.col(key).cast("string")).alias("_k"))
-            fresh = fresh.join(done, "_k", "left_anti")
-        except Exception as e:  # noqa: BLE001 — first batch: no output yet
-            if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.drop("_k").write.mode("append").parquet(out_path)
+        fresh = batch
+        if done_keys is not None:
+            fresh = (
+                fresh.withColumn("_k", F.md5(F.col(key).cast("string")))
+                .join(done_keys, "_k", "left_anti")
+                .drop("_k")
+            )
+        fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
 
     return write
 
 
+def finished_keys(spark: SparkSession, out_path: str, key: str) -> DataFrame | None:
+    """Distinct ``md5(key)`` of rows already in an output folder (None if there is none yet)."""
+    try:
+        done = spark.read.parquet(out_path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    return done.select(F.md5(F.col(key).cast("string")).alias("_k")).distinct()
+
+
 def run_scoring_stream(
     stream: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     key: str,
     out_path: str,
     checkpoint: str,
+    done_keys: DataFrame | None = None,
 ) -> None:
-    """ST1 + ST2: apply ``score`` to each micro-batch and append new rows; runs to the end of input."""
+    """ST1 + ST2: apply ``score`` to each micro-batch and write it; runs to the end of input.
+
+    The checkpoint makes a restarted stream skip files already committed;
+    ``done_keys`` additionally skips ids finished by other runs.
+    """
     q = (
         score(stream)
-        .writeStream.foreachBatch(append_new_rows(out_path, key))
+        .writeStream.foreachBatch(append_new_rows(out_path, key, done_keys))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
