@@ -35,8 +35,14 @@ def prefix_matches(prompt_ids: Column | str, full_ids: Column | str) -> Column:
 
 # T3
 def mask_labels_before(ids: Column | str, start: Column) -> Column:
-    """Labels: −100 for positions before ``start`` (0-based), the id otherwise."""
-    return F.transform(_c(ids), lambda x, i: F.when(i < start, F.lit(IGNORE_INDEX)).otherwise(x))
+    """Labels: −100 for positions before ``start`` (0-based), the id otherwise.
+
+    Built from ``array_repeat`` and ``slice`` (no per-element lambda), so an
+    expression passed as ``start`` is evaluated once per row.
+    """
+    a = _c(ids)
+    k = F.least(F.greatest(start, F.lit(0)), F.size(a)).cast("int")
+    return F.concat(F.array_repeat(F.lit(IGNORE_INDEX), k), F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0))))
 
 
 def last_position_of(ids: Column | str, token_id: int | Column) -> Column:
@@ -73,11 +79,11 @@ def keep_last(arr: Column | str, k: int) -> Column:
 def eos_mask(ids: Column | str, eos_id: int, zero_truncated: bool = False) -> Column:
     """1 up to and including the first EOS, 0 after; no EOS → all 1 (or all 0 if ``zero_truncated``)."""
     a = _c(ids)
-    first = F.array_position(a, F.lit(eos_id))  # 1-based, 0 if absent
-    fill_absent = F.lit(0) if zero_truncated else F.lit(1)
-    return F.transform(
-        a, lambda x, i: F.when(first == 0, fill_absent).when(i < first, F.lit(1)).otherwise(F.lit(0))
-    )
+    n = F.size(a)
+    first = F.array_position(a, F.lit(eos_id)).cast("int")  # 1-based, 0 if absent
+    absent = F.array_repeat(F.lit(0 if zero_truncated else 1), n)
+    present = F.concat(F.array_repeat(F.lit(1), first), F.array_repeat(F.lit(0), n - first))
+    return F.when(first == 0, absent).otherwise(present)
 
 
 # T8

@@ -121,3 +121,19 @@ def test_first_per_group_and_collect(spark):
 def test_regex_semantics_match_python():
     # the Java patterns used by the reward columns behave like Python's re for these anchors
     assert re.match(r"^<think>.*?</think>\n?<answer>.*?</answer>", "x\n<think>a</think><answer>b</answer>", re.DOTALL | re.MULTILINE) is None
+
+
+@pytest.mark.parametrize("name", ["decontaminate_flags", "dedup_exact", "mixture_train_test_split", "score_advantage", "sequence_packing"])
+def test_same_result_under_other_partition_counts(spark, name):
+    import __spark_entry__ as E
+
+    q = E.queries()[name]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = sorted(map(tuple, q(spark, SF_SMALL).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = sorted(map(tuple, q(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
