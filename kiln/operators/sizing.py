@@ -1,22 +1,39 @@
-"""Size-checked broadcast: hint a join side only after counting it."""
+"""Size-checked broadcast: hint a join side only after measuring it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
-# Rows of a small, narrow lookup table we are willing to ship to every task.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Bounds for a lookup table shipped to every task.
+DEFAULT_MAX_BROADCAST_ROWS = 4_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+_ROW_OVERHEAD = 64  # hashed-relation bytes per row besides the variable-width values
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def estimated_size(df: DataFrame, row_cap: int) -> tuple[int, int]:
+    """``(rows, estimated bytes)`` of at most ``row_cap + 1`` rows (a bounded scan)."""
+    var = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
+    head = df.limit(row_cap + 1)
+    row = head.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in var]).first()
+    n = int(row[0])
+    return n, n * _ROW_OVERHEAD + sum(int(v) for v in row[1:])
+
+
+def broadcast_if_small(
+    df: DataFrame,
+    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+) -> tuple[DataFrame, bool]:
     """Return ``(df_or_broadcast(df), broadcasted)``.
 
-    The side is counted (one cheap job over an already-reduced table); only
-    when it has at most ``max_rows`` rows is it marked for broadcast. Beyond
-    the bound the plain frame is returned and the join shuffles.
+    The side is measured (row count and the byte length of its string
+    columns, over at most ``max_rows + 1`` rows); only within both bounds is
+    it marked for broadcast. Beyond them the plain frame is returned and the
+    join shuffles. Callers persist ``df`` first when it is expensive to build.
     """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+    n, size = estimated_size(df, max_rows)
+    if n <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
