@@ -67,10 +67,32 @@ def publish(df: DataFrame, root: str, config: str, mode: str = "overwrite") -> s
     return path
 
 
+def _fs_and_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster filesystem (HDFS, object stores, local)."""
+    fs, p = _fs_and_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Expand a glob on the cluster filesystem into concrete paths (sorted)."""
+    fs, p = _fs_and_path(spark, pattern)
+    found = fs.globStatus(p)
+    return sorted(str(st.getPath().toString()) for st in (found or []))
+
+
 # SNK6
 def merge_configs(spark: SparkSession, root: str, pattern: str, schema: StructType | None = None) -> DataFrame:
     """Read every config folder matching a glob under ``root`` as one dataset."""
+    paths = glob_paths(spark, os.path.join(root, pattern))
+    if not paths:
+        raise FileNotFoundError(f"no dataset config matches {pattern!r} under {root}")
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
-    return r.parquet(os.path.join(root, pattern))
+    return r.parquet(*paths)

@@ -66,12 +66,11 @@ def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None)
 
 def finished_keys(spark: SparkSession, out_path: str, key: str) -> DataFrame | None:
     """Distinct ``md5(key)`` of rows already in an output folder (None if there is none yet)."""
-    try:
-        done = spark.read.parquet(out_path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    from ..sources.io import path_exists
+
+    if not path_exists(spark, out_path):
+        return None
+    done = spark.read.parquet(out_path)
     return done.select(F.md5(F.col(key).cast("string")).alias("_k")).distinct()
 
 
