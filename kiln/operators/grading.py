@@ -125,13 +125,14 @@ def stdout_test_passed(stdout: Column, expected: Column, exit_code: Column) -> C
     return (exit_code == 0) & same
 
 
-def success_rates(tests: DataFrame, submission: str, passed: str = "passed") -> DataFrame:
+def success_rates(tests: DataFrame, submission: str, passed: str = "passed", extra: Sequence[Column] = ()) -> DataFrame:
     """Passed / total per submission (no tests → NULL rather than a division error)."""
     return tests.groupBy(submission).agg(
         F.count(F.lit(1)).alias("n_tests"),
         F.try_divide(F.count(F.when(F.col(passed), 1)).cast("double"), F.count(F.lit(1)).cast("double")).alias(
             "success_rate"
         ),
+        *extra,
     )
 
 

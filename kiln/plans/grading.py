@@ -143,9 +143,7 @@ def q_stdout_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _stdout_runs(spark, sf_dir)
     t = runs.withColumn("passed", GR.stdout_test_passed(F.col("stdout"), F.col("expected"), F.col("exit_code")))
     t = t.withColumn("sandbox_score", C.sandbox_score("stdout"))
-    rates = GR.success_rates(t, "submission_id")
-    sums = t.groupBy("submission_id").agg(F.sum("sandbox_score").alias("sandbox_score_sum"))
-    return rates.join(sums, "submission_id", "inner")
+    return GR.success_rates(t, "submission_id", extra=[F.sum("sandbox_score").alias("sandbox_score_sum")])
 
 
 _TESTS_SQL = """

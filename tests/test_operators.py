@@ -137,3 +137,21 @@ def test_same_result_under_other_partition_counts(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_hot_prompt_holding_a_third_of_rows(spark):
+    """One prompt id covers a third of all rollouts: statistics stay exact."""
+    r = rollouts(spark, SF_CHECK)
+    hot = r.withColumn("prompt_id", F.when(F.col("doc_id") % 3 == 0, F.lit(-1)).otherwise(F.col("prompt_id")))
+    hot = hot.withColumn("reward", (F.col("doc_id") % 5).cast("double"))
+    a = G.group_advantages(hot, "reward", "prompt_id", scale_rewards=True)
+    rows = a.filter(F.col("prompt_id") == -1).select("reward", "group_mean", "group_std", "advantage").collect()
+    import statistics
+
+    vals = [x.reward for x in rows]
+    assert len(vals) == len([1 for d in range(1000) if d % 3 == 0])
+    assert rows[0].group_mean == pytest.approx(statistics.mean(vals))
+    assert rows[0].group_std == pytest.approx(statistics.stdev(vals))
+    assert sum(x.advantage for x in rows) == pytest.approx(0.0, abs=1e-6)
+    pr = G.pass_rates(hot.withColumn("acc", (F.col("doc_id") % 2).cast("double")), "acc").filter("prompt_id = -1").first()
+    assert pr.n_generations == len(vals)
