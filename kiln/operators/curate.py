@@ -130,3 +130,49 @@ def assert_single_value(df: DataFrame, col: str, what: str = "language") -> None
     """Raise when rows disagree on ``col`` (the enforce-same-language option)."""
     if not single_value(df, col):
         raise ValueError(f"All rows must have the same {what}")
+
+
+# P3
+def rename_if_present(df: DataFrame, old: str, new: str) -> DataFrame:
+    """Rename a column only when it exists (e.g. ``sft_completion`` → ``completion``)."""
+    return df.withColumnRenamed(old, new) if old in df.columns else df
+
+
+# P5
+def keep_fields(df: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Keep only the listed fields, in the listed order."""
+    return df.select(*fields)
+
+
+# P8
+BACKUP_SUFFIX = "__original"
+
+
+def backup_column(df: DataFrame, col: str) -> DataFrame:
+    """Keep a copy of ``col`` before it is overwritten (e.g. prompt → chat messages)."""
+    return df.withColumn(col + BACKUP_SUFFIX, F.col(col))
+
+
+def restore_column(df: DataFrame, col: str) -> DataFrame:
+    """Put the backed-up value back into ``col`` and drop the copy."""
+    return df.withColumn(col, F.col(col + BACKUP_SUFFIX)).drop(col + BACKUP_SUFFIX)
+
+
+# SNK4
+def batch_request_rows(
+    df: DataFrame, order: str, question: str, split: str, system: str, template: str, max_tokens: int
+) -> DataFrame:
+    """Batch-API request rows: ``custom_id = <split>_%06d`` in ``order``, ``body.messages``, ``max_tokens``.
+
+    Ids come from an exact distributed row number (no single-task window).
+    """
+    from ..functions.curation import fill_template, prompt_messages
+    from .ranking import global_row_number
+
+    r = global_row_number(df, [order], out="_rn")
+    msgs = prompt_messages(fill_template(template, F.col(question)), system)
+    return r.select(
+        F.concat(F.lit(split + "_"), F.lpad((F.col("_rn") - 1).cast("string"), 6, "0")).alias("custom_id"),
+        F.struct(msgs.alias("messages")).alias("body"),
+        F.lit(max_tokens).alias("max_tokens"),
+    )

@@ -72,7 +72,7 @@ def group_reward_metrics(df: DataFrame, reward: str, group: str | Sequence[str]
     )
 
 
-# A6 / A7
+# A6 / A7 / A18
 def reward_summary(df: DataFrame, rewards: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean, sample std, min and max per reward column, NULLs ignored (long form)."""
     long = df.select(

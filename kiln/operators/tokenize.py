@@ -46,7 +46,7 @@ def whitespace_vocabulary_ids(df: DataFrame, key: str, text: str, vocab: DataFra
 
 
 def tokenizer_hook(fn: Callable[[Column], Column]) -> Callable[[DataFrame, str, str], DataFrame]:
-    """Wrap a ``Column -> array<int>`` tokenizer (e.g. a pandas UDF) as a DataFrame step."""
+    """Wrap a ``Column -> array<int>`` tokenizer (e.g. a pandas UDF) as a DataFrame step."""
 
     def apply(df: DataFrame, text: str, out: str = "input_ids") -> DataFrame:
         return df.withColumn(out, fn(F.col(text)))

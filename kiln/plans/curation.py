@@ -10,7 +10,6 @@ from ..functions import formatters as FM
 from ..functions import rewards as R
 from ..functions.code import truncate_at
 from ..operators import curate as OC
-from ..operators.ranking import global_row_number
 from ..sources.fixtures import qa_hash, rollouts
 from ..sources.tables import read_table
 from . import sqltext as S
@@ -278,14 +277,7 @@ FROM qa_hash
 def q_batch_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch-request rows: ``split_%06d`` ids in index order, templated user turn, token cap."""
     q = qa_hash(spark, sf_dir)
-    r = global_row_number(q, ["index"], out="_rn")
-    msgs = CU.prompt_messages(CU.fill_template("Question: {prompt}", F.col("question")), FM.SYSTEM_PROMPTS[("gsm8k", "taer")])
-    body = F.struct(msgs.alias("messages"))
-    out = r.select(
-        F.concat(F.lit("train_"), F.lpad((F.col("_rn") - 1).cast("string"), 6, "0")).alias("custom_id"),
-        body.alias("body"),
-        F.lit(4096).alias("max_tokens"),
-    )
+    out = OC.batch_request_rows(q, "index", "question", "train", FM.SYSTEM_PROMPTS[("gsm8k", "taer")], "Question: {prompt}", 4096)
     return out.select(
         "custom_id",
         F.col("body.messages")[0]["content"].alias("system_content"),
@@ -368,9 +360,7 @@ FROM rollouts
 @query("completion_prep", ids=("R34", "C13", "P3", "P6", "P9"), sql=_PREP_SQL)
 def q_completion_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cut at the stop string, append EOS, flag missing evaluation, preview (rename sft_completion → completion)."""
-    r = rollouts(spark, sf_dir).withColumnRenamed("completion", "sft_completion")
-    if "sft_completion" in r.columns:
-        r = r.withColumnRenamed("sft_completion", "completion")
+    r = OC.rename_if_present(rollouts(spark, sf_dir).withColumnRenamed("completion", "sft_completion"), "sft_completion", "completion")
     r = r.withColumn("missing_evaluation", ~F.col("completion").contains("<evaluation>"))
     p = OC.preview(r.withColumn("preview", F.col("completion")), "preview", 200)
     return p.select(

@@ -228,15 +228,16 @@ FROM qa_hash
 def q_prompt_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the original prompt, overwrite it with chat messages for scoring, restore it afterwards."""
     q = qa_hash(spark, sf_dir).select("index", F.col("question").alias("prompt"))
-    b = q.withColumn("_original_prompt", F.col("prompt"))
+    b = OC.backup_column(q, "prompt")
     b = b.withColumn("prompt", CU.prompt_messages(F.col("prompt"), FM.SYSTEM_PROMPTS[("gsm8k", "taer")]))
     used = b.select(
         "index",
-        "_original_prompt",
+        "prompt",
+        "prompt" + OC.BACKUP_SUFFIX,
         F.col("prompt")[0]["content"].alias("rendered_system"),
         F.col("prompt")[1]["content"].alias("rendered_user"),
     )
-    return used.withColumnRenamed("_original_prompt", "prompt")
+    return OC.keep_fields(OC.restore_column(used, "prompt"), ["index", "prompt", "rendered_system", "rendered_user"])
 
 
 def _word_count_reward(c: pd.Series, s: pd.Series) -> pd.Series:
