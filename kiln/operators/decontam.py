@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, split_words, word_ngrams
+from ..session import checkpoint_dir
 from .sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
 
 FLAG_PREFIX = "contaminated_"
@@ -60,8 +60,10 @@ def contamination_hits(
 ) -> DataFrame:
     """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark."""
     doc_grams = _doc_grams(corpus, key, text, n)
-    # Counted first, then broadcast: keep the (small) table so it is built once.
-    bench_grams = bench_grams.persist(StorageLevel.MEMORY_AND_DISK)
+    # Measured first, then broadcast: written once to the checkpoint folder so
+    # the measurement and the join read the same table (no cache left behind).
+    checkpoint_dir(bench_grams.sparkSession)
+    bench_grams = bench_grams.checkpoint(eager=True)
     small, is_bc = broadcast_if_small(bench_grams, max_broadcast_rows)
     if is_bc:
         return doc_grams.join(small, "ngram", "inner").select(key, "benchmark").distinct()
@@ -90,7 +92,7 @@ def decontaminate(
     )
     # Only contaminated rows have a flag row; when they are few (counted) the
     # flags are broadcast and the corpus is joined without being shuffled.
-    flags = flags.persist(StorageLevel.MEMORY_AND_DISK)
+    flags = flags.checkpoint(eager=True)
     flags, _ = broadcast_if_small(flags, max_broadcast_rows)
     out = corpus.join(flags, key, "left")
     for nm in names:

@@ -12,11 +12,14 @@ DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _ROW_OVERHEAD = 64  # hashed-relation bytes per row besides the variable-width values
 
 
-def estimated_size(df: DataFrame, row_cap: int) -> tuple[int, int]:
-    """``(rows, estimated bytes)`` of at most ``row_cap + 1`` rows (a bounded scan)."""
+def estimated_size(df: DataFrame) -> tuple[int, int]:
+    """``(rows, estimated bytes)`` from one distributed aggregate.
+
+    Count and string byte sums are partial aggregates (no global limit, which
+    would pull rows into one partition); callers materialize ``df`` first.
+    """
     var = [f.name for f in df.schema.fields if isinstance(f.dataType, (StringType, BinaryType))]
-    head = df.limit(row_cap + 1)
-    row = head.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in var]).first()
+    row = df.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in var]).first()
     n = int(row[0])
     return n, n * _ROW_OVERHEAD + sum(int(v) for v in row[1:])
 
@@ -29,11 +32,11 @@ def broadcast_if_small(
     """Return ``(df_or_broadcast(df), broadcasted)``.
 
     The side is measured (row count and the byte length of its string
-    columns, over at most ``max_rows + 1`` rows); only within both bounds is
-    it marked for broadcast. Beyond them the plain frame is returned and the
-    join shuffles. Callers persist ``df`` first when it is expensive to build.
+    columns); only within both bounds is it marked for broadcast. Beyond them
+    the plain frame is returned and the join shuffles. Callers materialize
+    ``df`` first (``checkpoint``) when it is expensive to build.
     """
-    n, size = estimated_size(df, max_rows)
+    n, size = estimated_size(df)
     if n <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
