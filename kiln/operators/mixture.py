@@ -3,8 +3,9 @@
 Randomness is a seeded hash of a unique row key, so every step is
 deterministic, independent of partitioning, and re-runnable after executor
 loss. "First k of the shuffled order" is exact, never Bernoulli ``sample``:
-the k-th order key is found on a narrow ranked projection of the keys
-(``ranking.first_k``) and the rows are then selected by a plain filter.
+a histogram of the seeded hash prefix finds the bucket holding the k-th
+row, only that bucket is ranked to get the boundary key
+(``ranking.first_k_hashed``), and the rows are then selected by a filter.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_k, global_row_number, seeded_order_key
+from .ranking import first_k_hashed, global_row_number, seeded_order_key
 
 
 @dataclass
@@ -48,7 +49,7 @@ def exact_fraction(df: DataFrame, key: str, seed: int, weight: float | None) ->
         return df
     n = df.count()
     k = int(n * weight)
-    return first_k(df, [seeded_order_key(seed, key), F.col(key)], k)
+    return first_k_hashed(df, [seeded_order_key(seed, key), F.col(key)], k)
 
 
 def check_columns(frames: Sequence[DataFrame]) -> None:

@@ -96,6 +96,34 @@ def first_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     return df.filter(order_key(order) <= key_literal(at[k], df, order))
 
 
+HASH_PREFIX_HEX = 4  # 16**4 = 65,536 histogram buckets
+
+
+def first_k_hashed(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
+    """:func:`first_k` for orders led by a uniform hex hash (e.g. ``seeded_order_key``).
+
+    1. histogram of the hash's 4-hex-digit prefix (a partial aggregate; at
+       most 65,536 counts reach the driver);
+    2. the bucket holding the k-th row and how many rows of it are needed;
+    3. only that bucket's rows are ranked to find the boundary key;
+    4. the table is filtered by ``order key <= boundary``.
+    No step shuffles or writes all rows.
+    """
+    if k <= 0:
+        return df.limit(0)
+    cols = _order_cols(order)
+    bucket = F.conv(F.substring(cols[0], 1, HASH_PREFIX_HEX), 16, 10).cast("int")
+    hist = sorted(df.select(bucket.alias("_b")).groupBy("_b").count().collect())
+    seen = 0
+    for b, c in hist:
+        if seen + c >= k:
+            inside = df.filter(bucket == F.lit(b))
+            at = order_values_at(inside, order, [k - seen])
+            return df.filter(order_key(order) <= key_literal(at[k - seen], df, order))
+        seen += c
+    return df
+
+
 def rank_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], out: str = "rank") -> DataFrame:
     """1-based position inside each group, skew-safe.
 

@@ -155,3 +155,13 @@ def test_hot_prompt_holding_a_third_of_rows(spark):
     assert sum(x.advantage for x in rows) == pytest.approx(0.0, abs=1e-6)
     pr = G.pass_rates(hot.withColumn("acc", (F.col("doc_id") % 2).cast("double")), "acc").filter("prompt_id = -1").first()
     assert pr.n_generations == len(vals)
+
+
+def test_first_k_hashed_equals_generic(spark):
+    d = read_table(spark, SF_SMALL, "documents", ["doc_id"])
+    n = d.count()
+    order = [K.seeded_order_key(7, "doc_id"), F.col("doc_id")]
+    for k in (1, 37, n - 1, n, n + 5):
+        a = {r.doc_id for r in K.first_k_hashed(d, order, k).collect()}
+        b = {r.doc_id for r in K.first_k(d, order, k).collect()}
+        assert a == b and len(a) == min(k, n)
