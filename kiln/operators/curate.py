@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewards as R
 from ..functions.curation import gold_after_hash, normalize_tags, text_after_marker
+from .sizing import measured_join
 
 
 def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -32,7 +33,8 @@ def join_gold(rows: DataFrame, gold: DataFrame, on: str, gold_order: str, strict
         missing = rows.join(g.select(on), on, "left_anti").limit(1).count()
         if missing:
             raise KeyError(f"rows without a gold record on {on!r}")
-    return rows.join(g, on, "inner")
+    # Gold tables are usually far smaller than the responses: measured broadcast.
+    return measured_join(rows, g, on, "inner")
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str, left_col: str, right_col: str) -> DataFrame:
@@ -104,7 +106,7 @@ def experiment_accuracy(generated: DataFrame, gold: DataFrame, correct: Column,
     Experiments whose row count differs from the gold row count are skipped.
     """
     n_gold = gold.count()
-    j = generated.join(gold, key, "inner").withColumn("_ok", correct.cast("double"))
+    j = measured_join(generated, gold, key, "inner").withColumn("_ok", correct.cast("double"))
     per = generated.groupBy(exp).agg(F.count(F.lit(1)).alias("n_rows"))
     acc = j.groupBy(exp).agg(F.bround(F.avg(F.coalesce("_ok", F.lit(0.0))) * 100, 2).alias("accuracy"))
     return per.filter(F.col("n_rows") == F.lit(n_gold)).join(acc, exp, "inner")

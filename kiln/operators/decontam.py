@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, split_words, word_ngrams
 from ..session import checkpoint_dir
-from .sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
+from .sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small, measured_join
 
 FLAG_PREFIX = "contaminated_"
 
@@ -131,20 +131,21 @@ def removal_counts(flagged: DataFrame, order: list[str] | None = None) -> DataFr
 def exact_dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     """Keep the smallest key per normalised text.
 
-    ``groupBy(md5(norm))`` with ``min(key)`` pre-aggregates map-side, so a
-    text repeated by a third of all rows shrinks to one row per task before
-    the shuffle; the keepers are then matched back by the unique key.
+    Only a narrow ``(key, md5(normalised text))`` projection is shuffled:
+    ``min(key)`` per hash is a partial aggregate (a text repeated by a third
+    of all rows shrinks to one row per task before the shuffle), the rows
+    that are not the minimum are the duplicates, and those keys are removed
+    from the table with an anti-join that broadcasts them when they are few
+    (measured) instead of shuffling the text.
     """
-    keepers = (
-        df.select(F.col(key), F.md5(normalize_text(text)).alias("_h"))
-        .groupBy("_h")
-        .agg(F.min(key).alias(key))
-        .select(key)
-    )
-    return df.join(keepers, key, "left_semi")
+    hk = df.select(F.col(key), F.md5(normalize_text(text)).alias("_h"))
+    mins = hk.groupBy("_h").agg(F.min(key).alias("_min"))
+    dups = hk.join(mins, "_h", "inner").filter(F.col(key) != F.col("_min")).select(key)
+    return measured_join(df, dups, key, "left_anti")
 
 
 def resume_pending(todo: DataFrame, done: DataFrame, todo_id: str, done_id: str) -> DataFrame:
     """Rows whose ``md5(str(id))`` is not yet in the finished output."""
     done_keys = done.select(F.md5(F.col(done_id).cast("string")).alias("_k")).distinct()
-    return todo.withColumn("_k", F.md5(F.col(todo_id).cast("string"))).join(done_keys, "_k", "left_anti").drop("_k")
+    keyed = todo.withColumn("_k", F.md5(F.col(todo_id).cast("string")))
+    return measured_join(keyed, done_keys, "_k", "left_anti").drop("_k")

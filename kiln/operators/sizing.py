@@ -40,3 +40,18 @@ def broadcast_if_small(
     if n <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
+
+
+def measured_join(big: DataFrame, other: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join ``big`` with a side that is usually small, without shuffling ``big`` when it is.
+
+    ``other`` is written once to the checkpoint folder, measured, and
+    broadcast only within the bounds; otherwise the join shuffles both sides
+    (and AQE still splits skewed partitions).
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(other.sparkSession)
+    other = other.checkpoint(eager=True)
+    side, _ = broadcast_if_small(other)
+    return big.join(side, on, how)
