@@ -139,6 +139,9 @@ def exact_dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     (measured) instead of shuffling the text.
     """
     hk = df.select(F.col(key), F.md5(normalize_text(text)).alias("_h"))
+    # The narrow projection is written once, so the text is normalised and hashed once.
+    checkpoint_dir(df.sparkSession)
+    hk = hk.checkpoint(eager=True)
     mins = hk.groupBy("_h").agg(F.min(key).alias("_min"))
     dups = hk.join(mins, "_h", "inner").filter(F.col(key) != F.col("_min")).select(key)
     return measured_join(df, dups, key, "left_anti")
