@@ -86,3 +86,13 @@ def test_json_array_source(spark):
         f.write('[{"qid": "a", "answer": true}, {"qid": "b", "answer": false}]')
     df = IO.read_json_array(spark, path, "qid string, answer boolean")
     assert [(r.qid, r.answer) for r in df.orderBy("qid").collect()] == [("a", True), ("b", False)]
+
+
+def test_partition_pruning(spark):
+    df = spark.createDataFrame([(i, i % 5, str(i)) for i in range(50)], "problem_id long, contest long, output string")
+    path = scratch_dir(spark, "pp")
+    IO.write_partitioned(df, path, "contest")
+    one = IO.read_partition(spark, path, "contest", 3)
+    assert sorted(r.problem_id for r in one.collect()) == [i for i in range(50) if i % 5 == 3]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(contest" in plan and "(contest" in plan
