@@ -47,9 +47,7 @@ def exact_fraction(df: DataFrame, key: str, seed: int, weight: float | None) ->
     """L2: the first ``int(n * weight)`` rows of the seeded shuffle; None keeps all."""
     if weight is None:
         return df
-    n = df.count()
-    k = int(n * weight)
-    return first_k_hashed(df, [seeded_order_key(seed, key), F.col(key)], k)
+    return first_k_hashed(df, [seeded_order_key(seed, key), F.col(key)], lambda n: int(n * weight))
 
 
 def check_columns(frames: Sequence[DataFrame]) -> None:

@@ -99,7 +99,7 @@ def first_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
 HASH_PREFIX_HEX = 4  # 16**4 = 65,536 histogram buckets
 
 
-def first_k_hashed(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
+def first_k_hashed(df: DataFrame, order: Sequence[str | Column], k) -> DataFrame:
     """:func:`first_k` for orders led by a uniform hex hash (e.g. ``seeded_order_key``).
 
     1. histogram of the hash's 4-hex-digit prefix (a partial aggregate; at
@@ -107,13 +107,16 @@ def first_k_hashed(df: DataFrame, order: Sequence[str | Column], k: int) -> Data
     2. the bucket holding the k-th row and how many rows of it are needed;
     3. only that bucket's rows are ranked to find the boundary key;
     4. the table is filtered by ``order key <= boundary``.
-    No step shuffles or writes all rows.
+    No step shuffles or writes all rows. ``k`` may be a function of the row
+    count (e.g. ``lambda n: int(n * w)``); the histogram provides the count.
     """
-    if k <= 0:
-        return df.limit(0)
     cols = _order_cols(order)
     bucket = F.conv(F.substring(cols[0], 1, HASH_PREFIX_HEX), 16, 10).cast("int")
     hist = sorted(df.select(bucket.alias("_b")).groupBy("_b").count().collect())
+    if callable(k):
+        k = k(sum(c for _, c in hist))
+    if k <= 0:
+        return df.limit(0)
     seen = 0
     for b, c in hist:
         if seen + c >= k:
