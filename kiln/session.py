@@ -49,8 +49,10 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is read as is.
-    Only when it is unset (local tests) is a fresh scratch folder created.
+    On a cluster this setting points at shared storage and is read as is; a
+    cluster without it is an error, since a machine-local folder is not seen by
+    other executors. Only a ``local[...]`` master (tests, bench) gets a fresh
+    scratch folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +60,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="kiln-ckpt-", dir=os.environ.get("KILN_SCRATCH", "/tmp"))
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
