@@ -23,7 +23,7 @@ ORDER = 5
 PAD = "\x02"
 #: Model rows (n-grams and contexts) of one shard; the table is cut into as many shards as it needs.
 SHARD_ROWS = 2_000_000
-QUANTILE, MARGIN = 0.99, 1.1
+QUANTILE, MARGIN = 0.99, 1.5
 _SLICE = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
