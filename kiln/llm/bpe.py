@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import query, read
 
 #: Chunks a worker remembers; beyond that it starts anew (a matter of memory, not of results).
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 800_000
 #: Rows a worker turns at a time, so that ids and texts of one slice fit in memory.
 SLICE_ROWS = 256
 
@@ -50,6 +51,11 @@ class MergeTable:
         keys = left * self.width + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        codes = [ord(t) for t in vocab if len(t) == 1]
+        self.inner = np.full(max(codes) + 1, -1, dtype=np.int64)
+        self.last = self.inner.copy()
+        for c in codes:
+            self.inner[c], self.last[c] = vocab[chr(c)], vocab.get(chr(c) + self.suffix, -1)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([self.width - 1, *self.added.values()]) + 1
         self.tokens = [""] * size
@@ -57,20 +63,21 @@ class MergeTable:
             for tok, i in table.items():
                 self.tokens[i] = tok
 
-    def symbols(self, word: str) -> list[int]:
-        """The word's starting symbols: characters, the last with the end-of-word suffix."""
-        v = self.vocab
-        if not self.suffix:
-            return [v[c] for c in word]
-        return [*[v[c] for c in word[:-1]], v[word[-1] + self.suffix]]
-
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word (byte-level characters, not empty)."""
-        out: list = [None] * len(words)
-        parts = [self.symbols(w) for w in words]
-        lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        sym = np.fromiter((s for p in parts for s in p), dtype=np.int64, count=int(lengths.sum()))
-        word = np.repeat(np.arange(len(words)), lengths)
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Starting symbols of all words (characters, the last with the end-of-word suffix) and each one's word."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4")
+        sym = self.inner[codes]
+        ends = np.cumsum(lengths) - 1
+        sym[ends] = self.last[codes[ends]]
+        return sym, np.repeat(np.arange(len(words)), lengths)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and how many each has (words of byte-level characters, not empty)."""
+        if not words:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        sym, word = self.symbols(words)
+        done_sym, done_word = [], []
         while len(sym):
             rank = np.full(len(sym), _NONE)
             made = np.zeros(len(sym), dtype=np.int64)
@@ -85,9 +92,8 @@ class MergeTable:
             low = np.repeat(np.minimum.reduceat(rank, starts), lens)
             over = low == _NONE
             if over.any():  # words without a further merge leave
-                first = starts[over[starts]]
-                for s, n in zip(first.tolist(), lens[over[starts]].tolist()):
-                    out[word[s]] = sym[s : s + n]
+                done_sym.append(sym[over])
+                done_word.append(word[over])
                 keep = ~over
                 sym, word, rank, made, low = sym[keep], word[keep], rank[keep], made[keep], low[keep]
                 if not len(sym):
@@ -101,7 +107,8 @@ class MergeTable:
             drop = np.ones(len(sym), dtype=bool)
             drop[pick + 1] = False
             sym, word = sym[drop], word[drop]
-        return out
+        word = np.concatenate(done_word)
+        return np.concatenate(done_sym)[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 class ChunkEncoder:
@@ -114,32 +121,56 @@ class ChunkEncoder:
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.added)) + ")") if self.table.added else None
         self.memo: dict[str, bytes] = {"": b""}
 
-    def words(self, chunk: str) -> list[str | int]:
-        """Pre-tokenized words of a chunk; an added token stands as its id."""
+    def pieces(self, chunk: str) -> list[str | int]:
+        """Pre-tokenized words of any chunk; an added token stands as its id."""
         out: list[str | int] = []
         for piece in self.special.split(chunk) if self.special else [chunk]:
             if piece in self.table.added:
                 out.append(self.table.added[piece])
             elif piece:
-                text = self.normalizer.normalize_str(piece) if self.normalizer else piece
-                out += [w for w, _ in self.pre.pre_tokenize_str(text) if w]
+                out += [w for w, _ in self.pre.pre_tokenize_str(self.normal(piece)) if w]
         return out
 
+    def normal(self, text: str) -> str:
+        return self.normalizer.normalize_str(text) if self.normalizer else text
+
+    def learn_odd(self, chunk: str) -> None:
+        """A chunk with special strings or white space inside."""
+        self.memo[chunk] = b"".join(
+            w.to_bytes(4, "little") if isinstance(w, int) else self.table.encode_words([w])[0].astype("<i4").tobytes()
+            for w in self.pieces(chunk)
+        )
+
     def learn(self, chunks: list[str]) -> None:
-        cut = [self.words(c) for c in chunks]
-        ids = iter(self.table.encode_words([w for ws in cut for w in ws if isinstance(w, str)]))
-        for chunk, ws in zip(chunks, cut):
-            self.memo[chunk] = b"".join(
-                next(ids).astype("<i4").tobytes() if isinstance(w, str) else w.to_bytes(4, "little") for w in ws
-            )
+        """Chunks without white space: normalised and cut in one go, merged in one array."""
+        text = self.normal(" ".join(chunks))
+        owners, words = [], []
+        starts = np.cumsum([0, *[len(c) + 1 for c in text.split(" ")]])
+        for lot in range(0, len(chunks), 500):
+            end = min(lot + 500, len(chunks))
+            for w, (at, _) in self.pre.pre_tokenize_str(text[starts[lot] : starts[end] - 1]):
+                if w:
+                    words.append(w)
+                    owners.append(at + starts[lot])
+        owner = np.searchsorted(starts, np.array(owners, dtype=np.int64), side="right") - 1
+        ids, lengths = self.table.encode_words(words)
+        ends = np.cumsum(np.bincount(owner, weights=lengths, minlength=len(chunks))).astype(np.int64) * 4
+        data, at = ids.astype("<i4").tobytes(), 0
+        for chunk, end in zip(chunks, ends.tolist()):
+            self.memo[chunk] = data[at:end]
+            at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
             self.memo = {"": b""}
-        new = list({c for cs in cut for c in cs if c not in self.memo})
-        if new:
-            self.learn(new)
+        new = set().union(*cut) - self.memo.keys()
+        odd = [c for c in new if c.split() != [c] or (self.special and self.special.search(c))]
+        for c in odd:
+            self.learn_odd(c)
+        plain = list(new.difference(odd))
+        if plain:
+            self.learn(plain)
         get = self.memo.__getitem__
         return [b"".join(map(get, cs)) for cs in cut]
 
@@ -150,8 +181,8 @@ def _encoder(path: str) -> ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> list[str]:
-    return MergeTable(path).tokens
+def _tokens(path: str) -> pa.Array:
+    return pa.array(MergeTable(path).tokens, pa.string())
 
 
 def _with_column(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
@@ -198,8 +229,9 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "d
     def run(batches):
         tokens = _tokens(vocabulary)
         for b in _slices(batches):
-            texts = [" ".join(map(tokens.__getitem__, ids or ())) for ids in b.column(ids_col).to_pylist()]
-            yield _add(b, out, pa.array(texts, pa.string()))
+            ids = b.column(ids_col).fill_null([])
+            words = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values))
+            yield _add(b, out, pc.binary_join(words, " "))
 
     return docs.mapInArrow(run, _with_column(docs.schema, out, T.StringType()))
 

@@ -14,7 +14,6 @@ then only the frames that hold the documents asked for.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -37,7 +36,8 @@ MAGIC = b"KTF1"
 FOOTER = struct.Struct("<IQQI4s")
 ENTRY = np.dtype([("docs", "<u4"), ("tokens", "<u8"), ("offset", "<u8"), ("length", "<u4"), ("crc", "<u4")])
 FRAME_TOKENS = 1 << 18
-MEMO_CHUNKS = 250_000
+#: Chunks a worker remembers (beyond that it starts anew), and chunks encoded in one call.
+MEMO_CHUNKS, LOT = 800_000, 200
 
 
 class ChunkedTokenizer:
@@ -54,39 +54,53 @@ class ChunkedTokenizer:
         tok.no_padding()
         tok.no_truncation()
         self.tok = tok
-        special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", r"^\s", r"\s\Z", r"[^\S \n]", r"[\x1c-\x1f\x85᠎]", *map(re.escape, special)]))
-        self.newline = self.raw(["\n"])[0]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
+        self.newline = int(np.frombuffer(self.raw(["\n"])[0], dtype="<u4")[0])
+        self.memo: dict[str, bytes | None] = {}  # None: odd, its text goes whole
 
     def raw(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
 
+    @staticmethod
+    def odd(chunk: str) -> bool:
+        """Is it empty, or does it hold white space beyond its leading newline?"""
+        body = chunk.removeprefix("\n")
+        return body.split() != [body]
+
+    def learn(self, chunks: list[str], before: str, prefix: bytes) -> None:
+        """Remember chunks, encoded in lots that a newline separates."""
+        for i in range(0, len(chunks), LOT):
+            lot = chunks[i : i + LOT]
+            ids = np.array(self.tok.encode("\n".join([before + c.removeprefix("\n") for c in lot]), add_special_tokens=False).ids, dtype="<u4")
+            data = ids.tobytes()
+            ends = np.flatnonzero(ids == self.newline).tolist()
+            self.memo.update(
+                (c, prefix + data[4 * x : 4 * y]) for c, x, y in zip(lot, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)
+            )
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.first) + len(self.later) > MEMO_CHUNKS:
-            self.first, self.later = {}, {}
-        cut: list = []
-        whole = []
-        for i, t in enumerate(texts):
-            if not t:
-                cut.append([])
-            elif self.whole.search(t):
-                cut.append(None)
-                whole.append(i)
-            else:
-                cut.append([line.split(" ") for line in t.split("\n")])
-        heads = list({ls[0] for doc in cut if doc for ls in doc} - self.first.keys())
-        tails = list({c for doc in cut if doc for ls in doc for c in ls[1:]} - self.later.keys())
-        self.first.update(zip(heads, self.raw(heads)))
-        self.later.update(zip(tails, self.raw([" " + c for c in tails])))
-        rest = dict(zip(whole, self.raw([texts[i] for i in whole])))
-        head, tail = self.first.__getitem__, self.later.__getitem__
-        return [
-            rest[i] if doc is None else self.newline.join([head(ls[0]) + b"".join(map(tail, ls[1:])) for ls in doc])
-            for i, doc in enumerate(cut)
-        ]
+        if len(self.memo) > MEMO_CHUNKS:
+            self.memo = {}
+        # A chunk begins with a newline or, unwritten, with a blank; the first one gets a newline to be dropped.
+        plain = [t and not any(s in t for s in self.special) for t in texts]
+        cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if p else None for t, p in zip(texts, plain)]
+        new = set().union(*[c for c in cut if c]) - self.memo.keys()
+        odd = [c for c in new if self.odd(c)]
+        self.memo.update(dict.fromkeys(odd))
+        new.difference_update(odd)
+        self.learn([c for c in new if c[0] != "\n"], " ", b"")
+        self.learn([c for c in new if c[0] == "\n"], "", self.newline.to_bytes(4, "little"))
+        get, out = self.memo.__getitem__, []
+        for t, c in zip(texts, cut):
+            try:
+                out.append(b"".join(map(get, c))[4:] if c else b"" if not t else None)
+            except TypeError:
+                out.append(None)
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self.raw([texts[i] for i in whole])):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
