@@ -26,9 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and go.
     """
-    held = saved(with_metrics(docs.select("doc_id", "lang", "text")).drop("text"))
-    cutoffs = saved(choose_cutoffs(held, read(spark, sf_dir, "labels")))
-    return apply_cutoffs(with_metrics(docs.select(*COLUMNS)), cutoffs).filter("kept").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    digest = F.xxhash64("text")
+    held = saved(with_metrics(docs.select("doc_id", "lang", "text")).withColumn("_digest", digest).drop("text"))
+    judged = apply_cutoffs(held, choose_cutoffs(held, read(spark, sf_dir, "labels")))
+    gone = saved(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_digest").distinct())
+    side, _ = broadcast_if_small(gone, max_rows=500_000, max_bytes=32 << 20)
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
