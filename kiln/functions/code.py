@@ -96,7 +96,13 @@ def sandbox_score(stdout: Column | str) -> Column:
     """Last line of the stripped output as a number, else the whole text, else 0."""
     s = py_strip(col_of(stdout))
     last = F.try_element_at(F.split(s, "\n"), F.lit(-1))
-    return F.coalesce(py_strip(last).try_cast("double"), s.try_cast("double"), F.lit(0.0))
+    return F.coalesce(_number(py_strip(last)), _number(s), F.lit(0.0))
+
+
+def _number(c: Column) -> Column:
+    """A decimal literal (also nan and inf) as double; a type suffix as in ``5d`` is no number."""
+    literal = r"(?i)\A[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+)?|nan|inf|infinity)\z"
+    return F.when(c.rlike(literal), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 # R34
@@ -112,7 +118,8 @@ def truncate_at(c: Column | str, stop: str, keep_stop: bool = True) -> Column:
 def contest_id(problem_id: Column | str) -> Column:
     """``"1234/A"`` → ``"1234"``; integer ids zero-padded to at least 4 digits."""
     head = F.split_part(col_of(problem_id), F.lit("/"), F.lit(1))
-    return F.format_string("%04d", head.try_cast("int"))
+    number = head.try_cast("int")
+    return F.when(number.isNotNull(), F.format_string("%04d", number))
 
 
 # R33

@@ -45,8 +45,10 @@ def to_number(c: Column) -> Column:
     num = F.regexp_extract(c, _NUM_FRAC, 1)
     den = F.regexp_extract(c, _NUM_FRAC, 2)
     frac = F.when(num != "", F.try_divide(num.cast("double"), den.cast("double")))
-    plain = F.regexp_replace(c, ",", "")
-    return F.coalesce(frac, plain.try_cast("double"))
+    grouped = c.rlike(r"\A[+-]?\d{1,3}(,\d{3})+(\.\d+)?\z")  # a comma only as a thousands separator
+    plain = F.when(grouped, F.replace(c, F.lit(","), F.lit(""))).otherwise(c)
+    decimal = plain.rlike(r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z")
+    return F.coalesce(frac, F.when(decimal, plain.try_cast("double")))
 
 
 def math_equal(pred: Column | str, gold: Column | str, rel_tol: float = 1e-6) -> Column:

@@ -216,7 +216,8 @@ def soft_overlong_punishment(length: Column, max_completion_len: int, soft_punis
 def parse_reward_list(c: Column | str) -> Column:
     """Last ``<reward>…</reward>`` body parsed as a JSON list of numbers; NULL if not."""
     body = py_strip(last_between(c, "<reward>", "</reward>"))
-    return F.from_json(body, "array<double>")
+    whole = body.rlike(r"(?s)\A\[[^\[\]]*\]\z")
+    return F.when(whole, F.from_json(body, "array<double>", {"allowNonNumericNumbers": "false"}))
 
 
 def _list_ok(p: Column, length: int | None, reject_negative: bool) -> Column:

@@ -45,8 +45,11 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
 def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer (ST1 / ST2).
 
-    Each micro-batch overwrites its own ``epoch=<id>`` folder, so a batch that
-    is replayed after a failure replaces itself instead of adding duplicates.
+    Each micro-batch overwrites its own ``run=<run>/epoch=<id>`` folder, so a batch
+    that is replayed after a failure replaces itself instead of adding duplicates.
+    ``run`` is the streaming query's id, which its checkpoint keeps: a query that
+    goes on from its checkpoint writes on in its folder, and one with a fresh
+    checkpoint never touches what earlier runs wrote.
     Rows whose ``md5(key)`` is in ``done_keys`` (ids finished by an earlier
     run, read once when the stream starts) are skipped.
     """
@@ -59,8 +62,10 @@ def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None)
                 .join(done_keys, "_k", "left_anti")
                 .drop("_k")
             )
-        fresh.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or without_query
+        fresh.write.mode("overwrite").parquet(f"{out_path}/run={run}/epoch={epoch_id}")
 
+    without_query = uuid.uuid4().hex
     return write
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from kiln.plans.registry import REGISTRY
 from kiln.sources.tables import TABLES
 
 from .conftest import SF_SMALL
@@ -38,11 +39,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = REGISTRY[name].fn(spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
-    sql = E.oracle_sql().get(name)
+    sql = REGISTRY[name].sql
     if sql is None:
         assert len(rows) >= 0
         return
