@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from .common import query, read
 
 #: Chunks a worker remembers; beyond that it starts anew (a matter of memory, not of results).
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 500_000
 #: Rows a worker turns at a time, so that ids and texts of one slice fit in memory.
 SLICE_ROWS = 256
 
