@@ -1,8 +1,7 @@
 """Numeric-subset math answer equivalence as column expressions.
 
 The reference calls an external LaTeX/symbolic parser. We keep the part that
-is a plain column job: pick the answer text (last ``\\boxed{…}`` without nested
-braces, else the first ``<answer>…</answer>``, else the whole text), drop
+is a plain column job: pick the answer text (last closed ``\\boxed{…}``, else the first ``<answer>…</answer>``, else the whole text), drop
 ``$``, ``\\left``/``\\right``, ``\\!`` and whitespace, rewrite ``\\frac{a}{b}`` /
 ``\\dfrac{a}{b}`` to ``a/b``, then compare numerically (with tolerance) when
 both sides are numbers or simple fractions, and as strings otherwise.
@@ -17,17 +16,51 @@ from pyspark.sql import functions as F
 
 from .text import col_of, first_between, py_strip
 
-# ``\boxed{…}`` whose content may nest braces two levels deep (e.g. ``\frac{a}{b}``).
-_BRACED = r"(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*"
-_BOXED = r"\\boxed\{(" + _BRACED + r")\}"
+_BOX = "\\boxed{"
+# Pieces of a text: the start of a box, a brace, or a run without either.
+_PIECE = r"\\boxed\{|[{}]|[^{}\\]++|\\"
 _FRAC = r"\\d?frac\{([^{}]*)\}\{([^{}]*)\}"
 _NUM_FRAC = r"^(-?[0-9]+(?:\.[0-9]+)?)/(-?[0-9]+(?:\.[0-9]+)?)$"
 
 
+def last_boxed(x: Column) -> Column:
+    """Content of the last ``\\boxed{…}`` that is closed (braces nest to any depth); NULL if none.
+
+    Read from the right, a box is closed if a closing brace is still unmatched.
+    Two folds with a few counters as state, so linear in the text.
+    """
+
+    def from_right(a: Column, piece: Column) -> Column:
+        opens = piece.isin("{", _BOX)
+        return F.struct(
+            (a["closers"] + F.when(piece == "}", 1).when(opens & (a["closers"] > 0), -1).otherwise(0)).alias("closers"),
+            (a["chars"] + F.length(piece)).alias("chars"),
+            F.when((a["found"] < 0) & (piece == _BOX) & (a["closers"] > 0), a["chars"]).otherwise(a["found"]).alias("found"),
+        )
+
+    start = F.struct(F.lit(0).alias("closers"), F.lit(0).alias("chars"), F.lit(-1).alias("found"))
+    pieces = F.regexp_extract_all(x, F.lit(_PIECE), 0)
+    after = F.aggregate(F.reverse(pieces), start, from_right)["found"]
+    tail = F.when(after > 0, F.substring(x, F.length(x) - after + 1, after))
+
+    def from_left(a: Column, piece: Column) -> Column:
+        depth = a["depth"] + F.when(piece == "}", -1).when(piece.isin("{", _BOX), 1).otherwise(0)
+        inside = (a["depth"] > 0) & (depth > 0)
+        return F.struct(
+            F.when(a["depth"] > 0, depth).otherwise(0).alias("depth"),
+            (a["chars"] + F.when(inside, F.length(piece)).otherwise(0)).alias("chars"),
+        )
+
+    inner = F.aggregate(
+        F.regexp_extract_all(tail, F.lit(_PIECE), 0), F.struct(F.lit(1).alias("depth"), F.lit(0).alias("chars")), from_left
+    )["chars"]
+    return F.substring(tail, F.lit(1), inner)
+
+
 def answer_text(c: Column | str) -> Column:
     """The answer span of a model text or a gold solution."""
     x = col_of(c)
-    boxed = F.try_element_at(F.regexp_extract_all(x, F.lit(_BOXED), 1), F.lit(-1))
+    boxed = F.when(F.instr(x, _BOX) > 0, last_boxed(x))
     tagged = first_between(x, "<answer>", "</answer>")
     return F.coalesce(boxed, F.when(F.instr(x, "<answer>") > 0, tagged), x)
 

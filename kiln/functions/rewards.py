@@ -163,7 +163,7 @@ def repetition_penalty_reward(
     pandas UDF wrapping a word segmenter; none is bundled.
     """
     if max_penalty > 0:
-        raise ValueError(f"max_penalty {max_penalty} should not be positive")
+        raise ValueError(f"the penalty must be zero or less, got {max_penalty}")
     x = col_of(completion)
     if language == "en":
         words = split_words(x, lower=True)
@@ -171,7 +171,7 @@ def repetition_penalty_reward(
         words = segmenter(x)
     else:
         raise ValueError(
-            f"Word splitting for language `{language}` needs a segmenter hook (Column -> array<string>)."
+            f"pass a segmenter (Column -> array<string>) for texts in {language!r}"
         )
     total = F.size(words) - F.lit(ngram_size - 1)
     distinct = F.size(F.array_distinct(word_ngrams(words, ngram_size)))
@@ -188,7 +188,7 @@ def with_repetition_penalty(
 ):
     """DataFrame form of R13: words are computed once in their own projection."""
     if max_penalty > 0:
-        raise ValueError(f"max_penalty {max_penalty} should not be positive")
+        raise ValueError(f"the penalty must be zero or less, got {max_penalty}")
     w = df.withColumn("_rp_words", split_words(text, lower=True))
     total = F.size("_rp_words") - F.lit(ngram_size - 1)
     distinct = F.size(F.array_distinct(word_ngrams("_rp_words", ngram_size)))
@@ -293,7 +293,20 @@ def binary_reward(score: Column) -> Column:
     return F.when(score.isNull(), _d(None)).when(score > BINARY_THRESHOLD, _d(1.0)).otherwise(_d(0.0))
 
 
-# W3 lives in operators.groups (needs a group scope); R15/R16 in functions.code.
+# W3 by name; on whole tables operators.groups.length_reward needs no window.
+def length_reward(completion: Column | str, correct: Column, scope: Column | str) -> Column:
+    """Length reward within ``scope`` as one column; a window over the scope's generations."""
+    from pyspark.sql import Window
+
+    n = F.length(col_of(completion))
+    group = Window.partitionBy(col_of(scope))
+    low, high = F.min(n).over(group), F.max(n).over(group)
+    share = F.lit(0.5) - F.try_divide((n - low).cast("double"), (high - low).cast("double"))
+    value = F.when(F.coalesce(correct, F.lit(True)), share).otherwise(F.least(F.lit(0.0), share))
+    return F.when(high == low, F.lit(0.0)).otherwise(value)
+
+
+# R15/R16 live in functions.code.
 
 
 def reward_registry(**params) -> dict[str, Callable[..., Column]]:
@@ -322,7 +335,9 @@ def reward_registry(**params) -> dict[str, Callable[..., Column]]:
         "repetition_penalty": lambda completion, solution=None, **kw: repetition_penalty_reward(
             completion, rep_n, rep_max
         ),
-        "length": None,  # needs a group scope: kiln.operators.groups.length_reward
+        "length": lambda completion, solution=None, scope="prompt_id", **kw: length_reward(
+            completion, math_correct(completion, solution), scope
+        ),
         "code": lambda completion=None, solution=None, score=None, **kw: score,
         "binary_code": lambda completion=None, solution=None, score=None, **kw: binary_reward(score),
         "ioi_code": lambda completion=None, solution=None, score=None, **kw: score,

@@ -26,7 +26,8 @@ def dedupe_last(df: DataFrame, key: str, order: str) -> DataFrame:
 def join_gold(rows: DataFrame, gold: DataFrame, on: str, gold_order: str, strict: bool = True) -> DataFrame:
     """Look up each row's gold record by a text key (duplicate keys: last wins).
 
-    ``strict`` raises (like a missing dict key) when some row has no gold.
+    ``strict`` raises (like a missing dict key) when some row has no gold; without
+    it such a row stays with NULL gold columns.
     """
     g = dedupe_last(gold, on, gold_order)
     if strict:
@@ -34,7 +35,7 @@ def join_gold(rows: DataFrame, gold: DataFrame, on: str, gold_order: str, strict
         if missing:
             raise KeyError(f"rows without a gold record on {on!r}")
     # Gold tables are usually far smaller than the responses: measured broadcast.
-    return measured_join(rows, g, on, "inner")
+    return measured_join(rows, g, on, "left")
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str, left_col: str, right_col: str) -> DataFrame:

@@ -4,15 +4,13 @@ Plan shape (one pass over the corpus, no shuffle of the corpus text):
 
 1. benchmark texts → normalised words → distinct 8-grams tagged with the
    benchmark name (small; counted before it is broadcast);
-2. corpus rows → ``array_distinct`` of their 8-grams → ``explode`` →
-   broadcast hash join on the n-gram string (exact, no hash collisions) →
-   distinct ``(row key, benchmark)`` hits (tiny);
+2. corpus rows → 8-byte hashes of their 8-grams → ``explode`` → semi-join with
+   the benchmarks' hashes (broadcast within the measured bound) → keys of the
+   rows with a hit (few) → exact confirmation of those rows on the strings;
 3. flags per row = left join of the corpus with the per-row flags, broadcast
    after a count when few rows are hit (no shuffle of the corpus then).
 
-If the benchmark n-gram set is above the broadcast bound, step 2 becomes a
-shuffle join on ``xxhash64(ngram)`` (8-byte keys) followed by an exact
-confirmation on the strings of the candidate rows only.
+Above the bound, step 2 shuffles 8-byte hashes.
 """
 
 from __future__ import annotations
@@ -58,22 +56,24 @@ def contamination_hits(
     n: int = 8,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark."""
-    doc_grams = _doc_grams(corpus, key, text, n)
-    # Measured first, then broadcast: written once to the checkpoint folder so
-    # the measurement and the join read the same table (no cache left behind).
+    """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark.
+
+    Rows are probed by 8-byte n-gram hashes; the rows with a hit (few) are then
+    confirmed on the n-gram strings, so the result is exact.
+    """
+    # Written once, so that the measurements and the joins read the same table.
     checkpoint_dir(bench_grams.sparkSession)
     bench_grams = bench_grams.checkpoint(eager=True)
-    small, is_bc = broadcast_if_small(bench_grams, max_broadcast_rows)
-    if is_bc:
-        return doc_grams.join(small, "ngram", "inner").select(key, "benchmark").distinct()
-    # Large benchmark side: shuffle 8-byte hashes, then confirm on strings for candidates only.
-    hashed_docs = doc_grams.select(key, F.xxhash64("ngram").alias("h"))
-    hashed_bench = bench_grams.select(F.xxhash64("ngram").alias("h")).distinct()
-    cand_keys = hashed_docs.join(hashed_bench, "h", "left_semi").select(key).distinct()
-    cand = corpus.join(cand_keys, key, "left_semi")
-    cand_grams = _doc_grams(cand, key, text, n)
-    return cand_grams.join(bench_grams, "ngram", "inner").select(key, "benchmark").distinct()
+    words = corpus.select(F.col(key), split_words(text, lower=True).alias("_w")).filter(F.size("_w") >= n)
+    starts = F.sequence(F.lit(1), F.size("_w") - F.lit(n - 1))
+    hashed = words.select(F.col(key), F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, n)))).alias("_h"))
+    probe, _ = broadcast_if_small(
+        bench_grams.select(F.xxhash64(F.split("ngram", " ")).alias("_h")).distinct(), max_broadcast_rows
+    )
+    hit_keys = hashed.join(probe, "_h", "left_semi").select(key).distinct()
+    candidates = measured_join(corpus, hit_keys, key, "left_semi")
+    exact, _ = broadcast_if_small(bench_grams, max_broadcast_rows)
+    return _doc_grams(candidates, key, text, n).join(exact, "ngram", "inner").select(key, "benchmark").distinct()
 
 
 def decontaminate(
@@ -129,7 +129,7 @@ def removal_counts(flagged: DataFrame, order: list[str] | None = None) -> DataFr
 
 
 def exact_dedup(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Keep the smallest key per normalised text.
+    """Keep the smallest key per normalised text (NULL texts are equal to each other).
 
     Only a narrow ``(key, md5(normalised text))`` projection is shuffled:
     ``min(key)`` per hash is a partial aggregate (a text repeated by a third
@@ -138,7 +138,7 @@ def exact_dedup(df: DataFrame, key: str, text: str) -> DataFrame:
     from the table with an anti-join that broadcasts them when they are few
     (measured) instead of shuffling the text.
     """
-    hk = df.select(F.col(key), F.md5(normalize_text(text)).alias("_h"))
+    hk = df.select(F.col(key), F.coalesce(F.md5(normalize_text(text)), F.lit("")).alias("_h"))
     # The narrow projection is written once, so the text is normalised and hashed once.
     checkpoint_dir(df.sparkSession)
     hk = hk.checkpoint(eager=True)

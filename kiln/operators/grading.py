@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code import STATUS_PRIORITY, status_priority, test_status
 from ..functions.text import py_strip
+from .sizing import join_on_nullable
 
 NO_COMPILE_REWARD = -0.1
 NO_SUBMISSION_REWARD = -1.0
@@ -28,6 +29,7 @@ def cf_submission_scores(
     compile_error: Column | None = None,
     has_code: Column | None = None,
     modes: Sequence[str] = ("pass_fail", "partial", "weighted_sum"),
+    submissions: DataFrame | None = None,
 ) -> DataFrame:
     """One score column per scoring mode.
 
@@ -35,6 +37,7 @@ def cf_submission_scores(
       after the first batch with a failing test, so a compile error in a later
       batch is never seen);
     * no extracted code → −1.0;
+    * no tests → NULL, for those of ``submissions`` (one row each) without results;
     * ``pass_fail`` = 1 if every test passed; ``partial`` = passed/total;
       ``weighted_sum`` = pass_fail + 0.1·partial.
     """
@@ -48,7 +51,9 @@ def cf_submission_scores(
         F.min(F.when(ce, F.col(batch))).alias("_first_ce"),
         F.bool_and(code).alias("_has_code"),
     )
-    ratio = F.col("n_passed") / F.col("n_tests")
+    if submissions is not None:
+        agg = submissions.join(agg, submission, "left").fillna(0, ["n_tests", "n_passed"])
+    ratio = F.try_divide(F.col("n_passed"), F.col("n_tests"))
     all_pass = F.when(F.col("n_passed") == F.col("n_tests"), F.lit(1.0)).otherwise(F.lit(0.0))
     ce_any = F.col("_first_ce").isNotNull()
     ce_seen_pf = ce_any & (F.col("_first_fail").isNull() | (F.col("_first_ce") <= F.col("_first_fail")))
@@ -83,7 +88,7 @@ def apply_early_stop(results: DataFrame, keys: Sequence[str], batch: str = "batc
     They keep the initial result: status ``SKIPPED``, score 0.
     """
     first = results.groupBy(*keys).agg(F.min(F.when(F.col("score") == 0.0, F.col(batch))).alias("_stop"))
-    j = results.join(first, list(keys), "inner")
+    j = join_on_nullable(results, first, list(keys))
     skipped = F.col("_stop").isNotNull() & (F.col(batch) > F.col("_stop"))
     return (
         j.withColumn("status", F.when(skipped, F.lit("SKIPPED")).otherwise(F.col("status")))
@@ -98,21 +103,69 @@ def subtask_scores(
     points: Column | None = None,
     precision: int = 2,
     extra: Sequence[Column] = (),
+    subtasks: DataFrame | None = None,
 ) -> DataFrame:
     """Subtask score = round(min test score), weighted by points; worst status.
 
     ``results`` needs ``score`` and ``status``; ``points`` is a column of the
-    subtask's maximum points (default 1).
+    subtask's maximum points (default 1). Those of ``subtasks`` (one row for each
+    key) without tests score 0 and have no status.
     """
     pts = points if points is not None else F.lit(1.0)
     g = results.withColumn("_prio", status_priority(F.col("status"))).withColumn("_pts", pts)
-    return g.groupBy(*keys).agg(
+    scored = g.groupBy(*keys).agg(
         F.bround(F.min("score"), precision).alias("subtask_score"),
         F.bround(F.min("score") * F.first("_pts"), precision).alias("weighted_score"),
         F.min_by("status", "_prio").alias("subtask_status"),
         F.count(F.lit(1)).alias("n_tests"),
         *extra,
     )
+    if subtasks is None:
+        return scored
+    zero = {"subtask_score": 0.0, "weighted_score": 0.0, "n_tests": 0}
+    return subtasks.select(*keys).join(scored, list(keys), "left").fillna(zero)
+
+
+def early_stopped_scores(
+    results: DataFrame,
+    keys: Sequence[str] = ("submission_id", "subtask"),
+    batch: str = "batch_no",
+    points: Column | None = None,
+    precision: int = 2,
+) -> DataFrame:
+    """:func:`subtask_scores` of :func:`apply_early_stop` from one scan, plus ``n_skipped``.
+
+    Tests shrink to numbers for each batch first. The first batch with a zero score
+    decides: its worst status counts (earlier batches have none as bad), all later
+    tests are skipped. Scores are 0 or above.
+    """
+    pts = points if points is not None else F.lit(1.0)
+    keys = list(keys)
+    per_batch = (
+        results.select(*keys, batch, "score", status_priority(F.col("status")).alias("_prio"), pts.alias("_pts"))
+        .groupBy(*keys, batch)
+        .agg(
+            F.min("score").alias("_min"),
+            F.min("_prio").alias("_prio"),
+            F.max("_pts").alias("_pts"),
+            F.count(F.lit(1)).alias("_n"),
+        )
+    )
+    stop = per_batch.groupBy(*keys).agg(F.min(F.when(F.col("_min") == 0.0, F.col(batch))).alias("_stop"))
+    j = join_on_nullable(per_batch, stop, keys)
+    ran = F.col("_stop").isNull() | (F.col(batch) <= F.col("_stop"))
+    status = F.create_map(*[F.lit(x) for s, p in STATUS_PRIORITY.items() for x in (p, s)])
+    out = j.groupBy(*keys).agg(
+        F.bround(F.min("_min"), precision).alias("subtask_score"),
+        F.bround(F.min("_min") * F.max("_pts"), precision).alias("weighted_score"),
+        F.min(F.when(ran, F.col("_prio"))).alias("_prio"),
+        F.sum("_n").alias("n_tests"),
+        F.coalesce(F.sum(F.when(~ran, F.col("_n"))), F.lit(0).cast("long")).alias("n_skipped"),
+    )
+    return out.select(
+        *keys, "subtask_score", "weighted_score", F.element_at(status, F.col("_prio")).alias("subtask_status"),
+        "n_tests", "n_skipped",
+    )
 
 
 def stdout_test_passed(stdout: Column, expected: Column, exit_code: Column) -> Column:
@@ -137,15 +190,24 @@ def success_rates(tests: DataFrame, submission: str, passed: str = "passed", ext
 
 
 def tests_by_problem(
-    problems: DataFrame, tests: DataFrame, problem: str = "problem_id", order: str = "test_name"
+    problems: DataFrame,
+    tests: DataFrame,
+    problem: str = "problem_id",
+    order: str = "test_name",
+    generated: DataFrame | None = None,
 ) -> DataFrame:
     """Each problem with its test list (missing → empty list).
 
-    Tests are grouped per problem first (partial aggregation), then joined to
-    the problem table, so the join carries one row per problem.
+    ``generated`` tests (the same columns) follow the official ones. Tests are
+    grouped per problem first, then joined to the problem table, so the join
+    carries one row per problem; a problem's list is part of the output row.
     """
+    tests = tests.select(problem, order, "input", "output").withColumn("_o", F.struct(F.lit(0).alias("part"), F.col(order).alias("name")))
+    if generated is not None:
+        extra = generated.select(problem, order, "input", "output")
+        tests = tests.unionByName(extra.withColumn("_o", F.struct(F.lit(1).alias("part"), F.col(order).alias("name"))))
     packed = tests.groupBy(problem).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.col("input"), F.col("output")))).alias("_t")
+        F.array_sort(F.collect_list(F.struct("_o", "input", "output"))).alias("_t")
     )
     j = problems.join(packed, problem, "left")
     tc = F.coalesce(

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sizing import join_on_nullable
+
 ZERO_STD_ATOL = 1e-8
 ADV_EPS = 1e-4
 
@@ -29,7 +31,7 @@ def weighted_reward_sum(rewards: Sequence[str], weights: Sequence[float] | None
     if weights is None:
         weights = [1.0] * len(rewards)
     if len(weights) != len(rewards):
-        raise ValueError(f"Number of reward weights ({len(weights)}) must match number of reward functions ({len(rewards)})")
+        raise ValueError(f"{len(rewards)} rewards need as many weights, got {len(weights)}")
     total = F.lit(0.0)
     for r, w in zip(rewards, weights):
         total = total + F.coalesce(F.col(r).cast("double"), F.lit(0.0)) * F.lit(float(w))
@@ -54,7 +56,7 @@ def group_advantages(
         F.avg(reward).alias("group_mean"),
         F.stddev_samp(reward).alias("group_std"),
     )
-    j = df.join(stats, on=keys, how="inner")
+    j = join_on_nullable(df, stats, keys)
     adv = F.col(reward) - F.col("group_mean")
     if scale_rewards:
         adv = adv / (F.col("group_std") + F.lit(ADV_EPS))
@@ -142,7 +144,7 @@ def length_reward(
     keys = _keys(scope)
     with_len = df.withColumn("_len", F.length(completion))
     mm = with_len.groupBy(*keys).agg(F.min("_len").alias("_min"), F.max("_len").alias("_max"))
-    j = with_len.join(mm, on=keys, how="inner")
+    j = join_on_nullable(with_len, mm, keys)
     lam = F.lit(0.5) - (F.col("_len") - F.col("_min")).cast("double") / (F.col("_max") - F.col("_min")).cast("double")
     ok = F.coalesce(F.col(correct), F.lit(True))
     val = F.when(F.col("_max") == F.col("_min"), F.lit(0.0)).when(ok, lam).otherwise(F.least(F.lit(0.0), lam))
@@ -177,14 +179,18 @@ def metric_means(df: DataFrame, step: str = "step", metric: str = "metric", mode
 def cumulative_by_step(
     df: DataFrame, amount: str, step: str = "step", partition: Sequence[str] = ("mode",), out: str = "cumulative"
 ) -> DataFrame:
-    """Per-step totals, then a running sum over steps within each partition.
+    """Per-step totals of a whole-number column, then a running sum over steps within each partition.
 
-    The per-step totals are pre-aggregated first, so the running-sum window
-    sees one row per (partition, step), not one per logged value.
+    Totals are pre-aggregated, then summed in the order of (partition, step) by
+    range, so a partition with very many steps is spread over many tasks.
     """
-    per = df.groupBy(*partition, step).agg(F.sum(amount).alias("step_total"))
-    w = Window.partitionBy(*partition).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per.withColumn(out, F.sum("step_total").over(w))
+    from .tokenize import global_prefix_sum
+
+    keys = list(partition)
+    per = df.groupBy(*keys, step).agg(F.sum(amount).cast("long").alias("step_total"))
+    cum = global_prefix_sum(per, [*keys, step], "step_total", out="_cum")
+    before = cum.groupBy(*keys).agg(F.min_by(F.col("_cum") - F.col("step_total"), F.col(step)).alias("_base"))
+    return join_on_nullable(cum, before, keys).withColumn(out, F.col("_cum") - F.col("_base")).drop("_cum", "_base")
 
 
 # A15

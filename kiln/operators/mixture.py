@@ -54,7 +54,7 @@ def check_columns(frames: Sequence[DataFrame]) -> None:
     """Every mixture entry must select the same set of columns."""
     sets = [frozenset(f.columns) for f in frames]
     if len(set(sets)) > 1:
-        raise ValueError("Column names must be consistent across all dataset configs in the mixture.")
+        raise ValueError("every entry of a mixture must select the same columns")
 
 
 def build_mixture(spec: MixtureSpec) -> dict[str, DataFrame]:
@@ -64,7 +64,7 @@ def build_mixture(spec: MixtureSpec) -> dict[str, DataFrame]:
     shuffled order). Entry keys need only be unique within their entry.
     """
     if not spec.entries:
-        raise ValueError("No datasets were loaded from the mixture configuration")
+        raise ValueError("a mixture needs at least one entry")
     parts = []
     for e in spec.entries:
         cols = e.columns if e.columns is not None else [c for c in e.df.columns]
@@ -96,7 +96,7 @@ def pad_to_multiple(df: DataFrame, key: str, multiple: int = 32, seed: int = 0)
     """Append rows drawn with replacement until the row count is a multiple.
 
     Row ``i`` of the padding (``i < pad``, at most ``multiple - 1`` rows) is the
-    row ranked ``pmod(xxhash64(seed, i), n) + 1``; padding rows get
+    row ranked ``first 8 hex digits of md5("<seed>:<i>") mod n, plus 1``; padding rows get
     ``is_padding = true``.
     """
     n = df.count()
@@ -107,7 +107,11 @@ def pad_to_multiple(df: DataFrame, key: str, multiple: int = 32, seed: int = 0)
     # Rank only the keys; the (< multiple) picked keys are broadcast back to the rows.
     ranked = global_row_number(df.select(key), [F.col(key)], out="_rk")
     picks = df.sparkSession.range(pad).select(
-        (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)) + 1).alias("_rk")
+        (
+            F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+            % F.lit(n)
+            + 1
+        ).alias("_rk")
     )
     picked = ranked.join(F.broadcast(picks), "_rk", "inner").select(key)
     extra = df.join(F.broadcast(picked), key, "inner").withColumn("is_padding", F.lit(True))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .sizing import join_on_nullable
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition_id << 33 | row index
 
@@ -112,6 +113,7 @@ def first_k_hashed(df: DataFrame, order: Sequence[str | Column], k) -> DataFrame
     """
     cols = _order_cols(order)
     bucket = F.conv(F.substring(cols[0], 1, HASH_PREFIX_HEX), 16, 10).cast("int")
+    bucket = F.coalesce(bucket, F.lit(-1))  # NULL keys come first
     hist = sorted(df.select(bucket.alias("_b")).groupBy("_b").count().collect())
     if callable(k):
         k = k(sum(c for _, c in hist))
@@ -136,7 +138,7 @@ def rank_within_groups(df: DataFrame, group: Sequence[str], order: Sequence[str
     """
     g = global_row_number(df, [*group, *order], out="_g")
     first = g.groupBy(*group).agg(F.min("_g").alias("_g0"))
-    return g.join(first, list(group), "inner").withColumn(out, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
+    return join_on_nullable(g, first, list(group)).withColumn(out, F.col("_g") - F.col("_g0") + 1).drop("_g", "_g0")
 
 
 def seeded_order_key(seed: int, *keys: str | Column) -> Column:

@@ -55,3 +55,16 @@ def measured_join(big: DataFrame, other: DataFrame, on, how: str = "inner") -> D
     other = other.checkpoint(eager=True)
     side, _ = broadcast_if_small(other)
     return big.join(side, on, how)
+
+
+def join_on_nullable(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns that ``stats`` holds for its key; a NULL key matches a NULL key.
+
+    ``stats`` has one row for each key of ``df``, so every row of ``df`` stays.
+    """
+    renamed = stats.withColumnsRenamed({k: f"_stats_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = df[k].eqNullSafe(renamed[f"_stats_{k}"])
+        on = same if on is None else on & same
+    return df.join(renamed, on, "inner").drop(*[f"_stats_{k}" for k in keys])

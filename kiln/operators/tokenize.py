@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import split_words
 from .ranking import global_row_number
-from .sizing import broadcast_if_small
+from .sizing import broadcast_if_small, join_on_nullable
 
 
 def vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
@@ -30,13 +30,19 @@ def vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     return global_row_number(v, [word], out="_rn").select(word, (F.col("_rn") - 1).cast("int").alias("token_id"))
 
 
-def whitespace_vocabulary_ids(df: DataFrame, key: str, text: str, vocab: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Return ``(df + input_ids, vocab)``; ids follow the word order of each text."""
+def whitespace_vocabulary_ids(
+    df: DataFrame, key: str, text: str, vocab: DataFrame | None = None, unknown_id: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Return ``(df + input_ids, vocab)``; ids follow the word order of each text.
+
+    A word outside a given vocabulary gets ``unknown_id``; without one it is an error.
+    """
     exploded = df.select(key, F.posexplode(split_words(text, lower=False)).alias("pos", "word"))
     if vocab is None:
         vocab = vocabulary(exploded)
     v, _ = broadcast_if_small(vocab)
-    ided = exploded.join(v, "word", "inner")
+    unknown = F.lit(unknown_id) if unknown_id is not None else F.raise_error(F.lit("word outside the vocabulary")).cast("int")
+    ided = exploded.join(v, "word", "left").withColumn("token_id", F.coalesce("token_id", unknown))
     packed = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
     ids = packed.select(key, F.transform("_t", lambda s: s["token_id"]).alias("input_ids"))
     out = df.join(ids, key, "left").withColumn(
@@ -65,7 +71,7 @@ def running_offsets(df: DataFrame, shard: str, order: str, length: str, out: str
     cum = global_prefix_sum(df, [shard, order], length, out="_cum")
     base = cum.groupBy(shard).agg(F.min(F.col("_cum") - F.col(length)).alias("_base"))
     return (
-        cum.join(base, shard, "inner")
+        join_on_nullable(cum, base, [shard])
         .withColumn(out, F.col("_cum") - F.col(length) - F.col("_base"))
         .drop("_cum", "_base")
     )

@@ -179,9 +179,9 @@ def bool_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = lab.join(docs, "doc_id", "inner")
     return j.select(
         "doc_id",
-        F.concat(F.lit("Is this passage high quality? "), F.substring("text", 1, 60)).alias("question"),
+        F.concat(F.lit("Is this passage high quality? "), F.col("text")).alias("question"),
         (F.col("quality") == 1).alias("answer"),
-        F.split(F.substring("text", 1, 300), "\n").alias("facts"),
+        F.split("text", "\n").alias("facts"),
         F.when(F.col("toxic") == 1, F.lit(" TRUE ")).when(F.col("quality") == 1, F.lit("false")).otherwise(F.lit("maybe")).alias(
             "model_answer"
         ),
@@ -189,8 +189,8 @@ def bool_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOOL_SQL = f"""
-WITH b AS (SELECT l.doc_id, concat('Is this passage high quality? ', substring(d.text, 1, 60)) AS question,
-                  l.quality = 1 AS answer, string_split(substring(d.text, 1, 300), chr(10)) AS facts,
+WITH b AS (SELECT l.doc_id, concat('Is this passage high quality? ', d.text) AS question,
+                  l.quality = 1 AS answer, string_split(d.text, chr(10)) AS facts,
                   CASE WHEN l.toxic = 1 THEN ' TRUE ' WHEN l.quality = 1 THEN 'false' ELSE 'maybe' END AS model_answer
            FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
 SELECT doc_id, {_lit(FM.SYSTEM_PROMPTS[('strategyqa', 'ta')])} AS system, question AS user,
@@ -224,18 +224,18 @@ def multiple_choice_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return d.select(
         "doc_id",
-        F.substring("text", 1, 50).alias("Problem"),
+        F.col("text").alias("Problem"),
         opts.alias("options"),
         F.concat(F.lit(" "), F.substring(F.lit("ABCDE"), (F.col("doc_id") % 5 + 1).cast("int"), 1), F.lit(" ")).alias("correct"),
-        F.concat(F.lit('"'), F.substring("text", 1, 120), F.lit('"')).alias("Rationale"),
+        F.concat(F.lit('"'), F.col("text"), F.lit('"')).alias("Rationale"),
     )
 
 
 _MC_SQL = f"""
-WITH m AS (SELECT doc_id, substring(text, 1, 50) AS problem,
+WITH m AS (SELECT doc_id, text AS problem,
                   concat_ws(' , ', {", ".join(f"concat('{ch} ) ', cast((n_chars + {i}) % 97 AS varchar))" for i, ch in enumerate("abcde"))}) AS options,
                   concat(' ', substring('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1), ' ') AS correct,
-                  concat('"', substring(text, 1, 120), '"') AS rationale FROM documents),
+                  concat('"', text, '"') AS rationale FROM documents),
 f AS (SELECT doc_id, concat(problem, chr(10) || 'Options: ', options) AS question, lower({S.strip('correct')}) AS answer,
              regexp_replace(regexp_replace(rationale, '^"', ''), '"$', '') AS rationale FROM m)
 SELECT doc_id, question AS user, answer, split_part(question, chr(10) || 'Options: ', 1) AS problem_back,

@@ -187,14 +187,14 @@ def _variants_sql() -> str:
     teacher += "coalesce(len(lst) = 2 AND lst[1] = stat_accuracy_reward AND lst[2] = stat_format_all_reward, false) AS ok "
     teacher += "FROM t JOIN qa_hash qa ON t.request_index = qa.index),"
     bq = """
-bq AS (SELECT l.doc_id, concat('Is this passage high quality? ', substring(d.text, 1, 60)) AS question, l.quality = 1 AS answer,
-              string_split(substring(d.text, 1, 300), chr(10)) AS facts FROM labels l JOIN documents d ON l.doc_id = d.doc_id),"""
+bq AS (SELECT l.doc_id, concat('Is this passage high quality? ', d.text) AS question, l.quality = 1 AS answer,
+              string_split(d.text, chr(10)) AS facts FROM labels l JOIN documents d ON l.doc_id = d.doc_id),"""
     mc = f"""
-mc AS (SELECT doc_id, concat(substring(text, 1, 50), chr(10) || 'Options: ',
+mc AS (SELECT doc_id, concat(text, chr(10) || 'Options: ',
               concat_ws(' , ', {", ".join(f"concat('{ch} ) ', cast((n_chars + {i}) % 97 AS varchar))" for i, ch in enumerate("abcde"))})) AS question,
               lower({S.strip("concat(' ', substring('ABCDE', CAST(doc_id % 5 + 1 AS INTEGER), 1), ' ')")}) AS answer,
-              regexp_replace(regexp_replace(concat('\"', substring(text, 1, 120), '\"'), '^\"', ''), '\"$', '') AS rationale,
-              substring(text, 1, 50) AS response FROM documents)"""
+              regexp_replace(regexp_replace(concat('\"', text, '\"'), '^\"', ''), '\"$', '') AS rationale,
+              text AS response FROM documents)"""
     sp = FM.SYSTEM_PROMPTS
     facts_ans = tagged("array_to_string(facts, ' ')", "CASE WHEN answer THEN 'True' ELSE 'False' END")
     rat_ans = tagged("rationale", "answer")
@@ -241,12 +241,21 @@ def q_prompt_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_count_reward(c: pd.Series, s: pd.Series) -> pd.Series:
-    return c.str.split().str.len().clip(upper=100) / 100.0
+    return c.str.split().str.len() / 100.0
 
 
-@query("user_reward_hooks", ids=("X1", "X2", "X3", "R24"))
+_HOOKS_SQL = f"""
+WITH {S.ROLLOUTS.strip()}
+SELECT doc_id, CAST({S.accuracy('completion', 'solution')} AS DOUBLE) AS accuracy, len({S.words('completion')}) / 100.0::DOUBLE AS word_count,
+       CAST((length(completion) - length(replace(completion, '<answer>', ''))) / 8 AS DOUBLE) AS model_score,
+       concat('### ', solution) AS formatted
+FROM rollouts
+"""
+
+
+@query("user_reward_hooks", ids=("X1", "X2", "X3", "R24"), sql=_HOOKS_SQL)
 def q_user_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user reward by name (pandas UDF), a formatting function and a batched reward model (rows-only)."""
+    """A user reward by name (pandas UDF), a formatting function and a batched reward model."""
     H.register_reward("word_count", H.python_reward(_word_count_reward))
     acc, wc = H.get_rewards(["accuracy", "word_count"])
     model = H.reward_model(lambda texts: texts.str.count("<answer>").astype("float64"))
@@ -263,13 +272,27 @@ def q_user_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _echo_generator(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Two generations for each prompt: its words backwards, and its words in capitals."""
     words = pdf["prompt"].str.split()
-    return pd.DataFrame({"prompt": pdf["prompt"], "generation": words.str[::-1].str.join(" ")})
+    back = pd.DataFrame({"prompt": pdf["prompt"], "gen_no": 0, "generation": words.str[::-1].str.join(" ")})
+    loud = pd.DataFrame({"prompt": pdf["prompt"], "gen_no": 1, "generation": pdf["prompt"].str.upper()})
+    return pd.concat([back, loud])
+
 
+_GENERATE_SQL = f"""
+WITH {S.ROLLOUTS.strip()},
+p AS (SELECT doc_id, concat('problem ', prompt_id, ' ', solution) AS prompt FROM rollouts)
+SELECT doc_id, prompt, CAST(i AS INTEGER) AS gen_no,
+       CASE i WHEN 0 THEN array_to_string(list_reverse(string_split(prompt, ' ')), ' ') ELSE upper(prompt) END AS generation
+FROM p, (VALUES (0), (1)) g(i)
+"""
 
-@query("generate_once_per_prompt", ids=("X4",))
+
+@query("generate_once_per_prompt", ids=("X4",), sql=_GENERATE_SQL)
 def q_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generation runs once per distinct prompt (mapInPandas) and joins back to every row (rows-only)."""
-    r = rollouts(spark, sf_dir).select("doc_id", F.col("solution").alias("prompt"))
-    return H.generate_once_per_prompt(r, "prompt", _echo_generator, "prompt string, generation string")
+    """Two generations for each distinct prompt (mapInPandas), joined back to every row."""
+    r = rollouts(spark, sf_dir).select(
+        "doc_id", F.concat(F.lit("problem "), F.col("prompt_id").cast("string"), F.lit(" "), F.col("solution")).alias("prompt")
+    )
+    return H.generate_once_per_prompt(r, "prompt", _echo_generator, "prompt string, gen_no int, generation string")
 

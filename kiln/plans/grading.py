@@ -11,6 +11,7 @@ from ..operators import grading as GR
 from ..sources.fixtures import test_results
 from ..sources.tables import read_table
 from . import sqltext as S
+from .curation import _lit
 from .registry import query
 
 _CF_SQL = f"""
@@ -19,21 +20,26 @@ a AS (SELECT submission_id, count(*) AS n_tests, count(*) FILTER (WHERE score =
              min(batch_no) FILTER (WHERE score <> 1.0) AS ff,
              min(batch_no) FILTER (WHERE instr(feedback, 'Compilation error') > 0) AS fce
       FROM test_results GROUP BY submission_id)
-SELECT submission_id, n_tests, n_passed,
-       CASE WHEN fce IS NOT NULL AND (ff IS NULL OR fce <= ff) THEN -0.1
+SELECT o_orderkey AS submission_id, coalesce(n_tests, 0) AS n_tests, coalesce(n_passed, 0) AS n_passed,
+       CASE WHEN n_tests IS NULL THEN NULL WHEN fce IS NOT NULL AND (ff IS NULL OR fce <= ff) THEN -0.1
             WHEN n_passed = n_tests THEN 1.0 ELSE 0.0 END::DOUBLE AS pass_fail,
-       CASE WHEN fce IS NOT NULL THEN -0.1 ELSE n_passed / n_tests END::DOUBLE AS partial,
-       CASE WHEN fce IS NOT NULL THEN -0.1
+       CASE WHEN n_tests IS NULL THEN NULL WHEN fce IS NOT NULL THEN -0.1 ELSE n_passed / n_tests END::DOUBLE AS partial,
+       CASE WHEN n_tests IS NULL THEN NULL WHEN fce IS NOT NULL THEN -0.1
             ELSE (CASE WHEN n_passed = n_tests THEN 1.0 ELSE 0.0 END) + 0.1 * (n_passed / n_tests) END::DOUBLE AS weighted_sum,
-       CASE WHEN fce IS NOT NULL THEN 0.0 WHEN n_passed / n_tests > 0.99 THEN 1.0 ELSE 0.0 END::DOUBLE AS binary_partial
-FROM a
+       CASE WHEN n_tests IS NULL THEN NULL WHEN fce IS NOT NULL THEN 0.0 WHEN n_passed / n_tests > 0.99 THEN 1.0 ELSE 0.0 END::DOUBLE AS binary_partial
+FROM orders LEFT JOIN a ON o_orderkey = submission_id
 """
 
 
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All submissions; some have no test results."""
+    return read_table(spark, sf_dir, "orders", ["o_orderkey"]).select(F.col("o_orderkey").alias("submission_id"))
+
+
 @query("cf_submission_scores", ids=("A11", "R23"), sql=_CF_SQL)
 def q_cf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-submission scores in the three scoring modes, plus the binary threshold of ``partial``."""
-    s = GR.cf_submission_scores(test_results(spark, sf_dir))
+    s = GR.cf_submission_scores(test_results(spark, sf_dir), submissions=_submissions(spark, sf_dir))
     return s.withColumn("binary_partial", binary_reward(F.col("partial")))
 
 
@@ -57,10 +63,11 @@ _PRIO = (
 _IOI_SQL = f"""
 WITH {S.TEST_RESULTS.strip()},
 s AS (SELECT *, {_status_sql('score', 'feedback')} AS status FROM test_results)
-SELECT submission_id, subtask, round_even(min(score), 2) AS subtask_score,
-       round_even(min(score) * min({_POINTS}), 2) AS weighted_score,
-       arg_min(status, {_PRIO}) AS subtask_status, count(*) AS n_tests
-FROM s GROUP BY submission_id, subtask
+SELECT w.submission_id, w.subtask, coalesce(round_even(min(score), 2), 0.0) AS subtask_score,
+       coalesce(round_even(min(score) * min(CASE WHEN w.subtask = 0 THEN 40.0 ELSE 60.0 END), 2), 0.0) AS weighted_score,
+       arg_min(status, {_PRIO}) AS subtask_status, count(s.submission_id) AS n_tests
+FROM (SELECT o_orderkey AS submission_id, unnest([0, 1]) AS subtask FROM orders) w
+LEFT JOIN s ON w.submission_id = s.submission_id AND w.subtask = s.subtask GROUP BY w.submission_id, w.subtask
 """
 
 
@@ -72,7 +79,8 @@ def _points():
 def q_ioi_subtasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtask score = min test score, weighted by points (40/60), worst status by priority."""
     r = GR.with_test_status(test_results(spark, sf_dir))
-    return GR.subtask_scores(r, ("submission_id", "subtask"), points=_points())
+    wanted = _submissions(spark, sf_dir).select("submission_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("subtask"))
+    return GR.subtask_scores(r, ("submission_id", "subtask"), points=_points(), subtasks=wanted)
 
 
 _EARLY_SQL = f"""
@@ -94,9 +102,8 @@ FROM e GROUP BY submission_id, subtask
 @query("ioi_early_stop", ids=("A14",), sql=_EARLY_SQL)
 def q_ioi_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tests after the first failing batch stay SKIPPED with score 0; then subtask scores."""
-    r = GR.apply_early_stop(GR.with_test_status(test_results(spark, sf_dir)), ("submission_id", "subtask"))
-    n_skipped = F.count(F.when(F.col("status") == "SKIPPED", 1)).alias("n_skipped")
-    return GR.subtask_scores(r, ("submission_id", "subtask"), points=_points(), extra=[n_skipped])
+    r = GR.with_test_status(test_results(spark, sf_dir))
+    return GR.early_stopped_scores(r, ("submission_id", "subtask"), points=_points())
 
 
 def _stdout_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,22 +186,65 @@ def q_tests_by_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("code_patching", ids=("R33", "R15", "R16"))
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def _patched_sql() -> str:
+    out = "concat(array_to_string(ls[1:cut], chr(10)), added, chr(10), array_to_string(ls[cut:], chr(10)))"
+    for old, new in C.PYTHON_RENAMES:
+        out = f"replace({out}, {_lit(old)}, {_lit(new)})"
+    for pattern, new in (
+        ("from collections import (" + "|".join(C.ABSTRACT_COLLECTIONS) + ")", r"from collections.abc import \1"),
+        (r"(os\s*\.\s*)?getlogin\s*\(\s*\)", "False"),
+        (r"\bfractions\.gcd\b", "math.gcd"),
+        (r"(from\s+fractions\s+import\s+(?:\([^)]*?|[^\n(]*?))\bgcd\s*,\s*", r"\1"),
+        (r"(from\s+fractions\s+import\s+(?:\([^)]*?|[^\n(]*?))\s*,\s*gcd\b", r"\1"),
+        (r"from\s+fractions\s+import\s+\(?\s*gcd\b\s*\)?", ""),
+    ):
+        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(new)}, 'g')"
+    out = f"regexp_replace({out}, '\\\\\\n+', chr(92) || chr(92) || chr(10), 'g')"
+    return f"rtrim({out}, chr(92))"
+
+
+_PATCH_SQL = rf"""
+WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'cpp' END AS language FROM documents),
+b AS (SELECT doc_id, language, concat('<think>plan</think><answer>```', language, chr(10),
+        CASE WHEN language = 'python'
+             THEN concat('from fractions import gcd', chr(10), 'import imp', chr(10), 'x = ''', text, '''', chr(10), 'print(fractions.gcd(4, 6))', chr(10))
+             ELSE concat('int main() {{ std::string s = "', text, '"; }}', chr(10)) END, '```</answer>') AS c FROM t),
+k AS (SELECT doc_id, language, c, coalesce(CASE WHEN language = 'python' THEN regexp_extract_all(c, '(?s)```python\n(.*?)```', 1)[-1]
+        ELSE regexp_extract_all(c, '(?s)```cpp\n(.*?)```', 1)[-1] END, '') AS code FROM b),
+s AS (SELECT *, string_split_regex(code, '{_BREAKS}') AS s0 FROM k),
+l AS (SELECT *, CASE WHEN s0[-1] = '' THEN s0[1:len(s0) - 1] ELSE s0 END AS ls FROM s),
+i AS (SELECT *, greatest(1, coalesce(list_max(list_filter(range(1, len(ls) + 1),
+        lambda j: regexp_matches(ls[j], '^[\s\x0b\x1c-\x1f]*(import|from.*import)'))), 1)) AS cut,
+        concat(CASE WHEN contains(code, 'fractions.gcd') AND NOT contains(code, 'import math') THEN chr(10) || 'import math'
+                    WHEN contains(code, 'gcd') AND NOT contains(code, 'from math import gcd') THEN chr(10) || 'from math import gcd' ELSE '' END,
+               CASE WHEN contains(code, 'set_int_max_str_digits') THEN '' ELSE {_lit(C.NO_DIGIT_LIMIT)} END) AS added FROM l)
+SELECT doc_id, language,
+       CASE WHEN regexp_matches(c, concat('(?s)^<think>.*?</think><answer>.*?```', language, '.*?```.*?</answer>$')) THEN 1.0 ELSE 0.0 END::DOUBLE AS code_format,
+       CASE WHEN code = '' THEN code WHEN language = 'python' THEN {_patched_sql()}
+            ELSE concat({_lit(C.CPP_HEADER)}, CASE WHEN contains(code, 'using namespace std;') OR contains(code, 'std::') THEN '' ELSE {_lit(C.USING_STD)} END, code) END AS patched
+FROM i
+"""
+
+
+@query("code_patching", ids=("R33", "R15", "R16"), sql=_PATCH_SQL)
 def q_code_patching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extract the code block of a tagged answer, check code format, patch by language (rows-only)."""
+    """Extract the code block of a tagged answer, check code format, patch by language."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     lang = F.when(F.col("doc_id") % 2 == 0, F.lit("python")).otherwise(F.lit("cpp"))
-    first_line = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    text = F.col("text")
     body = F.when(
         lang == "python",
-        F.concat(F.lit("from fractions import gcd\nimport imp\nx = '"), first_line, F.lit("'\nprint(fractions.gcd(4, 6))\n")),
-    ).otherwise(F.concat(F.lit("int main() { std::string s = \""), first_line, F.lit("\"; }\n")))
+        F.concat(F.lit("from fractions import gcd\nimport imp\nx = '"), text, F.lit("'\nprint(fractions.gcd(4, 6))\n")),
+    ).otherwise(F.concat(F.lit("int main() { std::string s = \""), text, F.lit("\"; }\n")))
     completion = F.concat(F.lit("<think>plan</think><answer>```"), lang, F.lit("\n"), body, F.lit("```</answer>"))
     t = d.select("doc_id", lang.alias("language"), completion.alias("completion"))
-    code = C.extract_code(F.col("completion"), F.col("language"))
+    t = t.withColumn("code", C.extract_code(F.col("completion"), F.col("language")))
     return t.select(
         "doc_id",
         "language",
         C.code_format_reward(F.col("completion"), F.col("language")).alias("code_format"),
-        C.patch_code(code, F.col("language")).alias("patched"),
+        C.patch_code("code", F.col("language")).alias("patched"),
     )

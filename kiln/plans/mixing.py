@@ -134,8 +134,17 @@ def q_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.batch_ids(c, ["conv_id", "turn"], 64)
 
 
-@query("pad_to_multiple", ids=("L5",))
+_PAD_SQL = f"""
+WITH d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) AS rk, count(*) OVER () AS n FROM documents),
+p AS (SELECT n, unnest(range((32 - n % 32) % 32)) AS i FROM (SELECT count(*) AS n FROM documents)),
+k AS (SELECT CAST(('0x' || substring(md5(concat('{SEED}:', i)), 1, 8)) AS BIGINT) % n + 1 AS rk FROM p)
+SELECT doc_id, source, false AS is_padding FROM documents
+UNION ALL SELECT doc_id, source, true FROM d JOIN k ON d.rk = k.rk
+"""
+
+
+@query("pad_to_multiple", ids=("L5",), sql=_PAD_SQL)
 def q_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows drawn with replacement until the row count is a multiple of 32 (rows-only check)."""
+    """Rows drawn with replacement until the row count is a multiple of 32."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
     return M.pad_to_multiple(d, "doc_id", 32, seed=SEED)

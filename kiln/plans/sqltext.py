@@ -83,8 +83,8 @@ FROM _t)"""
 
 QA_HASH = r"""
 qa_hash AS (
-SELECT doc_id AS index, concat('Q', cast(doc_id AS string), ' ', substring(text, 1, 40)) AS question,
-       concat(substring(text, 1, 200), ' #### ', cast(doc_id % 11 AS string)) AS answer
+SELECT doc_id AS index, concat('Q', cast(doc_id AS string), ' ', text) AS question,
+       concat(text, ' #### ', cast(doc_id % 11 AS string)) AS answer
 FROM documents)"""
 
 TEST_RESULTS = r"""

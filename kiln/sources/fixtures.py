@@ -73,8 +73,8 @@ def qa_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return d.select(
         F.col("doc_id").alias("index"),
-        F.concat(F.lit("Q"), _s(F.col("doc_id")), F.lit(" "), F.substring("text", 1, 40)).alias("question"),
-        F.concat(F.substring("text", 1, 200), F.lit(" #### "), _s(F.col("doc_id") % 11)).alias("answer"),
+        F.concat(F.lit("Q"), _s(F.col("doc_id")), F.lit(" "), F.col("text")).alias("question"),
+        F.concat(F.col("text"), F.lit(" #### "), _s(F.col("doc_id") % 11)).alias("answer"),
     )
 
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 JSON_EXTENSIONS = (".json", ".jsonl")
+_BAD = "_malformed_line"
 
 
 # SRC2
@@ -21,11 +23,19 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType | str) ->
 
 # SRC3 / SRC4
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, skip_malformed: bool = False) -> DataFrame:
-    """JSON lines; ``skip_malformed`` drops lines that do not parse against the schema."""
-    r = spark.read.schema(schema)
-    if skip_malformed:
-        r = r.option("mode", "DROPMALFORMED")
-    return r.json(path)
+    """JSON lines; ``skip_malformed`` drops lines that do not parse against the whole schema.
+
+    Lines are judged before columns are selected, so the rows that stay do not
+    depend on the columns a query reads.
+    """
+    if not skip_malformed:
+        return spark.read.schema(schema).json(path)
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    marked = StructType([*fields.fields, StructField(_BAD, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", marked, options).alias("r"))
+    return parsed.filter(F.col(f"r.{_BAD}").isNull()).select(*[F.col(f"r.`{f.name}`") for f in fields])
 
 
 # SRC5
@@ -37,14 +47,17 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 # SRC6
-def write_partitioned(df: DataFrame, path: str, partition_col: str, mode: str = "overwrite") -> None:
-    """One parquet folder per value (e.g. contest id); later reads prune by partition."""
-    df.write.mode(mode).partitionBy(partition_col).parquet(path)
+def write_partitioned(df: DataFrame, path: str, partition_col: str, mode: str = "overwrite", salts: int = 4) -> None:
+    """One parquet folder per value (e.g. contest id); later reads prune by partition.
 
+    Rows are clustered by value first, so a folder gets at most ``salts`` files and
+    a large value is written by as many tasks.
+    """
+    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != partition_col]), F.lit(salts))
+    df.repartition(F.col(partition_col), salt).write.mode(mode).partitionBy(partition_col).parquet(path)
 
-def read_partition(spark: SparkSession, path: str, partition_col: str, value) -> DataFrame:
-    from pyspark.sql import functions as F
 
+def read_partition(spark: SparkSession, path: str, partition_col: str, value) -> DataFrame:
     return spark.read.parquet(path).filter(F.col(partition_col) == F.lit(value))
 
 

@@ -21,29 +21,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, spread: bool = True
+    spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None, spread: bool | None = None
 ) -> DataFrame:
     """Load one named table; optional column list is applied as a projection.
 
-    ``spread``: when the scan yields fewer partitions than the cluster's
-    default parallelism (e.g. one parquet file with one row group), rows are
-    rebalanced round-robin so per-row text work uses every core. A scan of a
-    large table already has more partitions than cores and is left alone.
+    ``spread`` shuffles the selected columns round-robin over the default
+    parallelism. It is meant for test files of one row group, whose scan cannot
+    be split; unset, the session's ``spark.kiln.spread`` decides (off by default).
     """
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if spread:
-        df = spread_small(df)
-    return df
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin rebalance only if there are fewer partitions than cores."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    if spread is None:
+        spread = spark.conf.get("spark.kiln.spread", "false") == "true"
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
