@@ -90,9 +90,13 @@ def math_equal(pred: Column | str, gold: Column | str, rel_tol: float = 1e-6) ->
     NULL when the gold answer is empty (unparseable), so callers can apply the
     reference's "unparseable gold" rule.
     """
-    p = normalize_math(answer_text(pred))
-    g = normalize_math(answer_text(gold))
-    pn, gn = to_number(p), to_number(g)
-    numeric = F.abs(pn - gn) <= F.lit(rel_tol) * F.greatest(F.lit(1.0), F.abs(gn))
-    eq = F.when(pn.isNotNull() & gn.isNotNull(), numeric).otherwise(p == g)
-    return F.when(g == "", F.lit(None).cast("boolean")).otherwise(eq)
+
+    def equal(p: Column, g: Column) -> Column:
+        pn, gn = to_number(p), to_number(g)
+        numeric = F.abs(pn - gn) <= F.lit(rel_tol) * F.greatest(F.lit(1.0), F.abs(gn))
+        eq = F.when(pn.isNotNull() & gn.isNotNull(), numeric).otherwise(p == g)
+        return F.when(g == "", F.lit(None).cast("boolean")).otherwise(eq)
+
+    # One array element holds both answers, so the texts are searched once and not at every use.
+    both = F.array(F.struct(normalize_math(answer_text(pred)).alias("p"), normalize_math(answer_text(gold)).alias("g")))
+    return F.get(F.transform(both, lambda x: equal(x["p"], x["g"])), 0)
