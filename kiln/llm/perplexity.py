@@ -98,11 +98,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         t = t.select("gram", "c", off.alias("off"), F.substring("gram", 1, n - 1).alias("ctx"))
         ctx = saved(t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma")))
-        t = t.join(ctx, "ctx")
+        t = t.join(ctx.hint("merge"), "ctx")  # both sides grow with the input: never broadcast
         if lower is None:
             t = t.withColumn("low", F.lit(1.0 / vocabulary))
         else:
-            t = t.join(lower, F.substring(F.col("gram"), 2, n - 1) == F.col("low_gram"))
+            t = t.join(lower.hint("merge"), F.substring(F.col("gram"), 2, n - 1) == F.col("low_gram"))
         own = saved(t.select("gram", ((F.col("c") - F.col("off")) / F.col("total") + F.col("gamma") * F.col("low")).alias("p")))
         parts.append(own.select(F.lit(n).alias("n"), "gram", F.log("p").alias("logp")))
         parts.append(ctx.select(F.lit(1 - n).alias("n"), F.col("ctx").alias("gram"), F.log("gamma").alias("logp")))
@@ -168,6 +168,32 @@ class Lookup:
         return self.keys[at] == keys, self.values[at]
 
 
+def packed(table: DataFrame) -> DataFrame:
+    """``n, keys, values``: the rows of ``keyed`` as little-endian arrays, 12 bytes a row, some for each batch."""
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for n, part in pdf.groupby("n", sort=False):
+                keys, values = part["key"].to_numpy("<i8"), part["logp"].to_numpy("<f4")
+                yield pd.DataFrame({"n": [n], "keys": [keys.tobytes()], "values": [values.tobytes()]})
+
+    return table.select("n", "key", "logp").mapInPandas(run, "n int, keys binary, values binary")
+
+
+def unpacked(rows) -> tuple[dict[int, Lookup], float, float]:
+    """Lookups of all orders, the back-off weight of the empty context and the unknown character's log probability."""
+    parts: dict[int, tuple[list, list]] = {n: ([], []) for n in range(1 - ORDER, ORDER + 1)}
+    for n, keys, values in rows:
+        parts[n][0].append(np.frombuffer(keys, dtype="<i8"))
+        parts[n][1].append(np.frombuffer(values, dtype="<f4"))
+    whole = {
+        n: (np.concatenate([*k, np.empty(0, dtype=np.int64)]), np.concatenate([*v, np.empty(0, dtype=np.float32)]))
+        for n, (k, v) in parts.items()
+    }
+    keys, values = whole.pop(0)
+    return {n: Lookup(k, v) for n, (k, v) in whole.items()}, float(values[keys == 0].sum()), float(values[keys == 1].sum())
+
+
 def score_texts(texts, tables: dict[int, Lookup], unknown: float, gamma0: float, shard: int, shards: int):
     """``(log probability, characters)`` of each text, over the positions of this shard."""
     codes, owner = codes_of(texts)
@@ -205,19 +231,12 @@ def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", t
     rows = rows.withColumn("text_hash", F.xxhash64("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
     passes = None
     for shard in range(shards):
-        got = table.filter(F.col("shard").isin(-1, shard)).select("n", "key", "logp").toPandas()
-        zero = got[got["n"] == 0]
-        gamma0 = float(zero["logp"][zero["key"] == 0].sum())
-        unknown = float(zero["logp"][zero["key"] == 1].sum())
-        arrays = {
-            n: (p["key"].to_numpy(), p["logp"].to_numpy().astype(np.float32))
-            for n in [*range(1, ORDER + 1), *range(1 - ORDER, 0)]
-            for p in [got[got["n"] == n]]
-        }
-        sent = spark.sparkContext.broadcast(arrays)
-
-        def run(pdfs, sent=sent, unknown=unknown, gamma0=gamma0, shard=shard):
-            tables = {n: Lookup(k, v) for n, (k, v) in sent.value.items()}
+        sent = spark.sparkContext.broadcast(
+            [tuple(r) for r in packed(table.filter(F.col("shard").isin(-1, shard))).collect()]
+        )
+
+        def run(pdfs, sent=sent, shard=shard):
+            tables, gamma0, unknown = unpacked(sent.value)
             for pdf in pdfs:
                 for i in range(0, len(pdf), _SLICE):
                     part = pdf.iloc[i : i + _SLICE]
