@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sizing import broadcast_if_small
 from .common import query, read, saved
 from .components import connected_components
 
@@ -183,6 +184,12 @@ def _pruned(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long, matches long")
 
 
+def _texts_of(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of the classes ``rep``; the others stay out of the shuffle while the ids may be broadcast."""
+    side, _ = broadcast_if_small(saved(reps.distinct()), max_rows=500_000, max_bytes=16 << 20)
+    return texts.join(side, "rep", "left_semi")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``a, b`` -> the pairs whose full shingle sets are similar.
 
@@ -190,6 +197,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     text of ``b`` travels once for each group, each text of ``a`` once for a pair.
     """
     pairs = saved(pairs.select("a", "b").distinct())
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), texts)
     salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_TEXTS).cast("long").alias("salts"))
     dealt = pairs.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     members = dealt.select("b", "salt", F.col("a").alias("rep")).join(texts, "rep").withColumn("centre", F.lit(False))
@@ -256,7 +264,7 @@ def _finish_buckets(buckets: DataFrame, comps: DataFrame, reps: DataFrame, texts
         F.least("block", "other").alias("i"),
         F.greatest("block", "other").alias("j"),
     )
-    members = texts.join(rows.select("rep").distinct(), "rep", "left_semi")
+    members = _texts_of(rows.select("rep"), texts)
 
     def sets(pdfs):
         for pdf in pdfs:
