@@ -15,7 +15,7 @@ from kiln.llm.common import delete_path, n_words, read, shared_path
 from kiln.llm.line_runs import dedup_table
 from kiln.llm.mixing import mix_sources
 from kiln.llm.near_dedup import near_duplicates
-from kiln.llm.quality_rules import apply_cutoffs, choose_cutoffs, saved, with_metrics
+from kiln.llm.quality_rules import apply_cutoffs, choose_by_sequence, saved, with_metrics
 from kiln.operators.sizing import broadcast_if_small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     docs = docs.select(*COLUMNS)
     digest = F.xxhash64("text")
     held = saved(with_metrics(docs.select("doc_id", "lang", "text")).withColumn("_digest", digest).drop("text"))
-    judged = apply_cutoffs(held, choose_cutoffs(held, read(spark, sf_dir, "labels")))
+    judged = apply_cutoffs(held, choose_by_sequence(held, read(spark, sf_dir, "labels")))
     gone = saved(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_digest").distinct())
     side, _ = broadcast_if_small(gone, max_rows=500_000, max_bytes=32 << 20)
     return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")

@@ -9,14 +9,23 @@ of the good documents: with ``k`` of ``n`` good documents rejected,
 largest surplus of rejected bad over rejected good documents is used (ties: the
 laxest); a rule without one is off in that stratum. The shares of all rules add
 up to ``RISK``, so a stratum loses at most that part of its good documents, with
-probability ``1 - MISTAKE`` for all strata together.
+probability ``1 - MISTAKE`` for all strata together. That needs thousands of good
+documents in a stratum; ``op5_quality_rules`` does it, as its SQL does.
+
+:func:`choose_by_sequence` (the pipeline's) spends the same ``RISK`` on the documents
+that any rule rejects. In each stratum the cutoffs stand in one sequence from lax to
+strict, in rounds over the rules, and each step adds one cutoff to those before, so
+what is rejected only grows. The same exact test is made step by step at
+``MISTAKE / strata`` and ends at the first failure, which needs no correction for
+the steps. The sequence leaves out cutoffs that reject no more bad documents than the
+rule's next laxer one; it looks at bad documents only, so the test stays exact.
 
 Only DataFrame functions run here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.sizing import broadcast_if_small
@@ -175,6 +184,71 @@ def choose_cutoffs(
     )
 
 
+def choose_by_sequence(
+    metrics: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    id_col: str = "doc_id",
+    risk: float = RISK,
+    mistake: float = MISTAKE,
+) -> DataFrame:
+    """Columns and inputs of :func:`choose_cutoffs`; the bound holds for all rules of a stratum together.
+
+    Of the steps that pass, the one with the largest surplus of rejected bad over
+    rejected good documents is used (ties: the laxest); a stratum without a surplus,
+    or with too few good documents for any step to pass, has no rule.
+    """
+    rules = list(GRID)
+    held = metrics.filter(~F.col("base_failed")).join(
+        labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_label_id"), "quality"),
+        F.col(id_col) == F.col("_label_id"),
+    )
+    good, bad = (F.sum(F.when(F.col("quality") == q, F.col("n")).otherwise(0)) for q in (1, 0))
+    counts = saved(
+        held.select(F.col(stratum).alias("stratum"), "quality", F.array(*map(_above, rules)).alias("above"))
+        .groupBy("stratum", "quality", "above")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    strata = saved(counts.groupBy("stratum").agg(good.alias("n_good")))
+    allowed = strata.select(
+        F.col("stratum").alias("_s"), most_rejected(F.col("n_good"), risk, F.lit(mistake / max(1, strata.count()))).alias("most")
+    )
+    # A rule's cutoff j rejects more bad documents than its next laxer one if some have exactly j + 1 cutoffs below them.
+    rule_at = F.col("r")
+    last = F.element_at(F.array(*[F.lit(len(GRID[r]) - 1) for r in rules]), rule_at + 1)
+    steps = saved(
+        counts.filter(F.col("quality") == 0)
+        .select("stratum", F.posexplode("above").alias("r", "a"))
+        .filter("a > 0")
+        .select("stratum", "r", (F.col("a") - 1).alias("j"))
+        .distinct()
+        .withColumn("step", (last - F.col("j")) * len(rules) + rule_at)
+    )
+    sequence = steps.groupBy(F.col("stratum").alias("_s")).agg(F.collect_list(F.struct("r", "j", "step")).alias("_steps"))
+    first = F.array_min(
+        F.transform(F.filter("_steps", lambda x: F.get(F.col("above"), x["r"]) > x["j"]), lambda x: x["step"])
+    )
+    at = counts.join(sequence, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "quality", "n", first.alias("step"))
+    upto = Window.partitionBy("stratum").orderBy("step")
+    chosen = (
+        at.filter(F.col("step").isNotNull())
+        .groupBy("stratum", "step")
+        .agg(good.alias("good"), bad.alias("bad"))
+        .withColumns({"good": F.sum("good").over(upto), "bad": F.sum("bad").over(upto)})
+        .join(allowed, F.col("stratum").eqNullSafe(F.col("_s")))
+        .filter((F.col("good") <= F.col("most")) & (F.col("bad") > F.col("good")))
+        .groupBy(F.col("stratum").alias("_s"))
+        .agg((-F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), (-F.col("step")).alias("lax")))["lax"]).alias("_step"))
+    )
+    grid = F.create_map(*[x for r, cs in GRID.items() for x in (F.lit(r), F.array(*map(F.lit, cs)))])
+    return (
+        steps.join(chosen, F.col("stratum").eqNullSafe(F.col("_s")) & (F.col("step") <= F.col("_step")))
+        .groupBy("stratum", F.element_at(F.array(*map(F.lit, rules)), rule_at + 1).alias("rule"))
+        .agg(F.min("j").alias("cutoff_index"))
+        .withColumn("cutoff", F.element_at(F.element_at(grid, F.col("rule")), F.col("cutoff_index") + 1))
+    )
+
+
 def apply_cutoffs(metrics: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """``metrics`` with ``kept``; the cutoffs are a few rows for each stratum."""
     wide = cutoffs.groupBy(F.col("stratum").alias("_stratum")).agg(

@@ -199,6 +199,72 @@ def test_quality_metrics_and_bound(spark):
         assert k == int((cdf <= level).sum()) - 1
 
 
+def test_quality_rules_on_moderate_strata(spark):
+    """600 good documents of one language and 100 of another; 60 and 10 of symbol junk, 30 of repeated lines."""
+    words, texts, langs, quality = BASE.split(), [], [], []
+    rng = np.random.default_rng(8)
+
+    def put(lang, q, text):
+        texts.append(text)
+        langs.append(lang)
+        quality.append(q)
+
+    plain = lambda: " ".join(f"{w}{rng.integers(1000)}" for w in rng.choice(words, 80))
+    for lang, n_good, n_bad in ((None, 600, 60), ("xx", 100, 10)):
+        for _ in range(n_good):
+            put(lang, 1, plain())
+        for _ in range(n_bad):
+            put(lang, 0, plain() + " #$%&" * 30)
+    for _ in range(30):
+        put(None, 0, plain() + ("\n" + "again") * 12)
+    for i in range(4):  # good ones that a stricter cutoff would reject
+        texts[i] += " |" * 12
+    d = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    metrics = quality_rules.with_metrics(d).cache()
+    assert quality_rules.choose_cutoffs(metrics, labels).count() == 0
+    cutoffs = quality_rules.choose_by_sequence(metrics, labels)
+    got = {(r["stratum"], r["rule"]): r["cutoff"] for r in cutoffs.collect()}
+    assert {s for s, _ in got} == {None}  # 100 good documents show no bound of 1 %
+    rows = [r.asDict() for r in metrics.drop("text").collect()]
+    for r in rows:
+        r["q"] = quality[r["doc_id"]]
+    assert got == _sequence_cutoffs([r for r in rows if r["lang"] is None], 0.05 / 2)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_cutoffs(metrics, cutoffs).collect()}
+    own = [r for r in rows if r["lang"] is None]
+    assert not any(kept[r["doc_id"]] for r in own if r["q"] == 0) and all(kept[r["doc_id"]] for r in own if r["q"] == 1)
+    assert all(kept[r["doc_id"]] for r in rows if r["lang"] == "xx" and not r["base_failed"])
+
+
+def _sequence_cutoffs(rows, level):
+    """The sequence test of one stratum (null) over plain rows: union by union."""
+    rows = [r for r in rows if not r["base_failed"]]
+    grid = quality_rules.GRID
+
+    def above(r, rule, cut):
+        top, bottom = quality_rules._VALUE[rule]
+        return r[bottom] > 0 and r[top] / r[bottom] > cut
+
+    hits = lambda rule, cut, q: sum(above(r, rule, cut) for r in rows if r["q"] == q)
+    n, k = sum(r["q"] for r in rows), -1
+    while sum(math.comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(k + 2)) <= level:
+        k += 1
+    cuts, best, chosen = {}, 0, {}
+    for back in range(1, 11):
+        for rule, cs in grid.items():
+            if back > len(cs):
+                continue
+            if hits(rule, cs[-back], 0) == (hits(rule, cs[1 - back], 0) if back > 1 else 0):
+                continue
+            cuts[rule] = cs[-back]
+            good, bad = (sum(any(above(r, x, c) for x, c in cuts.items()) for r in rows if r["q"] == q) for q in (1, 0))
+            if good > k:
+                return {(None, x): c for x, c in chosen.items()}
+            if bad - good > best:
+                best, chosen = bad - good, dict(cuts)
+    return {(None, x): c for x, c in chosen.items()}
+
+
 def test_kk_and_shards(spark):
     place, sums = sharding.kk_difference([[w, 0] for w in (8, 7, 6, 5, 4)], 2)
     assert sorted(sums) == [14, 16] and len(place) == 5
