@@ -6,15 +6,20 @@ interpolation are joins and aggregates over n-gram tables. Scoring joins every
 position of every text with the counts by shards: the table is cut by the two
 characters before a position, so each position finds all its orders in one shard;
 a shard has a bounded number of rows and is broadcast by itself, and the partial
-sums of the shards are added up. A document is kept if its perplexity is at most
-its language's cutoff, a high quantile of the trusted documents' own.
+sums of the shards are added up.
+
+The cutoff is out of sample: trusted texts fall by hash into ``FOLDS`` folds, each
+scored by the model of the others, and a document is kept if its perplexity under the
+model of all trusted documents is at most its language's ``QUANTILE`` of those scores.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import query, read, saved
@@ -23,7 +28,8 @@ ORDER = 5
 PAD = "\x02"
 #: Model rows (n-grams and contexts) of one shard; the table is cut into as many shards as it needs.
 SHARD_ROWS = 2_000_000
-QUANTILE, MARGIN = 0.99, 1.5
+QUANTILE = 0.99
+FOLDS = 2
 _SLICE = 256
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -261,8 +267,8 @@ def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", t
     )
 
 
-def language_cutoffs(trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``lang, cutoff``: the quantile of log perplexity over trusted documents, in steps of 0.001, plus log(margin).
+def language_cutoffs(trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """``lang, cutoff``: the quantile of log perplexity over trusted documents, in steps of 0.001.
 
     The row with ``pooled`` true is over all languages, for those without trusted text.
     """
@@ -276,7 +282,7 @@ def language_cutoffs(trusted: DataFrame, quantile: float = QUANTILE, margin: flo
     part = Window.partitionBy("pooled", "lang")
     run = counts.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
     cut = F.min(F.when(F.col("upto") >= F.col("all") * quantile, F.col("bin")))
-    return run.groupBy("pooled", "lang").agg(((cut + 1) / 1000 + float(np.log(margin))).alias("cutoff"))
+    return run.groupBy("pooled", "lang").agg(((cut + 1) / 1000).alias("cutoff"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -285,13 +291,14 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Trusted text: documents with a label of quality 1 that is not toxic. A null or
     blank text has no perplexity and is not kept; a null language is one of its
     own; languages without trusted text use the cutoff over all trusted documents;
-    without any trusted document every text is kept. ``doc_id`` is an integer;
-    repeated rows are judged each; null ids are never trusted.
+    without any trusted document every text is kept. Equal texts share a fold; if all
+    trusted texts fall into one, as a single one must, their cutoff is in sample.
+    ``doc_id`` is an integer; repeated rows are judged each; null ids are never trusted.
     """
     ids = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
-    model = saved(kneser_ney(count_grams(docs.join(F.broadcast(ids) if _small(ids) else ids, "doc_id", "left_semi"))))
-    scored = saved(score_documents(docs, model))
-    cutoffs = saved(language_cutoffs(scored.join(ids, "doc_id", "left_semi")))
+    trusted = docs.join(F.broadcast(ids) if _small(ids) else ids, "doc_id", "left_semi")
+    scored = saved(score_documents(docs, saved(kneser_ney(count_grams(trusted)))))
+    cutoffs = saved(language_cutoffs(_out_of_sample(trusted, scored, ids)))
     own = cutoffs.filter(~F.col("pooled")).select(F.col("lang").alias("_lang"), "cutoff")
     pooled = cutoffs.filter("pooled").first()
     joined = scored.join(own, F.col("lang").eqNullSafe(F.col("_lang")), "left")
@@ -306,6 +313,22 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def fold_of(text: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.coalesce(text, F.lit(""))), F.lit(FOLDS))
+
+
+def _out_of_sample(trusted: DataFrame, scored: DataFrame, ids: DataFrame) -> DataFrame:
+    """``scored`` of the trusted documents, each fold by the model of the others."""
+    fold = fold_of(F.col("text"))
+    if trusted.select(fold.alias("fold")).distinct().count() < 2:
+        return scored.join(ids, "doc_id", "left_semi")
+    parts = [
+        saved(score_documents(trusted.filter(fold == f), saved(kneser_ney(count_grams(trusted.filter(fold != f))))))
+        for f in range(FOLDS)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _small(ids: DataFrame) -> bool:
     return ids.count() <= 2_000_000
 

@@ -400,3 +400,30 @@ def test_classifier_held_out(spark):
     assert all(got[i] for i in range(60)) and not any(got[i] for i in range(60, 71))
 
 
+
+
+def test_classifier_cutoff_is_the_out_of_sample_quantile(spark):
+    rng, n = np.random.default_rng(9), perplexity.ORDER - 1
+    words = BASE.split()
+    good = [" ".join(rng.choice(words, 30)) for _ in range(24)]
+    bad = ["".join(rng.permutation(list(w))) if rng.random() < 0.3 else w for w in rng.choice(words, 300)]
+    texts = [*good, *(" ".join(bad[i : i + 30]) for i in range(0, 300, 30))]
+    d = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(24)], "doc_id long, quality int, toxic int")
+    fold = {r["doc_id"]: r["f"] for r in d.select("doc_id", perplexity.fold_of(F.col("text")).alias("f")).collect()}
+    p = {f: _kn([t for i, t in enumerate(good) if fold[i] != f], perplexity.ORDER) for f in (0, 1)}
+    p[None] = _kn(good, perplexity.ORDER)
+
+    def score(i, f):
+        t = perplexity.PAD * n + perplexity.plain(texts[i])
+        return -np.mean([math.log(p[f](t[j - n : j], t[j])) for j in range(n, len(t))])
+
+    want = [score(i, None) for i in range(len(texts))]
+    high = lambda x: (math.floor(1000 * sorted(x)[math.ceil(0.99 * 24) - 1]) + 1) / 1000
+    cutoff = high([score(i, fold[i]) for i in range(24)])
+    got = {r["doc_id"]: r for r in perplexity.classify(d, labels).collect()}
+    for i, r in got.items():
+        assert r["perplexity"] == pytest.approx(math.exp(want[i]), rel=1e-4)
+        assert r["cutoff"] == pytest.approx(math.exp(cutoff), rel=2e-3) and r["kept"] == (r["perplexity"] <= r["cutoff"])
+    assert all(got[i]["kept"] for i in range(24)) and not any(got[i]["kept"] for i in range(24, 34))
+    assert any(want[i] <= high(want[:24]) + math.log(1.5) for i in range(24, 34))  # 1.5 times the quantile in sample keeps these
