@@ -249,7 +249,8 @@ def score_documents(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", t
                     logp, chars = score_texts(part["text"], tables, unknown, gamma0, shard, shards)
                     yield part[["doc_id", "lang", "text_hash"]].assign(logp=logp, chars=chars)
 
-        one = rows.mapInPandas(run, "doc_id string, lang string, text_hash long, logp double, chars long")
+        one = saved(rows.mapInPandas(run, "doc_id string, lang string, text_hash long, logp double, chars long"))
+        sent.destroy()  # driver and executors hold one shard at a time
         passes = one if passes is None else passes.unionByName(one)
     if shards > 1:  # equal rows share their sums
         passes = (
