@@ -34,13 +34,18 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+def _text_hashes(text: Column) -> list[Column]:
+    """With the id, they tell which text a line place belongs to."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
+
+
 def _keyed_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, pos, k1, k2`` of the lines whose key is long enough."""
+    """``doc_id, t1, t2, pos, k1, k2`` of the lines whose key is long enough."""
     keys = F.transform(lines_of(F.col(text_col)), line_key)
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(keys).alias("pos", "key")).filter(
-        F.length("key") >= MIN_CHARS
-    )
-    return lines.select("doc_id", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), "key").alias("k2"))
+    lines = docs.select(
+        F.col(id_col).alias("doc_id"), *_text_hashes(F.col(text_col)), F.posexplode(keys).alias("pos", "key")
+    ).filter(F.length("key") >= MIN_CHARS)
+    return lines.select("doc_id", "t1", "t2", "pos", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("line"), "key").alias("k2"))
 
 
 def _run_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,8 +120,8 @@ def dedup_lines(
     Lines whose key (stripped, A-Z lowered) has at least 20 code points and lies
     in ``min_docs`` documents of the runs go, but for those of the largest id
     holding it. A null or empty text is one empty line. Rows with one id count as
-    a document each and lose the same places; a null id is never the largest and
-    loses its repeated lines unless all holders have null ids.
+    a document each and lose their own repeated lines; a null id is never the largest
+    and loses its repeated lines unless all holders have null ids.
     """
     hits = saved(runs.repeated(min_docs))
     side, _ = broadcast_if_small(hits, BROADCAST_ROWS, BROADCAST_BYTES)
@@ -124,23 +129,24 @@ def dedup_lines(
     gone = saved(
         lines.join(side, ["k1", "k2"])
         .filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("_gone_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"))
         .agg(F.collect_set("pos").alias("_gone"))
-        .withColumnRenamed("doc_id", "_gone_id")
     )
     n = gone.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
-    small = n[0] <= BROADCAST_ROWS and n[0] * 64 + n[1] * 4 <= BROADCAST_BYTES
+    small = n[0] <= BROADCAST_ROWS and n[0] * 80 + n[1] * 4 <= BROADCAST_BYTES
     gone = F.broadcast(gone) if small else gone
     split = lines_of(F.col(text_col))
     kept = F.when(F.col("_gone").isNull(), split).otherwise(
         F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i))
     )
+    t1, t2 = _text_hashes(F.col(text_col))
+    own = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
     return (
-        docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
+        docs.join(gone, own, "left")
         .withColumn("n_lines", F.size(split).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
         .withColumn("kept_text", F.array_join(kept, "\n"))
-        .drop("_gone", "_gone_id")
+        .drop("_gone", "_gone_id", "_t1", "_t2")
     )
 
 

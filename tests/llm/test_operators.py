@@ -339,6 +339,17 @@ def test_line_runs_levels_and_batches(spark):
         assert same == {i: r["kept_text"] for i, r in got.items()}
 
 
+def test_line_dedup_null_and_repeated_ids(spark):
+    x = "this line is long enough to count"
+    texts = [f"{x}\nfirst of its own", "a line of one text alone\nsecond", f"{x}\nthird", f"one more single line here\n{x}", f"{x}\nlast"]
+    d = docs(spark, texts, ids=[None, None, 7, 7, 9])
+    want = ["first of its own", texts[1], "third", "one more single line here", texts[4]]
+    for n in (1, 3):
+        got = {r["_key"]: r for r in line_runs.dedup_table(d, batches=n).collect()}
+        assert [got[i]["kept_text"] for i in range(5)] == want
+        assert [got[i]["n_dropped"] for i in range(5)] == [1, 0, 1, 1, 0]
+
+
 def _kn(texts, order):
     """The model by plain dictionaries: p(char | context)."""
     from collections import Counter, defaultdict
