@@ -2,11 +2,12 @@
 
 The model is a character n-gram model of trusted documents (labelled good and not
 toxic). All counting, continuation counts, discounts, back-off weights and the
-interpolation are joins and aggregates over n-gram tables. Scoring joins every
-position of every text with the counts by shards: the table is cut by the two
-characters before a position, so each position finds all its orders in one shard;
-a shard has a bounded number of rows and is broadcast by itself, and the partial
-sums of the shards are added up.
+interpolation are joins and aggregates over n-gram tables. Scoring looks up every
+position of every text by shards: the table is cut by the two characters before a
+position, so each position finds all its orders in one shard. A shard goes through
+the driver and is broadcast by itself, one at a time, and the partial sums are added
+up. ``SHARD_ROWS`` is a shard's mean size: a frequent pair of characters is not split,
+and 1- and 2-grams stand in every shard.
 
 The cutoff is out of sample: trusted texts fall by hash into ``FOLDS`` folds, each
 scored by the model of the others, and a document is kept if its perplexity under the
