@@ -4,8 +4,9 @@ A run is a sorted table ``k1, k2, n_docs, last_doc``: for each key of a line (tw
 64-bit hashes) the number of documents that hold it and the largest of their
 ids. Each new batch of documents adds one run to level 0; when a level holds
 ``fanout`` runs they are merged into one run of the next level, so a key lies in
-few runs and old rows are rewritten only a logarithmic number of times. A batch
-is deduplicated by merge-joining its own line keys with the runs.
+few runs and old rows are rewritten only a logarithmic number of times. A table is
+deduplicated in a second pass against all runs: the final counts and the largest id
+are known only after the last batch.
 
 Only DataFrame functions run here.
 """
