@@ -61,10 +61,28 @@ def read_partition(spark: SparkSession, path: str, partition_col: str, value) ->
     return spark.read.parquet(path).filter(F.col(partition_col) == F.lit(value))
 
 
+def read_needed_partitions(spark: SparkSession, path: str, partition_col: str, needed: DataFrame) -> DataFrame:
+    """Rows of the folders whose value stands in ``needed`` (its column ``partition_col``).
+
+    The distinct values are broadcast (there are no more of them than folders),
+    and the same broadcast prunes the folders at run time (dynamic partition
+    pruning), so ``needed`` may be any filtered query and the others are not read.
+    """
+    values = needed.select(partition_col).distinct()
+    return spark.read.parquet(path).join(F.broadcast(values), partition_col, "left_semi")
+
+
 # SNK1
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines in UTF-8 (non-ASCII characters are written as is)."""
-    df.write.mode(mode).option("encoding", "UTF-8").json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", max_records_per_file: int = 0) -> None:
+    """JSON lines in UTF-8 (non-ASCII characters are written as is); 0: no bound on a file's lines."""
+    df.write.mode(mode).option("encoding", "UTF-8").option("maxRecordsPerFile", max_records_per_file).json(path)
+
+
+def write_json_arrays(df: DataFrame, path: str, batch: str, mode: str = "overwrite") -> None:
+    """One JSON array of objects for each value of ``batch``, each in a file of its own (a batch is one row)."""
+    rows = [c for c in df.columns if c != batch]
+    packed = df.groupBy(batch).agg(F.to_json(F.collect_list(F.struct(*rows)), {"ignoreNullFields": "false"}).alias("value"))
+    packed.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 # SNK2
@@ -92,6 +110,33 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def write_small_text(spark: SparkSession, path: str, text: str) -> None:
+    """A short text as one file on the cluster filesystem (metadata; rows go through DataFrame writers)."""
+    fs, p = _fs_and_path(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_small_text(spark: SparkSession, path: str) -> str:
+    fs, p = _fs_and_path(spark, path)
+    data = fs.open(p)
+    try:
+        return bytes(data.readAllBytes()).decode()
+    finally:
+        data.close()
+
+
+def rename_into_place(spark: SparkSession, staged: str, path: str) -> bool:
+    """Give a finished file its name by one rename; False (and the file is gone) if the name is taken."""
+    fs, p = _fs_and_path(spark, path)
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    done = not fs.exists(p) and bool(fs.rename(source, p))
+    if not done:
+        fs.delete(source, False)
+    return done
+
+
 def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Expand a glob on the cluster filesystem into concrete paths (sorted)."""
     fs, p = _fs_and_path(spark, pattern)

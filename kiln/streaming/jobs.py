@@ -3,12 +3,15 @@
 * ST1 / SNK5 — score completions as files arrive and append each micro-batch
   to a parquet table (``foreachBatch``), instead of flushing every N rows.
 * ST2 — resume without redoing finished rows: the stream's checkpoint skips
-  files already processed, each batch overwrites its own epoch folder (a
-  replayed batch writes nothing twice), and ids finished by earlier runs are
-  anti-joined away on ``md5(id)``.
+  files already processed, an epoch counts once it is in the manifest of
+  committed epochs (``commits.py``; a replayed batch neither loses nor doubles
+  rows), ids finished by committed epochs are anti-joined away on ``md5(id)``,
+  and ids that repeat within a stream are dropped by a keyed state that expires
+  with the watermark.
 * ST3 — per-step metric means as event-time tumbling windows with a
-  watermark; each batch upserts the windows it changed and readers take the
-  latest version per window.
+  watermark: in update mode each batch upserts the windows it changed; in
+  append mode a window is written once, when the watermark passes its end and
+  its state is evicted, and rows too late for their window go to a side table.
 
 Every function has a batch twin built from the same column functions, so the
 streaming result can be compared with a plain DataFrame (and SQL) result.
@@ -20,11 +23,15 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
+from .commits import read_committed, write_epoch
+
+Batch = Callable[[DataFrame, int], None]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -42,41 +49,52 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return r.load(folder)
 
 
-def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer (ST1 / ST2).
+def run_id(batch: DataFrame, otherwise: str) -> str:
+    """Id of the streaming query a micro-batch belongs to (its checkpoint keeps it)."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or otherwise
+
+
+def append_new_rows(out_path: str, key: str, done_keys: DataFrame | None = None) -> Batch:
+    """foreachBatch writer (ST1 / ST2): each micro-batch is one committed epoch.
 
-    Each micro-batch overwrites its own ``run=<run>/epoch=<id>`` folder, so a batch
-    that is replayed after a failure replaces itself instead of adding duplicates.
-    ``run`` is the streaming query's id, which its checkpoint keeps: a query that
-    goes on from its checkpoint writes on in its folder, and one with a fresh
-    checkpoint never touches what earlier runs wrote.
-    Rows whose ``md5(key)`` is in ``done_keys`` (ids finished by an earlier
-    run, read once when the stream starts) are skipped.
+    A replayed batch whose epoch is committed writes nothing; one whose epoch is
+    not writes it anew, whatever an attempt that died has left. Rows whose
+    ``md5(key)`` is in ``done_keys`` (ids of epochs that were committed when the
+    stream started) are skipped; a null key is a key like any other.
     """
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         fresh = batch
         if done_keys is not None:
-            fresh = (
-                fresh.withColumn("_k", F.md5(F.col(key).cast("string")))
-                .join(done_keys, "_k", "left_anti")
-                .drop("_k")
-            )
-        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or without_query
-        fresh.write.mode("overwrite").parquet(f"{out_path}/run={run}/epoch={epoch_id}")
+            done = done_keys.select(F.col("_k").alias("_done"))
+            fresh = fresh.join(done, _key_hash(key).eqNullSafe(F.col("_done")), "left_anti")
+        write_epoch(fresh, out_path, run_id(batch, without_query), epoch_id)
 
     without_query = uuid.uuid4().hex
     return write
 
 
+def _key_hash(key: str) -> Column:
+    return F.md5(F.col(key).cast("string"))
+
+
 def finished_keys(spark: SparkSession, out_path: str, key: str) -> DataFrame | None:
-    """Distinct ``md5(key)`` of rows already in an output folder (None if there is none yet)."""
-    from ..sources.io import path_exists
+    """Distinct ``md5(key)`` of the rows of committed epochs (None if there are none yet)."""
+    done = read_committed(spark, out_path)
+    return None if done is None else done.select(_key_hash(key).alias("_k")).distinct()
+
 
-    if not path_exists(spark, out_path):
-        return None
-    done = spark.read.parquet(out_path)
-    return done.select(F.md5(F.col(key).cast("string")).alias("_k")).distinct()
+def run_to_end(stream: DataFrame, write: Batch, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """All input that is there, in micro-batches through ``write``; returns the ended query."""
+    q = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return q
 
 
 def run_scoring_stream(
@@ -92,14 +110,20 @@ def run_scoring_stream(
     The checkpoint makes a restarted stream skip files already committed;
     ``done_keys`` additionally skips ids finished by other runs.
     """
-    q = (
-        score(stream)
-        .writeStream.foreachBatch(append_new_rows(out_path, key, done_keys))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    run_to_end(score(stream), append_new_rows(out_path, key, done_keys), checkpoint)
+
+
+def first_arrivals(stream: DataFrame, key: str, ts: str, within: str) -> DataFrame:
+    """ST2: rows whose ``key`` has not been seen in the stream, also before a restart.
+
+    The keys seen are Spark's keyed state in the checkpoint. A key expires once
+    the watermark (latest event time less ``within``) passes the event time of its
+    first row plus ``within``, so the state holds a bounded span of event time and
+    repeats up to ``within`` apart are dropped. Which of the rows of one batch that
+    share a key stays is left to Spark.
+    """
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return timed.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_means(df: DataFrame, ts: str, group: str, value: str, window: str = "1 hour") -> DataFrame:
@@ -109,7 +133,7 @@ def windowed_means(df: DataFrame, ts: str, group: str, value: str, window: str =
     )
 
 
-def upsert_windows(out_path: str) -> Callable[[DataFrame, int], None]:
+def upsert_windows(out_path: str) -> Batch:
     def write(batch: DataFrame, epoch_id: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(out_path)
 
@@ -127,14 +151,7 @@ def run_window_stream(
     """
     stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     agg = windowed_means(stream.withWatermark(ts, watermark), ts, group, value, window)
-    q = (
-        agg.writeStream.outputMode("update")
-        .foreachBatch(upsert_windows(out_path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    run_to_end(agg, upsert_windows(out_path), checkpoint, "update")
 
 
 def read_latest_windows(spark: SparkSession, out_path: str, group: str) -> DataFrame:
@@ -142,3 +159,49 @@ def read_latest_windows(spark: SparkSession, out_path: str, group: str) -> DataF
     raw = spark.read.parquet(out_path)
     latest = raw.groupBy("w", group).agg(F.max_by(F.struct("n", "total"), "_epoch").alias("_v"))
     return latest.select("w", group, F.col("_v.n").alias("n"), F.col("_v.total").alias("total"))
+
+
+def run_closing_windows(
+    stream: DataFrame, ts: str, group: str, value: str, out_path: str, checkpoint: str,
+    window: str = "1 hour", watermark: str = "10 minutes",
+) -> StreamingQuery:
+    """ST3: tumbling windows in append mode; each window is one row of ``out_path``, for good.
+
+    A window is written by the batch in which the watermark passes its end, and
+    its state is evicted then; rows of a window that was closed before their batch
+    are dropped by Spark (:func:`run_late_rows` keeps them).
+    """
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        write_epoch(batch, out_path, run_id(batch, "windows"), epoch_id)
+
+    return run_to_end(windowed_means(timed, ts, group, value, window), write, checkpoint)
+
+
+def run_late_rows(
+    stream: DataFrame, ts: str, out_path: str, checkpoint: str, window: str = "1 hour", watermark: str = "10 minutes"
+) -> StreamingQuery:
+    """ST3 side table: every row that comes after its window was closed, with the watermark that closed it.
+
+    The watermark is the latest event time of all earlier micro-batches less the
+    delay, as Spark defines it; the latest times are kept as a table of committed
+    epochs beside the rows, so a restart goes on from them. It must see the same
+    arrivals as the stream of windows (one micro-batch for each arrival).
+    """
+    delay = F.expr(f"INTERVAL {watermark}")
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        spark, run = batch.sparkSession, run_id(batch, "late")
+        seen = read_committed(spark, f"{out_path}/latest", "run string, epoch long, latest timestamp")
+        before = seen.filter((F.col("run") == run) & (F.col("epoch") < epoch_id)).agg(F.max("latest")).first()[0]
+        if before is not None:
+            closed = F.lit(before) - delay
+            late = batch.filter(F.window(F.col(ts), window)["end"] <= closed).withColumn("watermark", closed)
+        else:
+            late = batch.filter(F.lit(False)).withColumn("watermark", F.lit(None).cast("timestamp"))
+        write_epoch(late, f"{out_path}/rows", run, epoch_id)
+        write_epoch(batch.agg(F.max(ts).alias("latest")), f"{out_path}/latest", run, epoch_id)
+
+    return run_to_end(timed, write, checkpoint)
