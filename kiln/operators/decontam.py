@@ -1,16 +1,20 @@
 """Benchmark decontamination and exact dedup.
 
-Plan shape (one pass over the corpus, no shuffle of the corpus text):
+Plan shape (no shuffle of the corpus text):
 
 1. benchmark texts → normalised words → distinct 8-grams tagged with the
-   benchmark name (small; counted before it is broadcast);
-2. corpus rows → 8-byte hashes of their 8-grams → ``explode`` → semi-join with
-   the benchmarks' hashes (broadcast within the measured bound) → keys of the
-   rows with a hit (few) → exact confirmation of those rows on the strings;
-3. flags per row = left join of the corpus with the per-row flags, broadcast
-   after a count when few rows are hit (no shuffle of the corpus then).
-
-Above the bound, step 2 shuffles 8-byte hashes.
+   benchmark name (counted before they are broadcast);
+2. corpus rows → 8-byte hashes of their 8-grams (each word hashed once, a gram's
+   hash is that of its words' hashes) → ``explode`` → semi-join with the
+   benchmarks' hashes, broadcast within the measured bound → digests of the texts
+   with a hit (few) → exact confirmation of those texts on the strings;
+3. flags per text digest = left join of the corpus, broadcast after a count when
+   few texts are hit.
+
+Above the bound, a Bloom filter of the benchmarks' hashes (at most 16 MB) is
+broadcast and probed in the scan's stage, and only the hashes that pass it are
+shuffled. Texts, not ids, are what is flagged, so null and repeated ids are
+judged each by their own text.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, split_words, word_ngrams
 from ..session import checkpoint_dir
+from .bloom import BloomFilter
 from .sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small, measured_join
 
 FLAG_PREFIX = "contaminated_"
@@ -48,32 +53,63 @@ def benchmark_ngrams(benchmarks: Mapping[str, tuple[DataFrame, str]], n: int = 8
     return out
 
 
-def contamination_hits(
+def _gram_hashes(words: DataFrame, n: int) -> DataFrame:
+    """``_w`` (words) → one row ``_h`` for each n-gram; all other columns stay."""
+    rest = [c for c in words.columns if c != "_w"]
+    hashed = words.filter(F.size("_w") >= n).select(*rest, F.transform("_w", lambda w: F.xxhash64(w)).alias("_wh"))
+    starts = F.sequence(F.lit(0), F.size("_wh") - F.lit(n))
+    gram = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_wh"), i + k) for k in range(n)]))
+    return hashed.select(*rest, F.explode(gram).alias("_h"))
+
+
+def probe_hashes(grams: DataFrame, members: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """The rows of ``grams`` whose ``_h`` is in ``members`` (materialized, distinct).
+
+    Within the bound the members are broadcast; above it their Bloom filter is,
+    and what passes is joined by a shuffle.
+    """
+    probe, small = broadcast_if_small(members, max_broadcast_rows)
+    if not small:
+        grams = BloomFilter(members, "_h").maybe_in(grams, "_h")
+    return grams.join(probe, "_h", "left_semi")
+
+
+def contaminated_texts(
     corpus: DataFrame,
-    key: str,
     text: str,
     bench_grams: DataFrame,
     n: int = 8,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Distinct ``(key, benchmark)`` pairs for rows sharing any n-gram with a benchmark.
+    """Distinct ``(_t, benchmark)``: md5 of each text that shares an n-gram with a benchmark.
 
-    Rows are probed by 8-byte n-gram hashes; the rows with a hit (few) are then
+    Texts are probed by 8-byte n-gram hashes; those with a hit (few) are then
     confirmed on the n-gram strings, so the result is exact.
     """
     # Written once, so that the measurements and the joins read the same table.
     checkpoint_dir(bench_grams.sparkSession)
     bench_grams = bench_grams.checkpoint(eager=True)
-    words = corpus.select(F.col(key), split_words(text, lower=True).alias("_w")).filter(F.size("_w") >= n)
-    starts = F.sequence(F.lit(1), F.size("_w") - F.lit(n - 1))
-    hashed = words.select(F.col(key), F.explode(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, n)))).alias("_h"))
-    probe, _ = broadcast_if_small(
-        bench_grams.select(F.xxhash64(F.split("ngram", " ")).alias("_h")).distinct(), max_broadcast_rows
-    )
-    hit_keys = hashed.join(probe, "_h", "left_semi").select(key).distinct()
-    candidates = measured_join(corpus, hit_keys, key, "left_semi")
+    texts = corpus.select(F.md5(text).alias("_t"), F.col(text).alias("_text"))
+    members = _gram_hashes(bench_grams.select(F.split("ngram", " ").alias("_w")), n).distinct().checkpoint(eager=True)
+    words = texts.select("_t", split_words("_text", lower=True).alias("_w"))
+    hits = probe_hashes(_gram_hashes(words, n), members, max_broadcast_rows).select("_t").distinct()
+    candidates = measured_join(texts, hits, "_t", "left_semi")
     exact, _ = broadcast_if_small(bench_grams, max_broadcast_rows)
-    return _doc_grams(candidates, key, text, n).join(exact, "ngram", "inner").select(key, "benchmark").distinct()
+    return _doc_grams(candidates, "_t", "_text", n).join(exact, "ngram", "inner").select("_t", "benchmark").distinct()
+
+
+def contamination_hits(
+    corpus: DataFrame,
+    key: str,
+    text: str,
+    bench_grams: DataFrame,
+    n: int = 8,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Distinct ``(key, benchmark)`` of the rows whose text shares an n-gram with a benchmark."""
+    hits = contaminated_texts(corpus, text, bench_grams, n, max_broadcast_rows)
+    keyed = corpus.select(key, F.md5(text).alias("_t"))
+    return measured_join(keyed, hits, "_t").select(key, "benchmark").distinct()
 
 
 def decontaminate(
@@ -84,17 +120,20 @@ def decontaminate(
     n: int = 8,
     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add one boolean ``contaminated_<name>`` column per benchmark."""
+    """Add one boolean ``contaminated_<name>`` column per benchmark.
+
+    A row is judged by its text alone, whatever its ``key``; a null text has no n-gram.
+    """
     names = list(benchmarks)
-    hits = contamination_hits(corpus, key, text, benchmark_ngrams(benchmarks, n), n, max_broadcast_rows)
-    flags = hits.groupBy(key).agg(
+    hits = contaminated_texts(corpus, text, benchmark_ngrams(benchmarks, n), n, max_broadcast_rows)
+    flags = hits.groupBy("_t").agg(
         *[F.max(F.col("benchmark") == F.lit(nm)).alias(FLAG_PREFIX + nm) for nm in names]
     )
-    # Only contaminated rows have a flag row; when they are few (counted) the
+    # Only contaminated texts have a flag row; when they are few (counted) the
     # flags are broadcast and the corpus is joined without being shuffled.
     flags = flags.checkpoint(eager=True)
     flags, _ = broadcast_if_small(flags, max_broadcast_rows)
-    out = corpus.join(flags, key, "left")
+    out = corpus.join(flags, F.md5(text) == F.col("_t"), "left").drop("_t")
     for nm in names:
         out = out.withColumn(FLAG_PREFIX + nm, F.coalesce(F.col(FLAG_PREFIX + nm), F.lit(False)))
     return out
@@ -129,22 +168,29 @@ def removal_counts(flagged: DataFrame, order: list[str] | None = None) -> DataFr
 
 
 def exact_dedup(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Keep the smallest key per normalised text (NULL texts are equal to each other).
-
-    Only a narrow ``(key, md5(normalised text))`` projection is shuffled:
-    ``min(key)`` per hash is a partial aggregate (a text repeated by a third
-    of all rows shrinks to one row per task before the shuffle), the rows
-    that are not the minimum are the duplicates, and those keys are removed
-    from the table with an anti-join that broadcasts them when they are few
-    (measured) instead of shuffling the text.
+    """One row per normalised text, that of the smallest key (a null key is the largest).
+
+    NULL texts are equal to each other. Only counts per ``(md5 of the normalised
+    text, key)`` are shuffled; a text repeated by a third of all rows shrinks to
+    its keys per task before that. The texts that stand more than once are written
+    and, if few (measured), broadcast to the scan, which drops all other keys'
+    rows. Rows that agree on text and key (repeated rows, null keys) are reduced
+    to one in a branch of their own.
     """
-    hk = df.select(F.col(key), F.coalesce(F.md5(normalize_text(text)), F.lit("")).alias("_h"))
-    # The narrow projection is written once, so the text is normalised and hashed once.
+    digest = F.coalesce(F.md5(normalize_text(text)), F.lit(""))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))
+    per_key = df.select(digest.alias("_h"), key).groupBy("_h", key).agg(F.count(F.lit(1)).alias("_n"))
+    first = per_key.groupBy("_h").agg(F.sum("_n").alias("_rows"), F.min(F.struct(order.alias("o"), "_n")).alias("_m"))
+    repeated = first.filter("_rows > 1").select("_h", F.col("_m.o.key").alias("_key"), (F.col("_m._n") > 1).alias("_tied"))
     checkpoint_dir(df.sparkSession)
-    hk = hk.checkpoint(eager=True)
-    mins = hk.groupBy("_h").agg(F.min(key).alias("_min"))
-    dups = hk.join(mins, "_h", "inner").filter(F.col(key) != F.col("_min")).select(key)
-    return measured_join(df, dups, key, "left_anti")
+    repeated = repeated.checkpoint(eager=True)
+    side, _ = broadcast_if_small(repeated)
+    marked = df.withColumn("_h", digest).join(side, "_h", "left")
+    kept = marked.filter(F.col("_tied").isNull() | F.col(key).eqNullSafe(F.col("_key")))
+    if repeated.filter("_tied").isEmpty():
+        return kept.select(*df.columns)
+    plain = kept.filter(~F.coalesce("_tied", F.lit(False))).select(*df.columns)
+    return plain.unionByName(kept.filter("_tied").dropDuplicates(["_h"]).select(*df.columns))
 
 
 def resume_pending(todo: DataFrame, done: DataFrame, todo_id: str, done_id: str) -> DataFrame:
