@@ -1,28 +1,42 @@
-"""Built-in tokenizer stand-in and sequence packing.
+"""Built-in vocabulary tokenizer and sequence packing.
 
 T1: whitespace words, ids = 0-based dense rank of the word in a vocabulary
-built from the corpus itself. The vocabulary is ranked with an exact
-distributed row number and joined back on the word; the join broadcasts the
-vocabulary only after counting it (a real deployment plugs a subword
-tokenizer in as an iterator pandas UDF instead).
+built from the corpus itself (an exact distributed row number). Rows are
+dictionary-encoded by blocks: a block is a run of rows of bounded text size, the
+distinct words of each block get their ids by one join with the vocabulary (very
+common words, which stand in every block, by a broadcast of their own), and each
+block's rows look their words up in their block's dictionary. No row per token is
+shuffled, and rows are matched by place, so null and repeated keys keep their ids.
 
 T7: "concatenate and cut": per shard, documents are laid end to end in id
 order and cut into blocks of ``max_length`` tokens. Each document's start
-offset comes from a distributed running sum over (shard, id); tokens are then
-assigned to blocks, and each block is at most ``max_length`` tokens.
+offset comes from a distributed running sum over (shard, id); a document then
+yields one slice for each block it touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from ..functions.text import split_words
+from ..session import checkpoint_dir
 from .ranking import global_row_number
 from .sizing import broadcast_if_small, join_on_nullable
 
+#: Bytes of text in a block of rows (a longer text is a block of its own).
+BLOCK_BYTES = 8 << 20
+#: A word is common when it stands in more than this share of all (block, word) pairs; there are at most 1/share of them.
+COMMON_SHARE = 1 / 2_000
+_BLOCK = "_block"
+
 
 def vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     """Distinct words with ``token_id`` = 0-based rank in byte order."""
@@ -30,25 +44,78 @@ def vocabulary(words: DataFrame, word: str = "word") -> DataFrame:
     return global_row_number(v, [word], out="_rn").select(word, (F.col("_rn") - 1).cast("int").alias("token_id"))
 
 
+def with_blocks(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``df`` written once, with ``_block``: runs of rows whose texts fill up to ``block_bytes``."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        block, held = TaskContext.get().partitionId() << 33, 0
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+            out = np.empty(b.num_rows, np.int64)
+            for i, n in enumerate(sizes.tolist()):
+                if held and held + n > block_bytes:
+                    block, held = block + 1, 0
+                held += n + 1
+                out[i] = block
+            yield b.append_column(_BLOCK, pa.array(out))
+
+    checkpoint_dir(df.sparkSession)
+    schema = StructType([*df.schema.fields]).add(_BLOCK, LongType())
+    return df.mapInArrow(run, schema).checkpoint(eager=True)
+
+
+def ids_of_words(pairs: DataFrame, vocab: DataFrame, max_broadcast_rows: int | None = None) -> DataFrame:
+    """``(_block, word)`` pairs (materialized) with ``token_id``; null for a word outside the vocabulary.
+
+    A vocabulary within the broadcast bound is broadcast. Beyond it the join
+    shuffles, but for common words, whose number is bounded by their share of all
+    pairs: they are joined by a broadcast, so that no task gets all blocks of a word.
+    """
+    bound = {} if max_broadcast_rows is None else {"max_rows": max_broadcast_rows}
+    side, small = broadcast_if_small(vocab, **bound)
+    if small:
+        return pairs.join(side, "word", "left")
+    least = pairs.count() * COMMON_SHARE
+    common = pairs.groupBy("word").count().filter(F.col("count") > least).select("word").checkpoint(eager=True)
+    known = vocab.join(F.broadcast(common), "word", "left_semi")
+    often = pairs.join(F.broadcast(common), "word", "left_semi").join(F.broadcast(known), "word", "left")
+    rest = pairs.join(F.broadcast(common), "word", "left_anti").join(vocab, "word", "left")
+    return often.unionByName(rest)
+
+
 def whitespace_vocabulary_ids(
-    df: DataFrame, key: str, text: str, vocab: DataFrame | None = None, unknown_id: int | None = None
+    df: DataFrame,
+    key: str,
+    text: str,
+    vocab: DataFrame | None = None,
+    unknown_id: int | None = None,
+    max_broadcast_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Return ``(df + input_ids, vocab)``; ids follow the word order of each text.
 
-    A word outside a given vocabulary gets ``unknown_id``; without one it is an error.
+    Every row gets its own ids, whatever its ``key``; a null or empty text has
+    none. A word outside a given vocabulary gets ``unknown_id``; without one it is
+    an error.
     """
-    exploded = df.select(key, F.posexplode(split_words(text, lower=False)).alias("pos", "word"))
+    rows = with_blocks(df, text)
+    words = rows.select(_BLOCK, F.explode(F.array_distinct(split_words(text, lower=False))).alias("word")).distinct()
+    words = words.checkpoint(eager=True)
     if vocab is None:
-        vocab = vocabulary(exploded)
-    v, _ = broadcast_if_small(vocab)
+        vocab = vocabulary(words)
     unknown = F.lit(unknown_id) if unknown_id is not None else F.raise_error(F.lit("word outside the vocabulary")).cast("int")
-    ided = exploded.join(v, "word", "left").withColumn("token_id", F.coalesce("token_id", unknown))
-    packed = ided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_t"))
-    ids = packed.select(key, F.transform("_t", lambda s: s["token_id"]).alias("input_ids"))
-    out = df.join(ids, key, "left").withColumn(
-        "input_ids", F.coalesce(F.col("input_ids"), F.array().cast("array<int>"))
-    )
-    return out, vocab
+    known = ids_of_words(words, vocab, max_broadcast_rows)
+    known = known.select(F.col(_BLOCK).alias("_of"), "word", F.coalesce("token_id", unknown).alias("token_id"))
+    kept, at = [f.name for f in df.schema.fields], df.columns.index(text)
+
+    def look_up(block: pa.Table, ids: pa.Table) -> pa.Table:
+        number = dict(zip(ids.column(1).to_pylist(), ids.column(2).to_pylist()))
+        found = [[number[w] for w in t.split()] if t else [] for t in block.column(at).to_pylist()]
+        out = [block.column(i) for i in range(len(kept))]
+        return pa.Table.from_arrays([*out, pa.array(found, pa.list_(pa.int32()))], names=[*kept, "input_ids"])
+
+    schema = StructType([*df.schema.fields]).add("input_ids", ArrayType(IntegerType()))
+    return rows.groupBy(_BLOCK).cogroup(known.groupBy("_of")).applyInArrow(look_up, schema), vocab
 
 
 def tokenizer_hook(fn: Callable[[Column], Column]) -> Callable[[DataFrame, str, str], DataFrame]:
@@ -86,8 +153,6 @@ def global_prefix_sum(df: DataFrame, order: list[str], value: str, out: str = "c
     """
     from pyspark.sql import Window
 
-    from ..session import checkpoint_dir
-
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
@@ -108,11 +173,22 @@ def pack_blocks(
 ) -> DataFrame:
     """Concatenate token ids per shard in ``order`` and cut into ``max_length`` blocks.
 
-    Output: ``shard, block, input_ids`` (each block ≤ ``max_length`` tokens).
+    Output: ``shard, block, input_ids`` (each block ≤ ``max_length`` tokens). A
+    document from offset ``a`` to ``b`` gives the slices ``[a, b) ∩ [kL, (k+1)L)``, one
+    for each block ``k`` it touches; a block gathers at most ``max_length`` tokens.
+    A null shard is a shard; rows equal in (shard, order) stand in any order.
     """
-    lens = df.select(shard, order, F.size(ids).cast("long").alias("_len"))
-    offs = running_offsets(lens, shard, order, "_len", out="_off")
-    tok = df.select(shard, order, F.posexplode(ids).alias("_p", "_id")).join(offs.select(shard, order, "_off"), [shard, order])
-    tok = tok.withColumn("_g", F.col("_off") + F.col("_p")).withColumn("block", F.floor(F.col("_g") / max_length).cast("long"))
-    blocks = tok.groupBy(shard, "block").agg(F.array_sort(F.collect_list(F.struct("_g", "_id"))).alias("_t"))
-    return blocks.select(shard, "block", F.transform("_t", lambda s: s["_id"]).alias("input_ids"))
+    size = F.lit(max_length).cast("long")
+    rows = df.select(shard, order, F.col(ids).alias("_ids")).withColumn("_len", F.coalesce(F.size("_ids"), F.lit(0)).cast("long"))
+    placed = running_offsets(rows.filter("_len > 0"), shard, order, "_len", out="_off")
+
+    def piece(k: Column) -> Column:
+        begin = F.greatest(k * size, F.col("_off"))
+        end = F.least((k + 1) * size, F.col("_off") + F.col("_len"))
+        cut = F.slice("_ids", (begin - F.col("_off") + 1).cast("int"), (end - begin).cast("int"))
+        return F.struct(k.alias("block"), begin.alias("at"), cut.alias("ids"))
+
+    touched = F.sequence(F.expr(f"_off DIV {max_length}"), F.expr(f"(_off + _len - 1) DIV {max_length}"))
+    slices = placed.select(shard, F.explode(F.transform(touched, piece)).alias("s")).select(shard, "s.*")
+    packed = slices.groupBy(shard, "block").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("_s"))
+    return packed.select(shard, "block", F.flatten(F.transform("_s", lambda s: s["ids"])).alias("input_ids"))
