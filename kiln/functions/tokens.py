@@ -8,7 +8,9 @@ is the built-in whitespace/vocabulary stand-in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORE_INDEX = -100
@@ -64,6 +66,29 @@ def round_up(length: Column, multiple: int) -> Column:
     return (F.ceil(length / F.lit(multiple)) * F.lit(multiple)).cast("int")
 
 
+def padded_batch(
+    df: DataFrame, batch: str, ids: str, labels: str, masks: Sequence[str] = (), pad_id: int = 0, multiple: int = 1
+) -> DataFrame:
+    """T4: every row padded to the longest ``ids`` of its batch (rounded up to ``multiple``).
+
+    Ids are padded with ``pad_id``, labels with −100, the given masks with 0, and
+    ``attention_mask`` (1 for a token, 0 for padding) is added. The maximum is a
+    partial aggregate joined back on the batch, so a batch may span tasks; a null
+    batch is a batch, and a null array counts as empty.
+    """
+    empty = F.array().cast("array<int>")
+    own = {c: F.coalesce(F.col(c).cast("array<int>"), empty) for c in (ids, labels, *masks)}
+    rows = df.withColumns(own)
+    longest = rows.groupBy(F.col(batch).alias("_of")).agg(round_up(F.max(F.size(ids)), multiple).alias("padded_len"))
+    rows = rows.join(longest, F.col(batch).eqNullSafe(F.col("_of"))).drop("_of")
+    n, length = F.size(ids), F.col("padded_len")
+    attention = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), length - n))
+    rows = rows.withColumn("attention_mask", attention)
+    return rows.withColumns(
+        {ids: pad_to(ids, length, pad_id), labels: pad_to(labels, length, IGNORE_INDEX)} | {m: pad_to(m, length, 0) for m in masks}
+    )
+
+
 # T5
 def truncate(arr: Column | str, max_length: int) -> Column:
     return F.slice(_c(arr), 1, max_length)

@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sizing import join_on_nullable
+from ..session import checkpoint_dir
+from .ranking import rank_within_groups
+from .sizing import broadcast_if_small, join_on_nullable
 
 ZERO_STD_ATOL = 1e-8
 ADV_EPS = 1e-4
@@ -45,13 +47,17 @@ def group_advantages(
     group: str | Sequence[str] = "prompt_id",
     scale_rewards: bool = True,
     out: str = "advantage",
+    size: int | None = None,
 ) -> DataFrame:
     """Attach group mean, sample std, zero-std flag and the advantage.
 
     ``advantage = r - mean_g`` (divided by ``std_g + 1e-4`` when scaling).
-    A group of one has NULL std and so a NULL scaled advantage.
+    A group of one has NULL std and so a NULL scaled advantage. ``size`` is strict
+    mode: a group of another number of rows raises :class:`GroupSizeError`.
     """
     keys = _keys(group)
+    if size is not None:
+        check_group_sizes(df, keys, size)
     stats = df.groupBy(*keys).agg(
         F.avg(reward).alias("group_mean"),
         F.stddev_samp(reward).alias("group_std"),
@@ -110,22 +116,68 @@ def filter_pass_rate(
     return rates.filter((F.col(col) > F.lit(min_rate)) & (F.col(col) < F.lit(max_rate)))
 
 
-# A4
+# A4 / W1
+class GroupSizeError(ValueError):
+    """A group does not hold the number of rows that strict mode asks for."""
+
+
+def check_group_sizes(df: DataFrame, group: str | Sequence[str], size: int) -> DataFrame:
+    """Row counts per group (written); a group of another size than ``size`` raises, before any list is built.
+
+    Counts are partial aggregates, so this costs one narrow shuffle whatever a
+    group holds; one offending group (the smallest key) is named.
+    """
+    keys = _keys(group)
+    checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    worst = counts.filter(F.col("n") != size).agg(F.count(F.lit(1)).alias("bad"), F.min(F.struct(*keys, "n")).alias("first")).first()
+    if worst["bad"]:
+        found = worst["first"].asDict()
+        n = found.pop("n")
+        raise GroupSizeError(f"{worst['bad']} groups do not hold {size} rows; {found} holds {n}")
+    return counts
+
+
 def collect_generations(
     df: DataFrame,
     group: str | Sequence[str],
     order: str,
     values: Sequence[str],
+    size: int | None = None,
+    chunk: int | None = None,
 ) -> DataFrame:
     """One row per group with ``values`` as arrays in ``order`` (generation order).
 
-    The group is the generations of one prompt, so its size is the configured
-    number of generations per prompt.
+    ``size`` is strict mode: every group must hold that many rows, else
+    :class:`GroupSizeError`. ``chunk`` bounds a row instead: a group of more rows is
+    cut into consecutive runs of ``chunk`` rows, numbered from 0 in a column
+    ``chunk``. Only the rows of long groups are ranked, across tasks, so a group
+    that holds a third of all rows is never one list. Without either, the group is
+    the generations of one prompt, whose number the job configures.
     """
     keys = _keys(group)
+    if size is not None:
+        check_group_sizes(df, keys, size)
+    if chunk is not None:
+        df = _numbered_chunks(df, keys, order, chunk)
+    by = [*keys, *(["chunk"] if chunk is not None else [])]
     packed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(v) for v in values])))
-    g = df.groupBy(*keys).agg(packed.alias("_p"))
-    return g.select(*keys, *[F.transform("_p", _field(v)).alias(f"{v}s") for v in values])
+    g = df.groupBy(*by).agg(packed.alias("_p"))
+    return g.select(*by, *[F.transform("_p", _field(v)).alias(f"{v}s") for v in values])
+
+
+def _numbered_chunks(df: DataFrame, keys: list[str], order: str, chunk: int) -> DataFrame:
+    """``df`` with ``chunk``: 0 in groups of up to ``chunk`` rows, else the row's place in its group divided by ``chunk``."""
+    checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    long = counts.filter(F.col("_n") > chunk).select(*[F.col(k).alias(f"_long_{k}") for k in keys]).checkpoint(eager=True)
+    side, _ = broadcast_if_small(long)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_long_{k}"))
+    short = df.join(side, same, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    ranked = rank_within_groups(df.join(side, same, "left_semi"), keys, [order], out="_rk")
+    return short.unionByName(ranked.withColumn("chunk", F.floor((F.col("_rk") - 1) / chunk).cast("long")).drop("_rk"))
 
 
 def _field(name: str):

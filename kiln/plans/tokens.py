@@ -9,6 +9,7 @@ from ..functions import rewards as R
 from ..functions import tokens as T
 from ..functions.text import split_words
 from ..operators import groups as G
+from ..operators.ranking import batch_ids
 from ..operators.tokenize import pack_blocks, whitespace_vocabulary_ids
 from ..sources.fixtures import rollouts, step_metrics
 from ..sources.tables import read_table
@@ -86,6 +87,63 @@ def q_token_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BATCHED_SQL = f"""
+WITH {_IDS_CTE.strip()},
+b AS (SELECT doc_id, input_ids AS x, len(input_ids) AS n, least({PROMPT_TOKENS}, len(input_ids)) AS p,
+             (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch FROM ids),
+m AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch) / 16) * 16 AS INTEGER) AS len FROM b),
+j AS (SELECT doc_id, batch, len AS padded_len,
+  list_concat(x, list_transform(range(len - n), lambda i: 0)) AS ids,
+  list_concat(list_transform(range(p), lambda i: -100), x[p + 1:], list_transform(range(len - n), lambda i: -100)) AS labels,
+  list_concat(list_transform(range(p), lambda i: 0), list_transform(range(n - p), lambda i: 1), list_transform(range(len - n), lambda i: 0)) AS cm,
+  list_concat(list_transform(range(n), lambda i: 1), list_transform(range(len - n), lambda i: 0)) AS am,
+  doc_id % 5 <> 0 OR n = 0 AS prompt_is_prefix,
+  CASE WHEN list_contains(x, {EOS_ID}) THEN list_position(x, {EOS_ID}) ELSE 0 END AS eos_mask_sum FROM m)
+SELECT doc_id, batch, padded_len, md5(array_to_string(ids, ' ')) AS ids_md5, md5(array_to_string(labels, ' ')) AS labels_md5,
+       md5(array_to_string(cm, ' ')) AS completion_mask_md5, md5(array_to_string(am, ' ')) AS attention_mask_md5,
+       prompt_is_prefix, CAST(eos_mask_sum AS INTEGER) AS eos_mask_sum FROM j
+"""
+
+
+@query("token_batches_padded", ids=("T2", "T3", "T4", "T6", "W4"), sql=_BATCHED_SQL)
+def q_padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of eight rows padded to their longest: ids, labels, completion and attention mask.
+
+    With them the flag of prompts that are not a prefix of their row (each fifth
+    prompt is tokenized otherwise), and the EOS mask that drops truncated rows.
+    """
+    t = token_ids(spark, sf_dir).select("doc_id", "input_ids")
+    t = batch_ids(t, ["doc_id"], 8).withColumn("p", F.least(F.lit(PROMPT_TOKENS), F.size("input_ids")))
+    prompt = F.slice("input_ids", F.lit(1), F.col("p"))
+    other = F.transform(prompt, lambda x: x + 1)
+    prompt = F.when(F.col("doc_id") % 5 == 0, other).otherwise(prompt)
+    t = t.select(
+        "doc_id",
+        "batch",
+        "input_ids",
+        T.mask_labels_before("input_ids", F.col("p")).alias("labels"),
+        T.completion_mask(F.col("p"), F.size("input_ids")).alias("completion_mask"),
+        T.prefix_matches(prompt, "input_ids").alias("prompt_is_prefix"),
+        F.aggregate(T.eos_mask("input_ids", EOS_ID, zero_truncated=True), F.lit(0), lambda a, x: a + x).alias("eos_mask_sum"),
+    )
+    padded = T.padded_batch(t, "batch", "input_ids", "labels", ["completion_mask"], pad_id=0, multiple=16)
+
+    def digest(c: str):
+        return F.md5(F.array_join(F.col(c).cast("array<string>"), " "))
+
+    return padded.select(
+        "doc_id",
+        "batch",
+        "padded_len",
+        digest("input_ids").alias("ids_md5"),
+        digest("labels").alias("labels_md5"),
+        digest("completion_mask").alias("completion_mask_md5"),
+        digest("attention_mask").alias("attention_mask_md5"),
+        "prompt_is_prefix",
+        "eos_mask_sum",
+    )
+
+
 _ACC_SQL = f"""
 WITH {_IDS_CTE.strip()},
 b AS (SELECT input_ids AS x, len(input_ids) AS n, least({PROMPT_TOKENS}, len(input_ids)) AS p FROM ids),
@@ -150,9 +208,9 @@ FROM k
 def q_stage2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-sample weight decaying over the first half of training; 0.01 when the self-grade is invalid."""
     r = rollouts(spark, sf_dir)
-    total = r.agg(F.max("prompt_id")).first()[0] + 1
+    total = rollouts(spark, sf_dir).agg(F.max("prompt_id") + 1).scalar()  # one value, computed within the query
     raw = R.rewarding_reward_raw(F.col("completion"), F.col("solution"))
-    w = T.stage2_weight(F.col("prompt_id"), F.lit(total), 0.5, raw["valid"])
+    w = T.stage2_weight(F.col("prompt_id"), total, 0.5, raw["valid"])
     return r.select("doc_id", F.round(w, DEC).alias("weight"))
 
 
