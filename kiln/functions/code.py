@@ -3,6 +3,8 @@ parsing, source patching, stop-string truncation (R15, R16, R31–R34, C18)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,15 +35,13 @@ PYTHON_RENAMES = (
 ABSTRACT_COLLECTIONS = (
     "Mapping", "Sequence", "Set", "Container", "MutableMapping", "MutableSet", "MutableSequence",
 )
+# Lines added after the last import (what a submission must contain, what makes it needless, the lines).
+MATH_IMPORTS = (
+    ("fractions.gcd", "import math", "\nimport math"),
+    ("gcd", "from math import gcd", "\nfrom math import gcd"),
+)
 NO_DIGIT_LIMIT = "\nimport sys\nsys.set_int_max_str_digits(0)"
 # ---------------------------------------------------------------------------
-_LOGIN_CALL = r"(os\s*\.\s*)?getlogin\s*\(\s*\)"
-# ``gcd`` left the fractions module: taken out of its import lists, bracketed or not.
-_FRACTIONS_LIST = r"from\s+fractions\s+import\s+(?:\([^)]*?|[^\n(]*?)"
-_GCD_THEN_MORE = "(" + _FRACTIONS_LIST + r")\bgcd\s*,\s*"
-_MORE_THEN_GCD = "(" + _FRACTIONS_LIST + r")\s*,\s*gcd\b"
-_GCD_ALONE = r"from\s+fractions\s+import\s+\(?\s*gcd\b\s*\)?"
-_IMPORT_LINE = r"\A[\s\x1c-\x1f]*(import|from.*import)"
 # Python ``str.splitlines`` boundaries.
 _LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 
@@ -125,42 +125,81 @@ def contest_id(problem_id: Column | str) -> Column:
 
 
 # R33
-def _python_patch(code: Column) -> Column:
-    """Python 3 fixes: added imports after the last import line, then moved and renamed names.
+def _call(*tokens: str) -> str:
+    """Pattern of a call whose tokens may stand apart."""
+    return r"\s*".join(re.escape(t) for t in tokens)
+
 
-    The text after the added imports starts with the last import line again (the
-    first line, if nothing is imported), as submissions are patched upstream.
+def _import_list_without(name: str, after: Column) -> Column:
+    """What follows ``from m import``: its list of names without ``name`` (NULL if no other name is left).
+
+    The list ends with the bracket it opens with, or else with its line. A
+    list that does not hold ``name`` is left as it is.
     """
-    split = F.split(code, _LINE_BREAK)
-    n_split = F.size(split)
-    lines = F.slice(split, 1, n_split - F.when(F.element_at(split, -1) == "", 1).otherwise(0))
-    from_end = F.array_position(F.transform(F.reverse(lines), lambda line: line.rlike(_IMPORT_LINE)), True)
-    at = F.when(from_end > 0, F.size(lines) - from_end + 1).otherwise(1).cast("int")
-    has = lambda text: F.contains(code, F.lit(text))
-    added = F.concat(
-        F.when(has("fractions.gcd") & ~has("import math"), "\nimport math")
-        .when(has("gcd") & ~has("from math import gcd"), "\nfrom math import gcd")
-        .otherwise(""),
-        F.when(has("set_int_max_str_digits"), "").otherwise(NO_DIGIT_LIMIT),
+    bracketed = F.ltrim(after).startswith("(") & F.contains(after, F.lit(")"))
+    open_at = F.when(bracketed, F.instr(after, "(")).otherwise(0)
+    listed = F.when(
+        bracketed, F.substring(after, open_at + 1, F.instr(after, ")") - open_at - 1)
+    ).otherwise(F.regexp_extract(after, r"\A[^\n;#]*", 0))
+    names = F.split(listed, ",")
+    others = F.filter(names, lambda n: py_strip(n) != name)
+    kept = F.array_join(others, ",")
+    # A name that moves up to the word "import" keeps a blank before it.
+    kept = F.when(~bracketed & ~kept.rlike(r"\A\s"), F.concat(F.lit(" "), kept)).otherwise(kept)
+    rest = F.substring(after, F.length(listed) + open_at + 1, F.length(after))
+    new = F.concat(F.substring(after, F.lit(1), open_at), kept, rest)
+    none_left = F.forall(others, lambda n: py_strip(n) == "")
+    gone = F.when(bracketed, F.substring(rest, 2, 1 << 30)).otherwise(rest)
+    return F.when(F.size(others) == F.size(names), F.struct(F.lit(True).alias("stays"), after.alias("text"))).otherwise(
+        F.struct((~none_left).alias("stays"), F.when(none_left, gone).otherwise(new).alias("text"))
     )
-    first = F.array_join(F.slice(lines, 1, at), "\n")
-    rest = F.array_join(F.slice(lines, at, F.greatest(F.size(lines), F.lit(1))), "\n")
-    out = F.concat(first, added, F.lit("\n"), rest)
-    for old, new in PYTHON_RENAMES:
+
+
+def _drop_imported(code: Column, module: str, name: str) -> Column:
+    """``from module import ...`` statements without ``name``; a statement that imports nothing else goes."""
+    head = r"from\s+" + re.escape(module) + r"\s+import\b"
+    heads = F.regexp_extract_all(code, F.lit(head), F.lit(0))
+    pieces = F.split(code, head)
+    after = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _import_list_without(name, p))
+    put = F.zip_with(heads, after, lambda h, p: F.concat(F.when(p["stays"], h).otherwise(""), p["text"]))
+    return F.concat(F.element_at(pieces, 1), F.array_join(put, ""))
+
+
+def _added_imports(code: Column) -> Column:
+    """The import lines a submission lacks."""
+    math = None
+    for found, needless, lines in MATH_IMPORTS:
+        lacks = F.contains(code, F.lit(found)) & ~F.contains(code, F.lit(needless))
+        math = F.when(lacks, lines) if math is None else math.when(lacks, lines)
+    return F.concat(math.otherwise(""), F.when(F.contains(code, F.lit("set_int_max_str_digits")), "").otherwise(NO_DIGIT_LIMIT))
+
+
+def _python_patch(code: Column) -> Column:
+    """Python 3 fixes: the imports a submission lacks, then moved and renamed names.
+
+    The added lines stand behind the last import line (the first line, if nothing
+    is imported), and that line is repeated behind them, as submissions are
+    patched upstream.
+    """
+    pieces = F.split(code, _LINE_BREAK)
+    lines = F.slice(pieces, 1, F.size(pieces) - F.when(F.element_at(pieces, -1) == "", 1).otherwise(0))
+
+    def imports(line: Column) -> Column:
+        bare = py_strip(line)
+        return bare.startswith("import") | (bare.startswith("from") & F.contains(bare, F.lit("import")))
+
+    last = F.array_max(F.transform(lines, lambda line, i: F.when(imports(line), i).otherwise(0)))
+    added = _added_imports(code)
+    out = F.array_join(F.transform(lines, lambda line, i: F.when(i == last, F.concat(line, added, F.lit("\n"), line)).otherwise(line)), "\n")
+    moved = [(f"from collections import {n}", f"from collections.abc import {n}") for n in ABSTRACT_COLLECTIONS]
+    for old, new in (*moved, *PYTHON_RENAMES):
         out = F.replace(out, F.lit(old), F.lit(new))
-    abstract = r"from collections import (" + "|".join(ABSTRACT_COLLECTIONS) + ")"
-    for pattern, new in (
-        (abstract, "from collections.abc import $1"),
-        (r"\\\n+", "\\\\\n"),
-        (_LOGIN_CALL, "False"),
-        (r"\bfractions\.gcd\b", "math.gcd"),
-        (_GCD_THEN_MORE, "$1"),
-        (_MORE_THEN_GCD, "$1"),
-        (_GCD_ALONE, ""),
-        (r"\\+\z", ""),
-    ):
-        out = F.regexp_replace(out, pattern, new)
-    return out
+    # A continued line goes on with the next line that is not empty.
+    out = F.regexp_replace(out, r"(?<=\\)\n+", "\n")
+    for tokens in (("os", ".", "getlogin", "(", ")"), ("getlogin", "(", ")")):
+        out = F.regexp_replace(out, _call(*tokens), "False")
+    out = F.regexp_replace(out, r"\b" + re.escape("fractions.gcd") + r"\b", "math.gcd")
+    return F.rtrim(_drop_imported(out, "fractions", "gcd"), F.lit("\\"))
 
 
 def _cpp_patch(code: Column, problem_id: Column | None = None) -> Column:

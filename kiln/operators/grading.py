@@ -66,7 +66,7 @@ def cf_submission_scores(
         elif mode == "weighted_sum":
             val, seen = all_pass + F.lit(0.1) * ratio, ce_any
         else:
-            raise ValueError(f"Invalid scoring mode: {mode}")
+            raise ValueError(f"unknown scoring mode {mode!r}")
         score = (
             F.when(F.col("n_tests") == 0, F.lit(None).cast("double"))
             .when(~F.col("_has_code"), F.lit(NO_SUBMISSION_REWARD))
@@ -113,13 +113,15 @@ def subtask_scores(
     """
     pts = points if points is not None else F.lit(1.0)
     g = results.withColumn("_prio", status_priority(F.col("status"))).withColumn("_pts", pts)
+    # Numeric buffers only, so the aggregate hashes; the worst status is named afterwards.
     scored = g.groupBy(*keys).agg(
         F.bround(F.min("score"), precision).alias("subtask_score"),
-        F.bround(F.min("score") * F.first("_pts"), precision).alias("weighted_score"),
-        F.min_by("status", "_prio").alias("subtask_status"),
+        F.bround(F.min("score") * F.max("_pts"), precision).alias("weighted_score"),
+        F.min("_prio").alias("_prio"),
         F.count(F.lit(1)).alias("n_tests"),
         *extra,
     )
+    scored = scored.withColumn("subtask_status", _status_of(F.col("_prio"))).drop("_prio")
     if subtasks is None:
         return scored
     zero = {"subtask_score": 0.0, "weighted_score": 0.0, "n_tests": 0}
@@ -143,7 +145,7 @@ def early_stopped_scores(
     keys = list(keys)
     per_batch = (
         results.select(*keys, batch, "score", status_priority(F.col("status")).alias("_prio"), pts.alias("_pts"))
-        .groupBy(*keys, batch)
+        .groupBy(*keys, F.col(batch).alias("_b"))
         .agg(
             F.min("score").alias("_min"),
             F.min("_prio").alias("_prio"),
@@ -151,23 +153,33 @@ def early_stopped_scores(
             F.count(F.lit(1)).alias("_n"),
         )
     )
-    stop = per_batch.groupBy(*keys).agg(F.min(F.when(F.col("_min") == 0.0, F.col(batch))).alias("_stop"))
-    j = join_on_nullable(per_batch, stop, keys)
-    ran = F.col("_stop").isNull() | (F.col(batch) <= F.col("_stop"))
-    status = F.create_map(*[F.lit(x) for s, p in STATUS_PRIORITY.items() for x in (p, s)])
-    out = j.groupBy(*keys).agg(
-        F.bround(F.min("_min"), precision).alias("subtask_score"),
-        F.bround(F.min("_min") * F.max("_pts"), precision).alias("weighted_score"),
-        F.min(F.when(ran, F.col("_prio"))).alias("_prio"),
+    failed = F.col("_min") == 0.0
+    out = per_batch.groupBy(*keys).agg(
+        F.min("_min").alias("_low"),
+        F.max("_pts").alias("_pts"),
+        F.min(F.when(failed, F.struct("_b", "_prio"))).alias("_stop"),
+        F.min("_prio").alias("_prio"),
         F.sum("_n").alias("n_tests"),
-        F.coalesce(F.sum(F.when(~ran, F.col("_n"))), F.lit(0).cast("long")).alias("n_skipped"),
+        F.collect_list(F.struct("_b", "_n")).alias("_sizes"),  # one small entry for each batch of the key
+    )
+    after = F.aggregate(
+        F.filter("_sizes", lambda s: s["_b"] > F.col("_stop._b")), F.lit(0).cast("long"), lambda total, s: total + s["_n"]
     )
     return out.select(
-        *keys, "subtask_score", "weighted_score", F.element_at(status, F.col("_prio")).alias("subtask_status"),
-        "n_tests", "n_skipped",
+        *keys,
+        F.bround("_low", precision).alias("subtask_score"),
+        F.bround(F.col("_low") * F.col("_pts"), precision).alias("weighted_score"),
+        _status_of(F.coalesce("_stop._prio", "_prio")).alias("subtask_status"),
+        "n_tests",
+        F.coalesce(after, F.lit(0).cast("long")).alias("n_skipped"),
     )
 
 
+def _status_of(priority: Column) -> Column:
+    """The status with a priority number."""
+    return F.element_at(F.create_map(*[F.lit(x) for s, p in STATUS_PRIORITY.items() for x in (p, s)]), priority)
+
+
 def stdout_test_passed(stdout: Column, expected: Column, exit_code: Column) -> Column:
     """Line-wise stripped comparison over the shorter of the two line lists."""
     got = F.split(py_strip(stdout), "\n")

@@ -189,43 +189,42 @@ def q_tests_by_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 
 
-def _patched_sql() -> str:
-    out = "concat(array_to_string(ls[1:cut], chr(10)), added, chr(10), array_to_string(ls[cut:], chr(10)))"
-    for old, new in C.PYTHON_RENAMES:
-        out = f"replace({out}, {_lit(old)}, {_lit(new)})"
-    for pattern, new in (
-        ("from collections import (" + "|".join(C.ABSTRACT_COLLECTIONS) + ")", r"from collections.abc import \1"),
-        (r"(os\s*\.\s*)?getlogin\s*\(\s*\)", "False"),
-        (r"\bfractions\.gcd\b", "math.gcd"),
-        (r"(from\s+fractions\s+import\s+(?:\([^)]*?|[^\n(]*?))\bgcd\s*,\s*", r"\1"),
-        (r"(from\s+fractions\s+import\s+(?:\([^)]*?|[^\n(]*?))\s*,\s*gcd\b", r"\1"),
-        (r"from\s+fractions\s+import\s+\(?\s*gcd\b\s*\)?", ""),
-    ):
-        out = f"regexp_replace({out}, {_lit(pattern)}, {_lit(new)}, 'g')"
-    out = f"regexp_replace({out}, '\\\\\\n+', chr(92) || chr(92) || chr(10), 'g')"
-    return f"rtrim({out}, chr(92))"
+# Submissions made of fixed parts around a document's text: (import part, call in the body, import part afterwards).
+_SUBMISSIONS = (
+    ("from fractions import gcd", "fractions.gcd(4, 6)", ""),
+    ("from fractions import gcd, Fraction", "fractions.gcd(4, 6)", "from fractions import Fraction"),
+    ("from fractions import Fraction, gcd", "fractions.gcd(4, 6)", "from fractions import Fraction"),
+    ("from fractions import (\n  gcd,\n  Fraction)", "fractions.gcd(4, 6)", "from fractions import (\n  Fraction)"),
+    ("from collections import Mapping, deque", "gcd(4, 6)", "from collections.abc import Mapping, deque"),
+)
+_MIDDLE = "\nimport imp\nx = \'\'\'"
+_MIDDLE_AFTER = "\nimport importlib\nx = \'\'\'"
+_LAST_IMPORT = "\'\'\'\nimport inspect"
+
+
+def _body(call: str) -> str:
+    return f"\nprint({call}, os . getlogin ( ), getlogin(), inspect.getargspec)\ny = 1 + \\\n\n\n2\n"
+
+
+def _body_after(call: str) -> str:
+    return f"\nimport inspect\nprint({call.replace('fractions', 'math')}, False, False, inspect.getfullargspec)\ny = 1 + \\\n2"
+
+
+def _case(values: list[str]) -> str:
+    return "CASE doc_id // 2 % 5 " + " ".join(f"WHEN {i} THEN {_lit(v)}" for i, v in enumerate(values)) + " END"
+
 
+_IMPORTED = ["\nimport math" if "fractions" in call else "\nfrom math import gcd" for _, call, _ in _SUBMISSIONS]
+_TEXT_LINES = f"regexp_replace(text, '{_BREAKS}', chr(10), 'g')"
 
+# The patched text is put together from the parts as they must come out.
 _PATCH_SQL = rf"""
-WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'cpp' END AS language FROM documents),
-b AS (SELECT doc_id, language, concat('<think>plan</think><answer>```', language, chr(10),
-        CASE WHEN language = 'python'
-             THEN concat('from fractions import gcd', chr(10), 'import imp', chr(10), 'x = ''', text, '''', chr(10), 'print(fractions.gcd(4, 6))', chr(10))
-             ELSE concat('int main() {{ std::string s = "', text, '"; }}', chr(10)) END, '```</answer>') AS c FROM t),
-k AS (SELECT doc_id, language, c, coalesce(CASE WHEN language = 'python' THEN regexp_extract_all(c, '(?s)```python\n(.*?)```', 1)[-1]
-        ELSE regexp_extract_all(c, '(?s)```cpp\n(.*?)```', 1)[-1] END, '') AS code FROM b),
-s AS (SELECT *, string_split_regex(code, '{_BREAKS}') AS s0 FROM k),
-l AS (SELECT *, CASE WHEN s0[-1] = '' THEN s0[1:len(s0) - 1] ELSE s0 END AS ls FROM s),
-i AS (SELECT *, greatest(1, coalesce(list_max(list_filter(range(1, len(ls) + 1),
-        lambda j: regexp_matches(ls[j], '^[\s\x0b\x1c-\x1f]*(import|from.*import)'))), 1)) AS cut,
-        concat(CASE WHEN contains(code, 'fractions.gcd') AND NOT contains(code, 'import math') THEN chr(10) || 'import math'
-                    WHEN contains(code, 'gcd') AND NOT contains(code, 'from math import gcd') THEN chr(10) || 'from math import gcd' ELSE '' END,
-               CASE WHEN contains(code, 'set_int_max_str_digits') THEN '' ELSE {_lit(C.NO_DIGIT_LIMIT)} END) AS added FROM l)
-SELECT doc_id, language,
-       CASE WHEN regexp_matches(c, concat('(?s)^<think>.*?</think><answer>.*?```', language, '.*?```.*?</answer>$')) THEN 1.0 ELSE 0.0 END::DOUBLE AS code_format,
-       CASE WHEN code = '' THEN code WHEN language = 'python' THEN {_patched_sql()}
-            ELSE concat({_lit(C.CPP_HEADER)}, CASE WHEN contains(code, 'using namespace std;') OR contains(code, 'std::') THEN '' ELSE {_lit(C.USING_STD)} END, code) END AS patched
-FROM i
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'cpp' END AS language, 1.0::DOUBLE AS code_format,
+  CASE WHEN doc_id % 2 = 0
+    THEN concat({_case([c for _, _, c in _SUBMISSIONS])}, {_lit(_MIDDLE_AFTER)}, {_TEXT_LINES}, {_lit(_LAST_IMPORT)},
+                {_case(_IMPORTED)}, {_lit(C.NO_DIGIT_LIMIT)}, {_case([_body_after(call) for _, call, _ in _SUBMISSIONS])})
+    ELSE concat({_lit(C.CPP_HEADER)}, 'int main() {{ std::string s = "', text, '"; }}', chr(10)) END AS patched
+FROM documents
 """
 
 
@@ -235,10 +234,12 @@ def q_code_patching(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     lang = F.when(F.col("doc_id") % 2 == 0, F.lit("python")).otherwise(F.lit("cpp"))
     text = F.col("text")
-    body = F.when(
-        lang == "python",
-        F.concat(F.lit("from fractions import gcd\nimport imp\nx = '"), text, F.lit("'\nprint(fractions.gcd(4, 6))\n")),
-    ).otherwise(F.concat(F.lit("int main() { std::string s = \""), text, F.lit("\"; }\n")))
+    which = F.floor(F.col("doc_id") / 2) % len(_SUBMISSIONS)
+    python = F.lit("")
+    for i, (imports, call, _) in enumerate(_SUBMISSIONS):
+        parts = F.concat(F.lit(imports + _MIDDLE), text, F.lit(_LAST_IMPORT + _body(call)))
+        python = F.when(which == i, parts).otherwise(python)
+    body = F.when(lang == "python", python).otherwise(F.concat(F.lit("int main() { std::string s = \""), text, F.lit("\"; }\n")))
     completion = F.concat(F.lit("<think>plan</think><answer>```"), lang, F.lit("\n"), body, F.lit("```</answer>"))
     t = d.select("doc_id", lang.alias("language"), completion.alias("completion"))
     t = t.withColumn("code", C.extract_code(F.col("completion"), F.col("language")))
