@@ -10,6 +10,8 @@ undefined variable and so always reports a failed evaluation).
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ PERFECT_SUMMARY = "All rewards are 1.0"
 STRICT_FORMAT_PATTERN = r"(?s)(?m)(?d)\A<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>$"
 STRICT_TAGS = ("<think>\n", "\n</think>\n", "\n<answer>\n", "\n</answer>")
 ARROW = " → "
+REWARD = "reward="
+MATCH_STATUS = ("evaluation_failed", "match", "mismatch")
+ACCURACY_LINES = ("accuracy evaluation:\n  - Model output: ", "\n  - Expected: ", "\n  - Match status: ", "\n  → reward=")
+FORMAT_LINE = ("format: think=", ", answer=", ", valid=")
+TAG_COUNT_LINE = ("tag_count: <think>=", ", </think>=", ", <answer>=", ", </answer>=")
+TAG_NAMES = ("<think>", "</think>", "<answer>", "</answer>")
+ALL_TAGS_LINE, MISSING_TAGS_LINE = "tag_count: all tags present", "tag_count: missing tags "
+# ---------------------------------------------------------------------------
+
+
+def _filled(texts: Sequence[str], values: Sequence[Column]) -> Column:
+    """Each fixed text followed by its value."""
+    return F.concat(*[x for t, v in zip(texts, values, strict=True) for x in (F.lit(t), v)])
 
 
 def num_text(c: Column) -> Column:
@@ -37,7 +52,8 @@ def bool_text(c: Column) -> Column:
 
 # R28
 def match_status(reward: Column) -> Column:
-    return F.when(reward.isNull(), F.lit("evaluation_failed")).when(reward == 1.0, F.lit("match")).otherwise(F.lit("mismatch"))
+    failed, match, mismatch = map(F.lit, MATCH_STATUS)
+    return F.when(reward.isNull(), failed).when(reward == 1.0, match).otherwise(mismatch)
 
 
 def report_accuracy(completion: Column | str, solution: Column | str) -> tuple[Column, Column]:
@@ -49,13 +65,7 @@ def report_accuracy(completion: Column | str, solution: Column | str) -> tuple[C
     )
     shown_pred = F.when((F.length(gold) > 0) & (F.length(pred) > 0), pred).otherwise(F.lit("None"))
     shown_gold = F.when(F.length(gold) > 0, gold).otherwise(F.lit("None"))
-    text = F.concat(
-        F.lit("accuracy evaluation:\n  - Model output: "), shown_pred,
-        F.lit("\n  - Expected: "), shown_gold,
-        F.lit("\n  - Match status: "), match_status(reward),
-        F.lit("\n  → reward="), num_text(reward),
-    )
-    return reward, text
+    return reward, _filled(ACCURACY_LINES, [shown_pred, shown_gold, match_status(reward), num_text(reward)])
 
 
 # R26
@@ -65,13 +75,8 @@ def report_format(completion: Column | str) -> tuple[Column, Column]:
     has_answer = (F.instr(x, "<answer>") > 0) & (F.instr(x, "</answer>") > 0)
     valid = F.regexp(x, F.lit(STRICT_FORMAT_PATTERN))
     reward = F.when(valid, F.lit(1.0)).otherwise(F.lit(0.0))
-    text = F.concat(
-        F.lit("format: think="), bool_text(has_think),
-        F.lit(", answer="), bool_text(has_answer),
-        F.lit(", valid="), bool_text(valid),
-        F.lit(ARROW + "reward="), num_text(reward),
-    )
-    return reward, text
+    shown = [bool_text(c) for c in (has_think, has_answer, valid)]
+    return reward, F.concat(_filled(FORMAT_LINE, shown), F.lit(ARROW + REWARD), num_text(reward))
 
 
 def strict_tag_counts(completion: Column | str) -> list[Column]:
@@ -83,24 +88,23 @@ def report_tag_count(completion: Column | str) -> tuple[Column, Column]:
     reward = F.lit(0.0)
     for c in counts:
         reward = reward + F.when(c == 1, F.lit(0.25)).otherwise(F.lit(0.0))
-    labels = ("<think>=", ", </think>=", ", <answer>=", ", </answer>=")
-    parts = [F.lit("tag_count: ")]
-    for lab, c in zip(labels, counts):
-        parts += [F.lit(lab), c.cast("string")]
-    parts += [F.lit(ARROW + "reward="), num_text(reward)]
-    return reward, F.concat(*parts)
+    shown = [c.cast("string") for c in counts]
+    return reward, F.concat(_filled(TAG_COUNT_LINE, shown), F.lit(ARROW + REWARD), num_text(reward))
 
 
 # R27
 def missing_tags_report(completion: Column | str) -> Column:
     counts = strict_tag_counts(completion)
-    names = ("<think>", "</think>", "<answer>", "</answer>")
-    missing = F.array_compact(F.array(*[F.when(c != 1, F.lit(n)) for c, n in zip(counts, names)]))
-    _, reward_text = report_tag_count(completion)
-    reward = F.regexp_extract(reward_text, "reward=(.*)$", 1)
-    return F.when(
-        F.size(missing) == 0, F.concat(F.lit("tag_count: all tags present" + ARROW + "reward="), reward)
-    ).otherwise(F.concat(F.lit("tag_count: missing tags "), F.array_join(missing, ", "), F.lit(ARROW + "reward="), reward))
+    reward, _ = report_tag_count(completion)
+    missing = F.array_compact(F.array(*[F.when(c != 1, F.lit(n)) for c, n in zip(counts, TAG_NAMES)]))
+    said = F.when(F.size(missing) == 0, F.lit(ALL_TAGS_LINE)).otherwise(F.concat(F.lit(MISSING_TAGS_LINE), F.array_join(missing, ", ")))
+    return F.concat(said, F.lit(ARROW + REWARD), num_text(reward))
+
+
+# R25
+def report_other(name: str, reward: Column) -> Column:
+    """The line of any other reward function: its name and its value."""
+    return F.concat(F.lit(f"{name}: {REWARD}"), num_text(reward))
 
 
 def separator_index(seed: int, key: Column) -> Column:
@@ -110,16 +114,24 @@ def separator_index(seed: int, key: Column) -> Column:
 
 
 # R25
-def evaluation_report(completion: Column | str, solution: Column | str, key: Column, seed: int = 0) -> Column:
-    """Full report: accuracy, format and tag-count lines, separator, perfect summary."""
+def evaluation_report(
+    completion: Column | str, solution: Column | str, key: Column, seed: int = 0, others: Mapping[str, Column] | None = None
+) -> Column:
+    """Full report: accuracy, format and tag-count lines, one for each of ``others``, separator, perfect summary.
+
+    A missing or negative reward ("reward=None", "reward=-0.5") does not break the
+    perfect check, as in the reference: it only reads numbers without a sign.
+    """
     acc, acc_t = report_accuracy(completion, solution)
     fmt, fmt_t = report_format(completion)
     tag, tag_t = report_tag_count(completion)
     seps = F.array(*[F.lit(s) for s in REPORT_SEPARATORS])
     sep = F.element_at(seps, separator_index(seed, key) + 1)
     body = F.concat_ws("", acc_t, sep, fmt_t, sep, tag_t)
-    # A missing accuracy ("reward=None") does not break the perfect check, as in the reference.
     perfect = (acc.isNull() | (acc == 1.0)) & (fmt == 1.0) & (tag == 1.0)
+    for name, reward in (others or {}).items():
+        body = F.concat(body, sep, report_other(name, reward))
+        perfect = perfect & (reward.isNull() | (reward < 0) | (reward == 1.0))
     return F.when(perfect, F.concat(body, F.lit("\n" + PERFECT_SUMMARY))).otherwise(body)
 
 

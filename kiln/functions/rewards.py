@@ -184,12 +184,20 @@ def repetition_penalty_reward(
 
 
 def with_repetition_penalty(
-    df, text: str, ngram_size: int, max_penalty: float, out: str = "repetition_penalty"
+    df,
+    text: str,
+    ngram_size: int,
+    max_penalty: float,
+    out: str = "repetition_penalty",
+    segmenter: Callable[[Column], Column] | None = None,
 ):
-    """DataFrame form of R13: words are computed once in their own projection."""
+    """DataFrame form of R13 / R14: words are computed once in their own projection.
+
+    Without a ``segmenter`` the lower-cased text is split on whitespace.
+    """
     if max_penalty > 0:
         raise ValueError(f"the penalty must be zero or less, got {max_penalty}")
-    w = df.withColumn("_rp_words", split_words(text, lower=True))
+    w = df.withColumn("_rp_words", segmenter(F.col(text)) if segmenter else split_words(text, lower=True))
     total = F.size("_rp_words") - F.lit(ngram_size - 1)
     distinct = F.size(F.array_distinct(word_ngrams("_rp_words", ngram_size)))
     scaled = (F.lit(1.0) - distinct.cast("double") / total.cast("double")) * F.lit(float(max_penalty))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rewards as R
 from ..functions.curation import gold_after_hash, normalize_tags, text_after_marker
+from ..sources.io import write_jsonl
 from .sizing import measured_join
 
 
@@ -124,6 +125,21 @@ def preview(df: DataFrame, long_col: str = "response", n: int = 200) -> DataFram
     return df.withColumn(long_col, F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c))
 
 
+def dataset_preview(df: DataFrame, order: str, long_col: str = "response", n: int = 200) -> DataFrame:
+    """Number of rows, field names, and the first row (by ``order``) with its long field cut; one row.
+
+    The first row is a partial ``min_by`` over a struct, so nothing is sorted. Null
+    orders come last; an empty table gives 0 rows, its fields and a null first row.
+    """
+    rest = [F.col(c) for c in df.columns]
+    at = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("at"))
+    return preview(df, long_col, n).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.array(*[F.lit(c) for c in df.columns]).alias("fields"),
+        F.min_by(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), at).alias("first_row"),
+    )
+
+
 def single_value(df: DataFrame, col: str) -> bool:
     """Whether ``col`` holds exactly one distinct value (reads at most two)."""
     return df.select(col).distinct().limit(2).count() == 1
@@ -179,3 +195,8 @@ def batch_request_rows(
         F.struct(msgs.alias("messages")).alias("body"),
         F.lit(max_tokens).alias("max_tokens"),
     )
+
+
+def write_batch_requests(requests: DataFrame, path: str, max_per_file: int = 50_000) -> None:
+    """SNK4: request rows as JSON lines, in files of at most ``max_per_file`` requests (a batch API's limit)."""
+    write_jsonl(requests, path, max_records_per_file=max_per_file)

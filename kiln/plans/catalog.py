@@ -14,6 +14,7 @@ MODULES = (
     "kiln.plans.streams",
     "kiln.plans.files",
     "kiln.plans.extras",
+    "kiln.plans.branches",
 )
 
 

@@ -31,9 +31,13 @@ def _sql_bool(x: str) -> str:
 
 _STRICT_RE = r"(?s)^<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>(\n|$)"
 
-_REPORT_SQL = f"""
-WITH {S.ROLLOUTS.strip()},
-a AS (SELECT doc_id, completion, {S.answer('solution')} AS gold, {S.answer('completion')} AS pred FROM rollouts),
+def report_sql(rollouts_cte: str, other: str | None = None) -> str:
+    """The report and its summary over a ``rollouts`` view; ``other``: SQL of one more reward, shown as ``other_reward``."""
+    line = f", sep, 'other_reward: reward=', {_sql_num('other')}" if other else ""
+    perfect = " AND (other IS NULL OR other < 0 OR other = 1.0)" if other else ""
+    return f"""
+WITH {rollouts_cte.strip()},
+a AS (SELECT doc_id, completion, {other or 'NULL'} AS other, {S.answer('solution')} AS gold, {S.answer('completion')} AS pred FROM rollouts),
 b AS (SELECT *, CASE WHEN length(gold) = 0 OR length(pred) = 0 THEN NULL WHEN pred = gold THEN 1.0 ELSE 0.0 END AS acc,
              instr(completion, '<think>') > 0 AND instr(completion, '</think>') > 0 AS ht,
              instr(completion, '<answer>') > 0 AND instr(completion, '</answer>') > 0 AS ha,
@@ -48,7 +52,7 @@ c AS (SELECT *, CASE WHEN valid THEN 1.0 ELSE 0.0 END AS fmt,
              (CASE WHEN c1 = 1 THEN 0.25 ELSE 0.0 END + CASE WHEN c2 = 1 THEN 0.25 ELSE 0.0 END
               + CASE WHEN c3 = 1 THEN 0.25 ELSE 0.0 END + CASE WHEN c4 = 1 THEN 0.25 ELSE 0.0 END) AS tag,
              [chr(10), chr(10) || '---' || chr(10), chr(10) || chr(10), ' | ', chr(10) || '• '][si + 1] AS sep FROM b),
-d AS (SELECT doc_id, acc, fmt, tag,
+d AS (SELECT doc_id, acc, fmt, tag, other, c1, c2, c3, c4,
              concat('accuracy evaluation:' || chr(10) || '  - Model output: ', CASE WHEN length(gold) > 0 AND length(pred) > 0 THEN pred ELSE 'None' END,
                     chr(10) || '  - Expected: ', CASE WHEN length(gold) > 0 THEN gold ELSE 'None' END,
                     chr(10) || '  - Match status: ', CASE WHEN acc IS NULL THEN 'evaluation_failed' WHEN acc = 1.0 THEN 'match' ELSE 'mismatch' END,
@@ -56,14 +60,17 @@ d AS (SELECT doc_id, acc, fmt, tag,
                     sep, 'format: think=', {_sql_bool('ht')}, ', answer=', {_sql_bool('ha')}, ', valid=', {_sql_bool('valid')},
                     ' → reward=', {_sql_num('fmt')},
                     sep, 'tag_count: <think>=', CAST(c1 AS VARCHAR), ', </think>=', CAST(c2 AS VARCHAR), ', <answer>=', CAST(c3 AS VARCHAR),
-                    ', </answer>=', CAST(c4 AS VARCHAR), ' → reward=', {_sql_num('tag')}) AS body FROM c)
-SELECT doc_id, md5(CASE WHEN (acc IS NULL OR acc = 1.0) AND fmt = 1.0 AND tag = 1.0 THEN concat(body, chr(10) || 'All rewards are 1.0') ELSE body END) AS report_md5,
-       concat('accuracy = ', {_sql_num('acc')}, ', format = ', {_sql_num('fmt')}, ', tag_count = ', {_sql_num('tag')}) AS summary
+                    ', </answer>=', CAST(c4 AS VARCHAR), ' → reward=', {_sql_num('tag')}{line}) AS body FROM c)
+SELECT doc_id, md5(CASE WHEN (acc IS NULL OR acc = 1.0) AND fmt = 1.0 AND tag = 1.0{perfect} THEN concat(body, chr(10) || 'All rewards are 1.0') ELSE body END) AS report_md5,
+       concat('accuracy = ', {_sql_num('acc')}, ', format = ', {_sql_num('fmt')}, ', tag_count = ', {_sql_num('tag')}) AS summary,
+       concat(CASE WHEN tag = 1.0 THEN 'tag_count: all tags present' ELSE concat('tag_count: missing tags ', concat_ws(', ',
+         CASE WHEN c1 <> 1 THEN '<think>' END, CASE WHEN c2 <> 1 THEN '</think>' END, CASE WHEN c3 <> 1 THEN '<answer>' END,
+         CASE WHEN c4 <> 1 THEN '</answer>' END)) END, ' → reward=', {_sql_num('tag')}) AS missing_tags
 FROM d
 """
 
 
-@query("evaluation_report", ids=("R25", "R26", "R27", "R28"), sql=_REPORT_SQL)
+@query("evaluation_report", ids=("R25", "R26", "R27", "R28"), sql=report_sql(S.ROLLOUTS))
 def q_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-rollout report text (accuracy / strict format / strict tag counts, seeded separator)."""
     r = rollouts(spark, sf_dir)
@@ -72,6 +79,7 @@ def q_evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.md5(rep).alias("report_md5"),
         RP.evaluation_summary(F.col("completion"), F.col("solution")).alias("summary"),
+        RP.missing_tags_report("completion").alias("missing_tags"),
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -387,32 +386,66 @@ def q_all_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.rows_with_all_rewards_missing(s, ["accuracy", "accuracy_alt"]).select("doc_id")
 
 
-def _char_segmenter():
-    """Stand-in word segmenter hook: every character is a token (an Arrow-batched pandas UDF)."""
+def character_segments(text):
+    """Stand-in word segmenter hook: every character is a token."""
+    return F.split(text, "")
 
-    @F.pandas_udf("array<string>")
-    def seg(s: pd.Series) -> pd.Series:
-        return s.map(list)
 
-    return seg
-
-
-_REP_SEG_SQL = f"""
-SELECT doc_id,
-       CASE WHEN text = '' THEN 0.0 WHEN len(w) < 3 THEN 0.0
-            ELSE (1 - len(list_distinct(list_transform(range(0, len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')))) / (len(w) - 2)) * (-1.0)
+_REP_SEG_SQL = """
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM documents WHERE text <> ''),
+g AS (SELECT doc_id, ch || ' ' || lead(ch) OVER w || ' ' || lead(ch, 2) OVER w AS g FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, count(g) AS total, count(DISTINCT g) AS kinds FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text = '' THEN 0.0 WHEN length(text) < 3 THEN 0.0 WHEN text IS NOT NULL THEN (1 - kinds / total) * (-1.0)
        END::DOUBLE AS repetition_penalty
-FROM (SELECT doc_id, text, string_split(text, '') AS w FROM documents WHERE lang <> 'en')
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
 @query("reward_repetition_segmented", ids=("R14",), sql=_REP_SEG_SQL)
 def q_repetition_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repetition penalty for non-English documents through a segmenter hook (character tokens)."""
+    """Repetition penalty of every document through a segmenter hook (character tokens)."""
     from ..sources.tables import read_table
 
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]).filter(F.col("lang") != "en")
-    seg = _char_segmenter()
-    return d.select(
-        "doc_id", R.repetition_penalty_reward("text", 3, -1.0, language="zh", segmenter=seg).alias("repetition_penalty")
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return R.with_repetition_penalty(d, "text", 3, -1.0, segmenter=character_segments).select("doc_id", "repetition_penalty")
+
+
+_CHUNK_SQL = f"""
+WITH {S.ROLLOUTS.strip()},
+s AS (SELECT prompt_id // 5 AS group_id, doc_id, md5(completion) AS completion FROM rollouts),
+r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY group_id) AS n FROM s)
+SELECT group_id, CAST(CASE WHEN n > 8 THEN i // 8 ELSE 0 END AS BIGINT) AS chunk, list(completion ORDER BY doc_id) AS completions
+FROM r GROUP BY 1, 2
+"""
+
+
+@query("generations_in_chunks", ids=("A4",), sql=_CHUNK_SQL)
+def q_generation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five prompts' generations as one long group, cut into ordered runs of eight."""
+    r = rollouts(spark, sf_dir).select(
+        F.floor(F.col("prompt_id") / 5).cast("long").alias("group_id"), "doc_id", F.md5("completion").alias("completion")
+    )
+    return G.collect_generations(r, "group_id", "doc_id", ["completion"], chunk=8)
+
+
+_BY_SQL = f"""
+WITH {S.ROLLOUTS.strip()},
+s AS (SELECT CASE WHEN gen_idx < 2 THEN 'a' ELSE 'b' END AS config, {S.accuracy('completion', 'solution')} AS accuracy,
+             {S.tag_count('completion')} AS tag_count FROM rollouts),
+l AS (SELECT config, 'accuracy' AS reward_name, accuracy AS value FROM s UNION ALL SELECT config, 'tag_count', tag_count FROM s)
+SELECT config, reward_name, round(avg(value), {DEC}) AS mean, round(stddev_samp(value), {DEC}) AS std,
+       min(value) AS min, max(value) AS max, count(value) AS n
+FROM l GROUP BY config, reward_name
+"""
+
+
+@query("reward_summary_by_config", ids=("A18",), sql=_BY_SQL)
+def q_reward_summary_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reward statistics for each configuration (the first two generations of a prompt, and the others)."""
+    s = rollouts(spark, sf_dir).select(
+        F.when(F.col("gen_idx") < 2, "a").otherwise("b").alias("config"),
+        R.accuracy_reward("completion", "solution").alias("accuracy"),
+        R.tag_count_reward("completion").alias("tag_count"),
     )
+    m = G.reward_summary(s, ["accuracy", "tag_count"], by=["config"])
+    return m.select("config", "reward_name", F.round("mean", DEC).alias("mean"), F.round("std", DEC).alias("std"), "min", "max", "n")

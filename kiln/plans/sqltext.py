@@ -81,6 +81,21 @@ SELECT doc_id, prompt_id, gen_idx, gold,
          ELSE concat('<think>', text, '</think><answer> ', pred, ' </answer><answer>x</answer>') END AS completion
 FROM _t)"""
 
+BRANCH_ROLLOUTS = r"""
+_b AS (SELECT doc_id, doc_id // 4 AS prompt_id, doc_id % 4 AS gen_idx, text, doc_id // 4 % 7 AS g, doc_id // 4 % 6 AS k FROM documents),
+rollouts AS (
+SELECT doc_id, prompt_id, gen_idx, CASE WHEN k = 4 THEN '<answer> </answer>' ELSE concat('<answer>', g, '</answer>') END AS solution,
+  CASE k WHEN 0 THEN '<answer>9</answer>'
+    WHEN 1 THEN concat('<think>', chr(10), text, chr(10), '</think>', chr(10), '<answer>', chr(10), g, chr(10), '</answer>')
+    WHEN 2 THEN concat(CASE WHEN gen_idx > 0 THEN concat('1. Start', chr(10), '- ', text) ELSE text END,
+                       CASE WHEN gen_idx > 1 THEN chr(10) || 'First, look' ELSE '' END,
+                       CASE WHEN gen_idx > 2 THEN chr(10) || 'Step 2: go on. Finally, stop' ELSE '' END)
+    WHEN 3 THEN concat(text, ' so ', chr(92), 'boxed{', chr(92), 'frac{', (g + gen_idx % 2) * 2, '}{2}}')
+    WHEN 4 THEN concat('<answer>', g, '</answer>', chr(10), text)
+    ELSE concat('<think>', chr(10), text, chr(10), '</think>', chr(10), CASE WHEN gen_idx > 1 THEN '<answer>' || chr(10) ELSE '' END)
+  END AS completion
+FROM _b)"""
+
 QA_HASH = r"""
 qa_hash AS (
 SELECT doc_id AS index, concat('Q', cast(doc_id AS string), ' ', text) AS question,

@@ -105,3 +105,37 @@ def step_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 10 == 0, F.lit("eval")).otherwise(F.lit("train")).alias("mode"),
         "value",
     )
+
+
+def branch_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts in the shapes that :func:`rollouts` does not have; a prompt's four generations share one shape.
+
+    By ``prompt_id % 6``: 0 four equal wrong answers; 1 newline-strict and right; 2
+    numbered steps, none to four of them; 3 a boxed fraction, right for even
+    generations; 4 a gold that cannot be read; 5 tags missing.
+    """
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    pid = F.floor(F.col("doc_id") / 4).cast("bigint")
+    gen, gold, text, NL = F.col("doc_id") % 4, pid % 7, F.col("text"), _nl()
+    steps = F.concat(
+        F.when(gen > 0, F.concat(F.lit("1. Start\n- "), text)).otherwise(text),
+        F.when(gen > 1, F.lit("\nFirst, look")).otherwise(""),
+        F.when(gen > 2, F.lit("\nStep 2: go on. Finally, stop")).otherwise(""),
+    )
+    strict = F.concat(F.lit("<think>\n"), text, F.lit("\n</think>\n<answer>\n"), _s(gold), F.lit("\n</answer>"))
+    boxed = F.concat(text, F.lit(" so \\boxed{\\frac{"), _s((gold + gen % 2) * 2), F.lit("}{2}}"))
+    tagless = F.concat(F.lit("<think>\n"), text, F.lit("\n</think>\n"), F.when(gen > 1, F.lit("<answer>\n")).otherwise(""))
+    k = pid % 6
+    return d.select(
+        "doc_id",
+        pid.alias("prompt_id"),
+        gen.alias("gen_idx"),
+        F.when(k == 4, F.lit("<answer> </answer>")).otherwise(F.concat(F.lit("<answer>"), _s(gold), F.lit("</answer>"))).alias("solution"),
+        F.when(k == 0, F.lit("<answer>9</answer>"))
+        .when(k == 1, strict)
+        .when(k == 2, steps)
+        .when(k == 3, boxed)
+        .when(k == 4, F.concat(F.lit("<answer>"), _s(gold), F.lit("</answer>"), NL, text))
+        .otherwise(tagless)
+        .alias("completion"),
+    )
