@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of, py_strip
+from .text import col_of, let, py_strip
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference's.
@@ -138,21 +138,25 @@ def _import_list_without(name: str, after: Column) -> Column:
     """
     bracketed = F.ltrim(after).startswith("(") & F.contains(after, F.lit(")"))
     open_at = F.when(bracketed, F.instr(after, "(")).otherwise(0)
-    listed = F.when(
-        bracketed, F.substring(after, open_at + 1, F.instr(after, ")") - open_at - 1)
-    ).otherwise(F.regexp_extract(after, r"\A[^\n;#]*", 0))
+    inside = F.substring(after, F.instr(after, "(") + 1, F.instr(after, ")") - F.instr(after, "(") - 1)
+    listed = F.when(bracketed, inside).otherwise(F.regexp_extract(after, r"\A[^\n;#]*", 0))
     names = F.split(listed, ",")
     others = F.filter(names, lambda n: py_strip(n) != name)
-    kept = F.array_join(others, ",")
-    # A name that moves up to the word "import" keeps a blank before it.
-    kept = F.when(~bracketed & ~kept.rlike(r"\A\s"), F.concat(F.lit(" "), kept)).otherwise(kept)
-    rest = F.substring(after, F.length(listed) + open_at + 1, F.length(after))
-    new = F.concat(F.substring(after, F.lit(1), open_at), kept, rest)
-    none_left = F.forall(others, lambda n: py_strip(n) == "")
-    gone = F.when(bracketed, F.substring(rest, 2, 1 << 30)).otherwise(rest)
-    return F.when(F.size(others) == F.size(names), F.struct(F.lit(True).alias("stays"), after.alias("text"))).otherwise(
-        F.struct((~none_left).alias("stays"), F.when(none_left, gone).otherwise(new).alias("text"))
-    )
+    found = F.struct(bracketed.alias("brackets"), open_at.alias("open"), listed.alias("listed"), F.size(names).alias("n"), others.alias("others"))
+
+    def without(x: Column) -> Column:
+        kept = F.array_join(x["others"], ",")
+        # A name that moves up to the word "import" keeps a blank before it.
+        kept = F.when(~x["brackets"] & ~kept.rlike(r"\A\s"), F.concat(F.lit(" "), kept)).otherwise(kept)
+        rest = F.substring(after, F.length(x["listed"]) + x["open"] + 1, F.length(after))
+        new = F.concat(F.substring(after, F.lit(1), x["open"]), kept, rest)
+        none_left = F.forall(x["others"], lambda n: py_strip(n) == "")
+        gone = F.when(x["brackets"], F.substring(rest, 2, 1 << 30)).otherwise(rest)
+        return F.when(F.size(x["others"]) == x["n"], F.struct(F.lit(True).alias("stays"), after.alias("text"))).otherwise(
+            F.struct((~none_left).alias("stays"), F.when(none_left, gone).otherwise(new).alias("text"))
+        )
+
+    return let(found, without)
 
 
 def _drop_imported(code: Column, module: str, name: str) -> Column:
@@ -188,9 +192,16 @@ def _python_patch(code: Column) -> Column:
         bare = py_strip(line)
         return bare.startswith("import") | (bare.startswith("from") & F.contains(bare, F.lit("import")))
 
-    last = F.array_max(F.transform(lines, lambda line, i: F.when(imports(line), i).otherwise(0)))
-    added = _added_imports(code)
-    out = F.array_join(F.transform(lines, lambda line, i: F.when(i == last, F.concat(line, added, F.lit("\n"), line)).otherwise(line)), "\n")
+    def with_imports(x: Column) -> Column:
+        return F.transform(
+            x["lines"], lambda line, i: F.when(i == x["last"], F.concat(line, x["added"], F.lit("\n"), line)).otherwise(line)
+        )
+
+    def placed(split_once: Column) -> Column:
+        last = F.array_max(F.transform(split_once, lambda line, i: F.when(imports(line), i).otherwise(0)))
+        return let(F.struct(split_once.alias("lines"), last.alias("last"), _added_imports(code).alias("added")), with_imports)
+
+    out = F.array_join(let(lines, placed), "\n")
     moved = [(f"from collections import {n}", f"from collections.abc import {n}") for n in ABSTRACT_COLLECTIONS]
     for old, new in (*moved, *PYTHON_RENAMES):
         out = F.replace(out, F.lit(old), F.lit(new))
@@ -199,7 +210,7 @@ def _python_patch(code: Column) -> Column:
     for tokens in (("os", ".", "getlogin", "(", ")"), ("getlogin", "(", ")")):
         out = F.regexp_replace(out, _call(*tokens), "False")
     out = F.regexp_replace(out, r"\b" + re.escape("fractions.gcd") + r"\b", "math.gcd")
-    return F.rtrim(_drop_imported(out, "fractions", "gcd"), F.lit("\\"))
+    return F.rtrim(let(out, lambda patched: _drop_imported(patched, "fractions", "gcd")), F.lit("\\"))
 
 
 def _cpp_patch(code: Column, problem_id: Column | None = None) -> Column:

@@ -6,6 +6,8 @@ whole-stage codegen where Spark supports it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it (also inside lambdas)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def py_strip(c: Column | str) -> Column:
     """``str.strip()`` with no argument: trim Unicode whitespace at both ends."""
     return F.regexp_replace(col_of(c), r"(?U)^" + WS_CLASS + r"+|" + WS_CLASS + r"+$", "")

@@ -57,9 +57,9 @@ def _gram_hashes(words: DataFrame, n: int) -> DataFrame:
     """``_w`` (words) → one row ``_h`` for each n-gram; all other columns stay."""
     rest = [c for c in words.columns if c != "_w"]
     hashed = words.filter(F.size("_w") >= n).select(*rest, F.transform("_w", lambda w: F.xxhash64(w)).alias("_wh"))
-    starts = F.sequence(F.lit(0), F.size("_wh") - F.lit(n))
-    gram = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("_wh"), i + k) for k in range(n)]))
-    return hashed.select(*rest, F.explode(gram).alias("_h"))
+    # Positions are exploded, not grams: the hash of each gram is then part of the generated code.
+    placed = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("_wh") - F.lit(n))).alias("_i"))
+    return placed.select(*rest, F.xxhash64(*[F.get("_wh", F.col("_i") + k) for k in range(n)]).alias("_h"))
 
 
 def probe_hashes(grams: DataFrame, members: DataFrame, max_broadcast_rows: int) -> DataFrame:
