@@ -8,18 +8,22 @@ dictionary; n-grams are counted inside it, weighted. A phrase of up to four word
 lies whole in some chunk; one that lies in an overlap belongs to the chunk that
 begins there, so each occurrence is counted once.
 
-Counting goes by length: words first; word pairs of frequent words by 64-bit
-hash (packed arrays, one blob for each task and bucket); then the strings of all
-phrases whose pairs are frequent. The frequent words and pairs reach the tasks
-as bit filters of bounded size. A hash or filter can only let too much through,
-and the last counts are of strings, so the result is exact.
+Words travel as 64-bit hashes, so that counting is array work; the parse also
+gives each word's string, count and a second hash. Should two words share a hash,
+the second one tells, and the parse is made again with another seed. Counting goes
+by length: pairs of frequent words, then triples of frequent pairs, both by a hash
+of the sequence in packed arrays (one blob for each task and bucket); then all
+phrases whose triples or pairs are frequent, by their words. What is frequent
+reaches the tasks as bit filters of bounded size. A filter or sequence hash can
+only let too much through, and the last counts are of words, so the result is
+exact.
 """
 
 from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,9 @@ RARITY = 16
 #: Bytes of text handled at a time, words or chunk bytes a worker holds before it hands them on.
 BLOCK_BYTES, HELD_WORDS, HELD_BYTES = 4 << 20, 400_000, 32 << 20
 #: Phrase places held before equal ones are merged, and entries that one bucket of pairs holds.
-HELD_PLACES, BUCKET_ENTRIES = 2_000_000, 4_000_000
+HELD_PLACES, BUCKET_ENTRIES = 1_000_000, 4_000_000
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: Most bits of a filter (16 MB); a fuller filter lets more through, the counts stay exact.
 FILTER_BITS = 1 << 27
 
@@ -55,19 +61,22 @@ def _mix(state: np.ndarray, h: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def lang_seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang))
+
+
 class Lexicon(dict):
-    """Words to local numbers, with their hashes; 0 is a break between pieces."""
+    """Words to local numbers, with their hashes; 0 is a break between pieces, and its hash is 0."""
 
-    def __init__(self, lang: str):
+    def __init__(self, seed: int = 0):
         super().__init__({b"\n": _BREAK, b"": _NONE})
         self.words: list[bytes] = [b"\n", b""]
-        self.codes = array("Q", [0, 0])
-        self.seed = np.array([xxhash.xxh64_intdigest(lang)], np.uint64)
+        self.seed, self.codes, self.counts = seed, array("Q", [0, 0]), np.zeros(2, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
         self.words.append(word)
-        self.codes.append(xxhash.xxh64_intdigest(word))
+        self.codes.append(xxhash.xxh64_intdigest(word, self.seed) or 1)
         return n
 
     def ids(self, block: bytes) -> np.ndarray:
@@ -76,29 +85,30 @@ class Lexicon(dict):
         out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return out[out != _NONE]
 
-    def hashes(self) -> np.ndarray:
-        return np.array(self.codes, np.uint64)
+    def hashed(self, block: bytes) -> np.ndarray:
+        """Hashes of the words (0 at a break); the words are counted."""
+        ids = self.ids(block)
+        counts = np.bincount(ids, minlength=len(self.words))
+        counts[: len(self.counts)] += self.counts
+        self.counts = counts
+        return np.array(self.codes, np.uint64)[ids]
 
-    def phrase(self, ids) -> bytes:
-        return b" ".join([self.words[i] for i in ids])
 
-
-def triggers(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Where a trigger of three words of one piece begins."""
-    out = np.zeros(len(ids), bool)
-    if len(ids) >= OVERLAP:
-        h, word = hashes[ids], ids != _BREAK
+def triggers(h: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Where a trigger begins; ``same``: does the next word belong to the same piece?"""
+    out = np.zeros(len(h), bool)
+    if len(h) >= OVERLAP:
         win = _mix(_mix(_mix(np.zeros(1, np.uint64), h[:-2]), h[1:-1]), h[2:])
-        out[:-2] = word[:-2] & word[1:-1] & word[2:] & (win % np.uint64(RARITY) == 0)
+        out[:-2] = same[:-1] & same[1:] & (win % np.uint64(RARITY) == 0)
     return out
 
 
-def chunk_bounds(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of every chunk of the parse."""
-    word = ids != _BREAK
+def chunk_bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every chunk of the parse of word hashes with 0 for breaks."""
+    word = h != 0
     begin = word & ~np.r_[False, word[:-1]]
     ends = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1
-    starts = np.flatnonzero(begin | triggers(ids, hashes))
+    starts = np.flatnonzero(begin | triggers(h, word[:-1] & word[1:]))
     if not len(starts):
         return starts, starts
     piece = ends[np.searchsorted(ends, starts, side="right")]
@@ -116,127 +126,102 @@ def blocks(text: bytes) -> Iterator[bytes]:
         at = cut + 1
 
 
-def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    langs = batch.column(0).dictionary_encode()
-    codes = langs.indices.to_numpy(zero_copy_only=False)
-    for k, lang in enumerate(langs.dictionary.to_pylist()):
-        yield lang, np.flatnonzero(codes == k)
-
-
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-DICTIONARY = pa.schema([("lang", pa.string()), ("chunk", pa.binary()), ("freq", pa.int64())])
-
-
-def parse(batches):
-    """``lang, text`` -> ``lang, chunk, freq``, pre-aggregated by task."""
-    lexicons: dict[str, Lexicon] = {}
-    counts: dict[str, Counter] = {}
-    held = 0
-
-    def flush():
-        for lang, found in counts.items():
-            lex, keys = lexicons[lang], list(found)
-            for i in range(0, len(keys), 50_000):
-                some = keys[i : i + 50_000]
-                yield _rows(DICTIONARY, [lang] * len(some), [lex.phrase(np.frombuffer(k, np.int32).tolist()) for k in some], [found[k] for k in some])
-        lexicons.clear()
-        counts.clear()
-
-    def count(lang: str, block: bytes) -> int:
-        lex = lexicons.setdefault(lang, Lexicon(lang))
-        ids = lex.ids(block)
-        raw = ids.tobytes()
-        a, b = chunk_bounds(ids, lex.hashes())
-        found = counts.setdefault(lang, Counter())
-        before = len(found)
-        found.update([raw[4 * x : 4 * y] for x, y in zip(a.tolist(), b.tolist())])
-        return 100 * (len(found) - before)
-
-    for batch in batches:
-        texts = batch.column(1)
-        for lang, at in _by_lang(batch):
-            queue, size = [], 0
-            for i in [*at.tolist(), -1]:
-                if i >= 0 and texts[i].is_valid:
-                    for block in blocks(bytes(texts[i].as_buffer())):
-                        queue.append(block)
-                        size += len(block)
-                if queue and (size >= BLOCK_BYTES or i < 0):
-                    held += count(lang, b"\n".join(queue))
-                    queue, size = [], 0
-                    if held > HELD_BYTES or sum(map(len, lexicons.values())) > HELD_WORDS:
-                        yield from flush()
-                        held = 0
-    yield from flush()
+#: Chunks (``key``: eight bytes a word) and words (``key``: the string, with its two hashes).
+PARSED = pa.schema(
+    [("lang", pa.string()), ("is_word", pa.bool_()), ("key", pa.binary()), ("hash", pa.int64()), ("check", pa.int64()), ("freq", pa.int64())]
+)
+PARSED_DDL = "lang string, is_word boolean, key binary, hash long, check long, freq long"
 
 
-class View:
-    """Some dictionary chunks of one language as arrays: word numbers, weights, owned places, phrase hashes."""
-
-    def __init__(self, lex: Lexicon, chunks: list[bytes], freq: np.ndarray):
-        self.lex, self.ids = lex, lex.ids(b"\n".join(chunks))
-        self.hash = lex.hashes()
-        self.word = self.ids != _BREAK
-        self.weight = freq[np.cumsum(~self.word)]
-        over = triggers(self.ids, self.hash) & np.r_[False, self.word[:-1]]
-        for k in range(1, OVERLAP):
-            over[k:] |= over[:-k].copy()
-        self.owned = self.word & ~over
-
-    def pair_hashes(self) -> np.ndarray:
-        """Hash of the pair that begins at each place but the last."""
-        h = _mix(self.lex.seed, self.hash[self.ids])
-        return _mix(h[:-1], self.hash[self.ids[1:]])
-
-    def pairs(self) -> np.ndarray:
-        return self.word[:-1] & self.word[1:]
-
-
-def views(batches, held: Callable[[], int], flush: Callable[[], Iterator]) -> Iterator:
-    """Yields ``View`` objects for all dictionary rows, and in between what ``flush`` gives when lexicons are full."""
-    lexicons: dict[str, Lexicon] = {}
-    for batch in batches:
-        chunks, freq = batch.column(1), batch.column(2).to_numpy()
-        for lang, at in _by_lang(batch):
-            sizes = np.cumsum([len(chunks[i].as_buffer()) for i in at.tolist()])
-            cuts = np.searchsorted(sizes, np.arange(BLOCK_BYTES, sizes[-1], BLOCK_BYTES)) if len(at) else []
-            for part in np.split(at, cuts):
-                if len(part):
-                    lex = lexicons.setdefault(lang, Lexicon(lang))
-                    yield lang, View(lex, chunks.take(pa.array(part)).to_pylist(), freq[part])
-            if sum(map(len, lexicons.values())) > HELD_WORDS or held() > HELD_PLACES:
-                yield from flush()
-                lexicons.clear()
-    yield from flush()
+def parse(seed: int = 0):
+    """``lang, text`` -> :data:`PARSED`, pre-aggregated by task."""
 
+    def run(batches):
+        lexicons: dict[str, Lexicon] = {}
+        chunks: dict[str, Counter] = {}
+        held = 0
 
-WORDS = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("hash", pa.int64()), ("f", pa.int64())])
-
+        def flush():
+            for lang, found in chunks.items():
+                keys = list(found)
+                for i in range(0, len(keys), 50_000):
+                    some = keys[i : i + 50_000]
+                    none = [0] * len(some)
+                    yield _rows(PARSED, [lang] * len(some), [False] * len(some), some, none, none, [found[k] for k in some])
+            for lang, lex in lexicons.items():
+                for i in range(2, len(lex.counts), 50_000):
+                    some = lex.words[i : i + 50_000]
+                    codes = np.array(lex.codes[i : i + 50_000], np.uint64).view(np.int64)
+                    checks = np.array([xxhash.xxh64_intdigest(w, seed + 0x5EED) for w in some], np.uint64).view(np.int64)
+                    yield _rows(PARSED, [lang] * len(some), [True] * len(some), some, codes, checks, lex.counts[i : i + 50_000])
+            lexicons.clear()
+            chunks.clear()
+
+        def count(lang: str, block: bytes) -> int:
+            h = lexicons.setdefault(lang, Lexicon(seed)).hashed(block)
+            raw = h.tobytes()
+            a, b = chunk_bounds(h)
+            found = chunks.setdefault(lang, Counter())
+            before = len(found)
+            found.update([raw[x:y] for x, y in zip((8 * a).tolist(), (8 * b).tolist())])
+            return 100 * (len(found) - before)
+
+        for batch in batches:
+            langs, texts = batch.column(0).dictionary_encode(), batch.column(1)
+            codes = langs.indices.to_numpy(zero_copy_only=False)
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                queue, size = [], 0
+                for i in [*np.flatnonzero(codes == k).tolist(), -1]:
+                    if i >= 0 and texts[i].is_valid:
+                        for block in blocks(bytes(texts[i].as_buffer())):
+                            queue.append(block)
+                            size += len(block)
+                    if queue and (size >= BLOCK_BYTES or i < 0):
+                        held += count(lang, b"\n".join(queue))
+                        queue, size = [], 0
+                        if held > HELD_BYTES or sum(map(len, lexicons.values())) > HELD_WORDS:
+                            yield from flush()
+                            held = 0
+        yield from flush()
 
-def count_words(batches):
-    """Dictionary rows -> ``lang, word, hash, f``, pre-aggregated by task."""
-    sums: dict[str, tuple[Lexicon, np.ndarray]] = {}
+    return run
 
-    def flush():
-        for lang, (lex, f) in sums.items():
-            at = np.flatnonzero(f)
-            at = at[at > _NONE]
-            codes = _mix(lex.seed, lex.hashes()[at]).view(np.int64)
-            yield _rows(WORDS, [lang] * len(at), [lex.words[i] for i in at.tolist()], codes, f[at])
-        sums.clear()
 
-    for item in views(batches, lambda: 0, flush):
-        if isinstance(item, pa.RecordBatch):
-            yield item
-            continue
-        lang, v = item
-        f = np.bincount(v.ids[v.owned], v.weight[v.owned], len(v.lex)).astype(np.int64)
-        if lang in sums:
-            f[: len(sums[lang][1])] += sums[lang][1]
-        sums[lang] = v.lex, f
+class View:
+    """The chunks of a batch ``lang, key, freq`` as arrays over their words."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        langs, keys = batch.column(0).dictionary_encode(), batch.column(1)
+        offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+        n = (offsets[-1] - offsets[0]) // 8
+        self.words = np.frombuffer(keys.buffers()[2], np.uint64, n, offsets[0]) if n else np.zeros(0, np.uint64)
+        self.langs = langs.dictionary.to_pylist()
+        chunk = np.repeat(np.arange(len(keys)), np.diff(offsets) // 8)
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[chunk]
+        self.weight = batch.column(2).to_numpy()[chunk]
+        self.same = chunk[1:] == chunk[:-1]  # is the next word of the same chunk?
+        ends = np.flatnonzero(triggers(self.words, self.same) & np.r_[False, self.same][: len(chunk)])
+        self.owned = np.ones(len(chunk), bool)
+        self.owned[(ends[:, None] + np.arange(OVERLAP)).ravel()] = False  # a trigger behind the begin ends the chunk
+        seeds = np.array([lang_seed(x) for x in self.langs], np.uint64)
+        self.one = _mix(seeds[self.lang], self.words)  # hash of each word in its language
+        self.two = _mix(self.one[:-1], self.words[1:])  # of the pair that begins there
+        self.three = _mix(self.two[:-1], self.words[2:])
+
+    def pairs_of(self, words: Bits) -> np.ndarray:
+        """Where a pair of words that pass begins."""
+        good = words.has(self.one)
+        return self.same & good[:-1] & good[1:]
+
+    def triples_of(self, pairs: Bits) -> np.ndarray:
+        """Where a triple of pairs that pass begins."""
+        good = self.same.copy()
+        good[good] = pairs.has(self.two[good])
+        return good[:-1] & good[1:]
 
 
 class Bits:
@@ -275,56 +260,57 @@ def _merged(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarr
     return k[first], np.add.reduceat(w, first) if len(k) else w
 
 
-PAIRS = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+PACKED_DDL = "bucket int, hashes binary, counts binary"
 
 
-def pack_pairs(words: Bits, buckets: int):
-    """Dictionary rows -> blobs of pair hashes and counts by bucket; pairs of frequent words only."""
+def pack_counts(n: int, passed: Bits, buckets: int):
+    """Chunks -> blobs by bucket of the hashes and counts of pairs (of words that pass) or triples (of pairs that pass)."""
 
     def run(batches):
-        keys, weights = [], []
+        keys, weights, held = [], [], 0
 
         def merge() -> int:
-            if keys:
-                k, w = _merged(keys, weights)
-                keys[:], weights[:] = [k], [w]
-                return len(k)
-            return 0
+            k, w = _merged(keys, weights)
+            keys[:], weights[:] = [k], [w]
+            return len(k)
 
         def flush():
+            if not keys:
+                return
             merge()
-            if keys:
-                k, w = keys[0], weights[0]
-                bucket = (k >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                k, w, bucket = k[order], w[order], bucket[order]
-                first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                ends = np.r_[first[1:], len(k)]
-                for i in range(0, len(first), 256):
-                    spans = list(zip(first[i : i + 256].tolist(), ends[i : i + 256].tolist()))
-                    yield _rows(PAIRS, bucket[first[i : i + 256]].astype(np.int32), [k[a:b].tobytes() for a, b in spans], [w[a:b].tobytes() for a, b in spans])
+            k, w = keys[0], weights[0]
+            bucket = (k >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            k, w, bucket = k[order], w[order], bucket[order]
+            first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else []
+            ends = np.r_[first[1:], len(k)].astype(np.int64)
+            for i in range(0, len(first), 256):
+                spans = list(zip(first[i : i + 256].tolist(), ends[i : i + 256].tolist()))
+                yield _rows(PACKED, bucket[first[i : i + 256]].astype(np.int32), [k[a:b].tobytes() for a, b in spans], [w[a:b].tobytes() for a, b in spans])
             keys.clear()
             weights.clear()
 
-        held = 0
-        for item in views(batches, lambda: held, flush):
-            if isinstance(item, pa.RecordBatch):
-                held = 0
-                yield item
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            _, v = item
-            good = words.has(_mix(v.lex.seed, v.hash))[v.ids]
-            at = v.pairs() & v.owned[:-1] & good[:-1] & good[1:]
-            keys.append(v.pair_hashes()[at])
-            weights.append(v.weight[:-1][at])
+            v = View(batch)
+            at, code = (v.pairs_of(passed), v.two) if n == 2 else (v.triples_of(passed), v.three)
+            at = at & v.owned[: len(at)]
+            keys.append(code[at])
+            weights.append(v.weight[: len(at)][at])
             held += len(keys[-1])
             if held > HELD_PLACES:
                 held = merge()
+                if held > HELD_PLACES // 2:
+                    yield from flush()
+                    held = 0
+        yield from flush()
 
     return run
 
 
-def frequent_pairs(least: int):
+def frequent_hashes(least: int):
     """The blobs of one bucket -> hashes counted ``least`` times or more."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -336,52 +322,78 @@ def frequent_pairs(least: int):
     return run
 
 
-GRAMS = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("f", pa.int64())])
+GRAMS = pa.schema([("lang", pa.string()), *[(f"w{i}", pa.int64()) for i in range(LONGEST)], ("f", pa.int64())])
+GRAMS_DDL = "lang string, w0 long, w1 long, w2 long, w3 long, f long"
 
 
-def count_phrases(pairs: Bits):
-    """Dictionary rows -> ``lang, words, phrase, f`` of all phrases of 2 to 4 words whose pairs pass the filter."""
+def count_phrases(pairs: Bits, triples: Bits):
+    """Chunks -> ``lang, w0 .. w3, f``: phrases of 2 to 4 words (by word hash, null beyond the end) that pass the filters."""
 
     def run(batches):
-        held: dict[tuple[str, int], list] = {}
+        held: dict[int, list] = {}
         places = 0
 
         def flush():
-            for (lang, n), parts in held.items():
-                lex = parts[0][0]
-                ids, w = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-                rank = ids[:, 0].astype(np.int64)
-                for c in range(1, n):  # the number of a phrase from the number of its beginning and its last word
-                    _, rank = np.unique(rank << 32 | ids[:, c], return_inverse=True)
-                total = np.bincount(rank, w).astype(np.int64)
-                sample = np.zeros(len(total), np.int64)
-                sample[rank] = np.arange(len(rank))
-                for i in range(0, len(total), 50_000):
-                    rows = ids[sample[i : i + 50_000]].tolist()
-                    yield _rows(GRAMS, [lang] * len(rows), [n] * len(rows), [lex.phrase(r) for r in rows], total[i : i + 50_000])
+            for n, parts in held.items():
+                code, lang, ids, w = (np.concatenate(x) for x in list(zip(*parts))[:4])
+                order = np.argsort(code, kind="stable")
+                code, lang, ids, w = code[order], lang[order], ids[order], w[order]
+                # Neighbours of equal code, language and words are one phrase; a code that two phrases share splits into runs.
+                differs = (code[1:] != code[:-1]) | (lang[1:] != lang[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+                first = np.flatnonzero(np.r_[True, differs])
+                total, lang, ids = np.add.reduceat(w, first), lang[first], ids[first].view(np.int64)
+                for i in range(0, len(first), 100_000):
+                    some = ids[i : i + 100_000]
+                    named = pa.DictionaryArray.from_arrays(pa.array(lang[i : i + 100_000], pa.int32()), pa.array(names)).dictionary_decode()
+                    columns = [pa.array(some[:, c]) if c < n else pa.nulls(len(some), pa.int64()) for c in range(LONGEST)]
+                    yield pa.RecordBatch.from_arrays([named, *columns, pa.array(total[i : i + 100_000])], schema=GRAMS)
             held.clear()
 
-        for item in views(batches, lambda: places, flush):
-            if isinstance(item, pa.RecordBatch):
-                places = 0
-                yield item
+        names: list[str] = []
+        number: dict[str, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            lang, v = item
-            good = v.pairs()
-            good[good] = pairs.has(v.pair_hashes()[good])
-            at = v.owned[:-1] & good
-            for n in range(2, LONGEST + 1):
-                if n > 2:
-                    at = at[:-1] & good[n - 2 :]
-                places_n = np.flatnonzero(at)
-                if len(places_n):
-                    ids = v.ids[places_n[:, None] + np.arange(n)]
-                    held.setdefault((lang, n), []).append((v.lex, ids, v.weight[places_n]))
-                    places += len(places_n)
+            v = View(batch)
+            for x in v.langs:
+                if x not in number:
+                    number[x] = len(names)
+                    names.append(x)
+            lang = np.array([number[x] for x in v.langs], np.int32)[v.lang]
+            good = v.triples_of(pairs)
+            good[good] = triples.has(v.three[good])
+            pair = v.same.copy()
+            pair[pair] = pairs.has(v.two[pair])
+            for n, at, code in ((2, pair, v.two), (3, good, v.three), (4, good[:-1] & good[1:], None)):
+                at = np.flatnonzero(at & v.owned[: len(at)])
+                if len(at):
+                    code = v.three[at] ^ v.words[at + 3] if code is None else code[at]
+                    held.setdefault(n, []).append((code, lang[at], v.words[at[:, None] + np.arange(n)], v.weight[at]))
+                    places += len(at)
+            if places > HELD_PLACES:
+                yield from flush()
+                places = 0
+        yield from flush()
 
     return run
 
 
+def parsed_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """``(chunks, words, folder)`` of the parse of ``lang, text``; the seed is one under which no two words share a hash."""
+    spark, seed = rows.sparkSession, 0
+    while True:
+        path = shared_path(spark, "parse")
+        found = rows.mapInArrow(parse(seed), PARSED_DDL).groupBy("is_word", "lang", "key", "hash", "check").agg(F.sum("freq").alias("freq"))
+        found.write.option("compression", "zstd").partitionBy("is_word").parquet(path)
+        table = spark.read.schema(PARSED_DDL).parquet(path)
+        words = table.filter("is_word").select("lang", F.col("key").alias("word"), "hash", "check", F.col("freq").alias("f"))
+        shared = words.groupBy("hash").agg(F.min("check").alias("a"), F.max("check").alias("b")).filter("a <> b")
+        if shared.isEmpty():
+            return table.filter("NOT is_word").select("lang", "key", "freq"), words, path
+        delete_path(spark, path)
+        seed += 1
+
+
 def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(lang, words, phrase, f)`` of all phrases of 1 to 4 words found ``least`` times or more, and ``(lang, n)``.
 
@@ -389,29 +401,43 @@ def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    path = shared_path(spark, "parse")
-    chunks = rows.mapInArrow(parse, "lang string, chunk binary, freq long").groupBy("lang", "chunk").agg(F.sum("freq").alias("freq"))
-    chunks.write.option("compression", "zstd").parquet(path)
-    parsed = spark.read.parquet(path)
-
-    words = parsed.mapInArrow(count_words, "lang string, word binary, hash long, f long")
-    words = words.groupBy("lang", "word", "hash").agg(F.sum("f").alias("f"))
-    staged = shared_path(spark, "words")
-    words.write.parquet(staged)
-    words = spark.read.parquet(staged)
+    chunks, words, path = parsed_tables(rows)
     totals = saved(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    singles = saved(words.filter(F.col("f") >= least).select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "f", "hash"))
-    delete_path(spark, staged)
-
+    often = saved(words.filter(F.col("f") >= least).select("lang", "hash", F.decode("word", "UTF-8").alias("word"), "f"))
     size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_ENTRIES))
-    packed = parsed.mapInArrow(pack_pairs(bit_filter(singles, "hash"), buckets), "bucket int, hashes binary, counts binary")
-    pairs = saved(packed.groupBy("bucket").applyInArrow(frequent_pairs(least), "hash long"))
-    grams = parsed.mapInArrow(count_phrases(bit_filter(pairs, "hash")), "lang string, words int, phrase binary, f long")
-    grams = grams.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-    found = saved(singles.drop("hash").unionByName(grams).withColumn("phrase", F.decode("phrase", "UTF-8")))
+
+    def frequent(n: int, passed: Bits) -> Bits:
+        packed = chunks.mapInArrow(pack_counts(n, passed, buckets), PACKED_DDL)
+        return bit_filter(saved(packed.groupBy("bucket").applyInArrow(frequent_hashes(least), "hash long")), "hash")
+
+    in_lang = often.select("lang", "hash").mapInArrow(_hashes_in_lang, "hash long")
+    pairs = frequent(2, bit_filter(saved(in_lang), "hash"))
+    grams = chunks.mapInArrow(count_phrases(pairs, frequent(3, pairs)), GRAMS_DDL)
+    keys = [f"w{i}" for i in range(LONGEST)]
+    grams = saved(grams.groupBy("lang", *keys).agg(F.sum("f").alias("f")).filter(F.col("f") >= least))
     delete_path(spark, path)
-    return found, totals
+
+    # Strings for the words of the phrases that are left.
+    name, _ = broadcast_if_small(often.select(F.col("lang").alias("_lang"), F.col("hash").alias("_hash"), "word"), max_rows=300_000, max_bytes=32 << 20)
+    named = grams
+    for k in keys:
+        same = (F.col("lang") == F.col("_lang")) & (F.col(k) == F.col("_hash"))
+        named = named.join(name, same, "left").withColumnRenamed("word", f"_{k}").drop("_lang", "_hash")
+    count = F.lit(2) + F.col("w2").isNotNull().cast("int") + F.col("w3").isNotNull().cast("int")
+    phrases = named.select("lang", count.alias("words"), F.concat_ws(" ", *[f"_{k}" for k in keys]).alias("phrase"), "f")
+    singles = often.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "f")
+    return saved(singles.unionByName(phrases)), totals
+
+
+def _hashes_in_lang(batches):
+    """``lang, hash`` of words -> the hash of each word in its language."""
+    for b in batches:
+        langs = b.column(0).dictionary_encode()
+        seeds = np.array([lang_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)
+        if b.num_rows:
+            own = _mix(seeds[langs.indices.to_numpy(zero_copy_only=False)], b.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["hash"])
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -453,8 +479,13 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, lang_col: st
     kept = worst.join(inside, (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_part")), "left").filter(
         "_most IS NULL OR 5 * CAST(_most AS DECIMAL(20,0)) < 4 * CAST(a AS DECIMAL(20,0))"
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # The best of each part of a language first, so that no task gets all of its phrases.
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("_part_of")
+    ranked = kept.select("*", part).drop("_lang", "_part", "_most")
+    for by in (["lang", "_part_of"], ["lang"]):
+        order = Window.partitionBy(*by).orderBy(*best)
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     named = totals.select(F.col("lang").alias("_of"), "n")
     return ranked.join(F.broadcast(named) if totals.count() <= 10_000 else named, F.col("lang") == F.col("_of")).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"

@@ -91,50 +91,71 @@ def test_counts_are_whole_with_small_buffers_and_a_full_filter(monkeypatch):
     batch = pa.RecordBatch.from_pydict(
         {"lang": pa.array([r[1] or "und" for r in rows]), "text": pa.array([None if r[0] is None else r[0].encode() for r in rows], pa.binary())}
     )
-    parsed = Counter()
-    for b in C.parse([batch]):
-        for lang, chunk, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-            parsed[lang, chunk] += n
+    parsed, words, name = Counter(), Counter(), {}
+    for b in C.parse()([batch]):
+        for lang, is_word, key, h, _, n in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if is_word:
+                words[lang, key.decode()] += n
+                name[h] = key.decode()
+            else:
+                parsed[lang, key] += n
+    want = counts(rows)
+    assert words == Counter({(lang, k[0]): v for lang, f in want.items() for k, v in f.items() if len(k) == 1})
     keys = sorted(parsed)
-    dictionary = pa.RecordBatch.from_arrays(
+    chunks = pa.RecordBatch.from_arrays(
         [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), pa.array([parsed[k] for k in keys], pa.int64())],
-        schema=C.DICTIONARY,
+        names=["lang", "key", "freq"],
     )
-    want = counts(rows)
-    words, grams, full = Counter(), Counter(), C.Bits(np.full(8192, 255, np.uint8))
-    for b in C.count_words([dictionary]):
-        for lang, w, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()):
-            words[lang, w.decode()] += f
-    assert words == Counter({(lang, k[0]): v for lang, f in want.items() for k, v in f.items() if len(k) == 1})
-    for b in C.count_phrases(full)([dictionary]):
-        for lang, _, p, f in zip(*(b.column(i).to_pylist() for i in range(4))):
-            grams[lang, p.decode()] += f
+    pieces_of = [chunks.slice(i, 7) for i in range(0, chunks.num_rows, 7)]
+    full, grams = C.Bits(np.full(8192, 255, np.uint8)), Counter()
+    for b in C.count_phrases(full, full)(pieces_of):
+        for lang, *ws, f in zip(*(b.column(i).to_pylist() for i in range(6))):
+            grams[lang, " ".join(name[w] for w in ws if w is not None)] += f
     assert grams == Counter({(lang, " ".join(k)): v for lang, f in want.items() for k, v in f.items() if len(k) > 1})
-    # pairs, packed: their sums by hash are the sums by string
-    packed: dict[int, Counter] = {}
-    for b in C.pack_pairs(full, 5)([dictionary]):
-        for k, h, n in zip(*(b.column(i).to_pylist() for i in range(3))):
-            for x, y in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(n, np.int64).tolist()):
-                packed.setdefault(k, Counter())[x] += y
-    assert sorted(v for c in packed.values() for v in c.values()) == sorted(v for f in want.values() for k, v in f.items() if len(k) == 2)
+    # pairs and triples, packed: their sums by hash are the sums by string
+    for n in (2, 3):
+        packed = Counter()
+        for b in C.pack_counts(n, full, 5)(pieces_of):
+            for h, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for x, y in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(c, np.int64).tolist()):
+                    packed[x] += y
+        assert sorted(packed.values()) == sorted(v for f in want.values() for k, v in f.items() if len(k) == n)
 
 
 def test_parse_is_prefix_free_and_rebuilds_the_text(monkeypatch):
     monkeypatch.setattr(C, "RARITY", 3)
-    lex = C.Lexicon("en")
     rng = random.Random(5)
     text = b"\n".join(b" ".join(rng.choices([b"a", b"b", b"c", b"d"], k=rng.randrange(1, 60))) for _ in range(50))
-    ids = lex.ids(text)
-    starts, ends = C.chunk_bounds(ids, lex.hashes())
-    chunks = {tuple(ids[a:b]) for a, b in zip(starts, ends)}
-    inner = {c for c, a, b in ((tuple(ids[a:b]), a, b) for a, b in zip(starts, ends)) if b < len(ids) and ids[b] != 0 and b != len(ids)}
+    h = C.Lexicon().hashed(text)
+    starts, ends = C.chunk_bounds(h)
+    chunks = {tuple(h[a:b].tolist()) for a, b in zip(starts, ends)}
+    inner = {tuple(h[a:b].tolist()) for a, b in zip(starts, ends) if b < len(h) and h[b] != 0}
     assert not any(x != y and y[: len(x)] == x for x in inner for y in inner)
     back = []
-    for a, b in zip(starts, ends):
-        joined = back and a and ids[a - 1] != 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        joined = back and a and h[a - 1] != 0
         back = back[: -C.OVERLAP] if joined else back + ([0] if back else [])
-        back += ids[a:b].tolist()
-    assert back == ids.tolist() and len(chunks) > 20
+        back += h[a:b].tolist()
+    assert back == h.tolist() and len(chunks) > 20
+
+
+def test_words_that_share_a_hash_make_another_seed(spark, monkeypatch):
+    """The second hash tells: a first parse in which two words collide is thrown away."""
+    real = C.parse
+
+    def bad_first(seed=0):
+        run = real(seed)
+
+        def shared(batches):
+            for b in run(batches):
+                yield b.set_column(3, "hash", pa.array([5] * b.num_rows, pa.int64())) if seed == 0 else b
+
+        return shared
+
+    monkeypatch.setattr(C, "parse", bad_first)
+    rows = [("a b c", "en")] * 40
+    got = sorted(map(tuple, C.collocations(table(spark, rows)).collect()))
+    assert got == brute(rows)
 
 
 def test_bit_filter(spark):
