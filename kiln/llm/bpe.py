@@ -24,11 +24,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .common import query, read
+from .flat_memo import FlatMemo
 
-#: Chunks a worker remembers; beyond that it starts anew (a matter of memory, not of results).
-MEMO_CHUNKS = 500_000
-#: Rows a worker turns at a time, so that ids and texts of one slice fit in memory.
-SLICE_ROWS = 256
+#: Bytes of chunks and ids a worker remembers; beyond that it starts anew (a matter of memory, not of results).
+MEMO_BYTES = 128 << 20
+#: Bytes of text, and ids, that a worker turns at a time; a longer text is cut at blanks.
+SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 19
 
 _NONE = np.iinfo(np.int64).max
 
@@ -50,7 +51,8 @@ class MergeTable:
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         keys = left * self.width + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made[order]
+        self.kind = np.uint32 if self.width**2 < 1 << 32 else np.int64  # half the keys to search where they fit
+        self.keys, self.rank, self.made = keys[order].astype(self.kind), order.astype(np.int64), made[order]
         codes = [ord(t) for t in vocab if len(t) == 1]
         self.inner = np.full(max(codes) + 1, -1, dtype=np.int64)
         self.last = self.inner.copy()
@@ -82,11 +84,13 @@ class MergeTable:
             rank = np.full(len(sym), _NONE)
             made = np.zeros(len(sym), dtype=np.int64)
             if len(sym) > 1:
-                pair = sym[:-1] * self.width + sym[1:]
+                inside = np.flatnonzero(word[:-1] == word[1:])
+                pair = (sym[inside] * self.width + sym[inside + 1]).astype(self.kind)
                 at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-                hit = (self.keys[at] == pair) & (word[:-1] == word[1:])
-                rank[:-1][hit] = self.rank[at[hit]]
-                made[:-1][hit] = self.made[at[hit]]
+                hit = self.keys[at] == pair
+                inside, at = inside[hit], at[hit]
+                rank[inside] = self.rank[at]
+                made[inside] = self.made[at]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lens = np.diff(np.r_[starts, len(sym)])
             low = np.repeat(np.minimum.reduceat(rank, starts), lens)
@@ -112,14 +116,18 @@ class MergeTable:
 
 
 class ChunkEncoder:
-    """Encodes chunks of text (no blank or newline inside) to little-endian int32 bytes."""
+    """Encodes texts by their chunks (no blank or newline inside).
+
+    The ids of all learned chunks lie in one flat array; the memo has each chunk's
+    number, and a text is one gather over its chunks' ids.
+    """
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
         tok = Tokenizer.from_file(path)
         self.normalizer, self.pre = tok.normalizer, tok.pre_tokenizer
         self.special = re.compile("(" + "|".join(map(re.escape, self.table.added)) + ")") if self.table.added else None
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo = FlatMemo()
 
     def pieces(self, chunk: str) -> list[str | int]:
         """Pre-tokenized words of any chunk; an added token stands as its id."""
@@ -134,12 +142,18 @@ class ChunkEncoder:
     def normal(self, text: str) -> str:
         return self.normalizer.normalize_str(text) if self.normalizer else text
 
+    def odd(self, chunks: set[str]) -> list[str]:
+        """The chunks with special strings or white space inside."""
+        text = " ".join(chunks)
+        if len(text.split()) == len(chunks) and not (self.special and self.special.search(text)):
+            return []
+        return [c for c in chunks if c.split() != [c] or (self.special and self.special.search(c))]
+
     def learn_odd(self, chunk: str) -> None:
         """A chunk with special strings or white space inside."""
-        self.memo[chunk] = b"".join(
-            w.to_bytes(4, "little") if isinstance(w, int) else self.table.encode_words([w])[0].astype("<i4").tobytes()
-            for w in self.pieces(chunk)
-        )
+        found = [np.array([w]) if isinstance(w, int) else self.table.encode_words([w])[0] for w in self.pieces(chunk)]
+        ids = np.concatenate([np.empty(0, np.int64), *found])
+        self.memo.put([chunk], ids, np.array([len(ids)]))
 
     def learn(self, chunks: list[str]) -> None:
         """Chunks without white space: normalised and cut in one go, merged in one array."""
@@ -154,25 +168,38 @@ class ChunkEncoder:
                     owners.append(at + starts[lot])
         owner = np.searchsorted(starts, np.array(owners, dtype=np.int64), side="right") - 1
         ids, lengths = self.table.encode_words(words)
-        ends = np.cumsum(np.bincount(owner, weights=lengths, minlength=len(chunks))).astype(np.int64) * 4
-        data, at = ids.astype("<i4").tobytes(), 0
-        for chunk, end in zip(chunks, ends.tolist()):
-            self.memo[chunk] = data[at:end]
-            at = end
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo = {"": b""}
-        new = set().union(*cut) - self.memo.keys()
-        odd = [c for c in new if c.split() != [c] or (self.special and self.special.search(c))]
+        self.memo.put(chunks, ids, np.bincount(owner, weights=lengths, minlength=len(chunks)).astype(np.int64))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the offsets at which each begins (and the end)."""
+        if self.memo.held > MEMO_BYTES:
+            self.memo.clear()
+        cut = [[c for c in (t or "").replace("\n", " ").split(" ") if c] for t in texts]
+        new = set().union(*cut) - self.memo.number.keys()
+        odd = self.odd(new)
         for c in odd:
             self.learn_odd(c)
         plain = list(new.difference(odd))
         if plain:
             self.learn(plain)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        numbers, at = self.memo.numbers(cut)
+        ids, ends = self.memo.gather(numbers)
+        return ids, np.r_[0, ends][at]
+
+
+def parts(text: str | None, most: int = SLICE_BYTES) -> list[str]:
+    """A text cut at blanks or newlines into parts of about ``most`` characters (words do not cross them)."""
+    out, at = [], 0
+    while text and len(text) - at > most:
+        cut = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most))
+        if cut <= at:  # one word longer than that
+            found = [x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0]
+            if not found:
+                break
+            cut = min(found)
+        out.append(text[at:cut])
+        at = cut + 1
+    return [*out, text[at:] if text else ""]
 
 
 @lru_cache(maxsize=2)
@@ -194,10 +221,14 @@ def _add(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], values], names=[*names, name])
 
 
-def _slices(batches):
+def _slices(batches, sizes, most: int):
+    """Runs of rows whose sizes (an array for each batch) add up to about ``most``."""
     for b in batches:
-        for i in range(0, b.num_rows, SLICE_ROWS):
-            yield b.slice(i, SLICE_ROWS)
+        total = np.cumsum(sizes(b), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(total // most, prepend=0)) if len(total) else []
+        for x, y in zip([0, *cuts], [*cuts, b.num_rows]):
+            if y > x:
+                yield b.slice(x, y - x)
 
 
 def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -211,11 +242,19 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
 
     def run(batches):
         enc = _encoder(vocabulary)
-        for b in _slices(batches):
-            got = enc.encode(b.column(text_col).to_pylist())
-            offsets = np.cumsum([0, *[len(g) // 4 for g in got]], dtype=np.int64).astype(np.int32)
-            values = np.frombuffer(b"".join(got), dtype="<i4")
-            yield _add(b, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+        for b in _slices(batches, lambda b: pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False), SLICE_BYTES):
+            cut = [parts(t) for t in b.column(text_col).to_pylist()]
+            ids, offsets = [], [np.zeros(1, np.int64)]
+            flat = [p for ps in cut for p in ps]
+            lengths = np.fromiter(map(len, flat), np.int64, len(flat))
+            for lot in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(np.cumsum(lengths) // SLICE_BYTES, prepend=0))):
+                if len(lot):
+                    got, at = enc.encode(flat[lot[0] : lot[-1] + 1])
+                    ids.append(got)
+                    offsets.append(at[1:] + offsets[-1][-1])
+            ends = np.concatenate(offsets)[np.cumsum([0, *map(len, cut)])]
+            values = pa.array(np.concatenate(ids))
+            yield _add(b, out, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values))
 
     return docs.mapInArrow(run, _with_column(docs.schema, out, T.ArrayType(T.IntegerType())))
 
@@ -228,9 +267,10 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "d
 
     def run(batches):
         tokens = _tokens(vocabulary)
-        for b in _slices(batches):
+        for b in _slices(batches, lambda b: pc.fill_null(pc.list_value_length(b.column(ids_col)), 0).to_numpy(zero_copy_only=False), SLICE_IDS):
             ids = b.column(ids_col).fill_null([])
-            words = pa.ListArray.from_arrays(ids.offsets, tokens.take(ids.values))
+            first, last = ids.offsets[0].as_py(), ids.offsets[len(ids)].as_py()  # of this slice only
+            words = pa.ListArray.from_arrays(pc.subtract(ids.offsets, first), tokens.take(ids.values.slice(first, last - first)))
             yield _add(b, out, pc.binary_join(words, " "))
 
     return docs.mapInArrow(run, _with_column(docs.schema, out, T.StringType()))

@@ -78,7 +78,11 @@ def test_tokenizers_equal_library(name):
     odd += ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(300)]
     enc = (bpe.ChunkEncoder if name[0] == "w" else framed.ChunkedTokenizer)(path)
     for _ in range(2):  # learned, then remembered
-        got = [np.frombuffer(b, dtype="<u4").tolist() for b in enc.encode(odd)]
+        if name[0] == "w":
+            ids, at = enc.encode(odd)
+            got = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+        else:
+            got = [np.frombuffer(b, dtype="<u4").tolist() for b in enc.encode(odd)]
         assert got == [lib.encode(t or "", add_special_tokens=False).ids for t in odd]
 
 
@@ -93,6 +97,26 @@ def test_bpe_decode(spark):
     assert bpe.decode(bpe.encode(docs(spark, ODD).limit(0), path), path).count() == 0
 
 
+def test_bpe_bounds_by_bytes(monkeypatch):
+    """Slices, text parts and the memo at their smallest: the ids stay those of the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    for name, v in (("SLICE_BYTES", 40), ("MEMO_BYTES", 3000)):
+        monkeypatch.setattr(bpe, name, v)
+    texts = [*ODD, BASE * 9, "y" * 500 + " z\n" + "x" * 300, " ", None, "a\n\n b"]
+    enc = bpe.ChunkEncoder(path)
+    for t in texts:
+        cut = bpe.parts(t, 40)
+        assert " ".join(cut) == (t or "").replace("\n", " ") or len(cut) == 1 or all(cut)
+        ids, at = enc.encode(cut)
+        assert ids.tolist() == lib.encode(t or "", add_special_tokens=False).ids and at[-1] == len(ids)
+    assert enc.memo.held < 30_000
+    rows = [3, 90, 1, 1, 45, 0, 0, 200]
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"n": rows})
+    got = list(bpe._slices([batch], lambda b: b.column(0).to_numpy(), 50))
+    assert [x for b in got for x in b.column(0).to_pylist()] == rows and max(b.num_rows for b in got) < 6
+
+
 def test_token_files_round_trip(spark, tmp_path):
     path, folder = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "files")
     d = docs(spark, ODD, ids=[5, 4, None, 9, 9, 1, 2, 3, 0, 7, 6, 8])
