@@ -33,3 +33,27 @@ def test_query_equals_sql(spark, name):
     cols = [d[0] for d in cur.description]
     rows = E.queries()[name](spark, SF).select(*cols).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, cur.fetchall()))
+
+
+def test_chat_query_judges_the_order_of_roles(spark, tmp_path):
+    """The registered query over conversations out of order: its verdicts are those of its SQL and of a plain walk."""
+    roles = [
+        ["user", "assistant"], ["system", "user", "assistant"], ["assistant", "user"], ["user", "user", "assistant"],
+        ["user", "assistant", "user"], ["system"], ["user", None, "assistant"], ["system", "assistant"], ["other", "assistant"],
+    ]
+    rows = [(c, t if t else None, r, f"text {t}") for c, rs in enumerate(roles) for t, r in enumerate(rs)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = con.execute(E.oracle_sql()["op8_chat_format"])
+    cols = [d[0] for d in cur.description]
+    got = E.queries()["op8_chat_format"](spark, str(tmp_path)).select(*cols).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, cur.fetchall()))
+    steps = {("start", "system"), ("start", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
+    for r in got:
+        if r["conv_id"] >= 0:
+            walk = ["start", *[x or "" for x in roles[r["conv_id"]]]]
+            bad = next((i for i, s in enumerate(zip(walk, walk[1:])) if s not in steps), None)
+            bad = len(walk) - 1 if bad is None and walk[-1] != "assistant" else bad
+            assert (r["valid"], r["first_bad_turn"]) == (bad is None, bad)
