@@ -48,7 +48,7 @@ def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = SJ.scratch_dir(spark, "scored")
     ckpt = SJ.scratch_dir(spark, "scored-ckpt")
     for _ in range(2):
-        stream = SJ.file_stream(spark, sf_dir, schema, glob="documents.parquet")
+        stream = SJ.table_stream(spark, sf_dir, "documents", schema)
         SJ.run_scoring_stream(stream, _score, "doc_id", out, ckpt, SJ.finished_keys(spark, out, "doc_id"))
     return SC.read_committed(spark, out).select("doc_id", "prompt_id", "accuracy", "format", "tag_count")
 
@@ -133,7 +133,7 @@ def q_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).select("ts", "event_type", "value").schema
     out = SJ.scratch_dir(spark, "windows")
     ckpt = SJ.scratch_dir(spark, "windows-ckpt")
-    stream = SJ.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    stream = SJ.table_stream(spark, sf_dir, "events", schema)
     SJ.run_window_stream(stream, "ts", "event_type", "value", out, ckpt)
     w = SJ.read_latest_windows(spark, out, "event_type")
     return w.select(

@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
+from ..sources.tables import table_path
 from .commits import read_committed, write_epoch
 
 Batch = Callable[[DataFrame, int], None]
@@ -49,6 +50,13 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, glob: str
     return r.load(folder)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
+    """File stream of one named table, be it a single parquet file or a folder of them."""
+    # A pattern that only the table's own name fits: Spark lists a file and a folder alike then.
+    # Without one, a path must be a folder.
+    return file_stream(spark, table_path(sf_dir, f"[{name[0]}]{name[1:]}"), schema)
+
+
 def run_id(batch: DataFrame, otherwise: str) -> str:
     """Id of the streaming query a micro-batch belongs to (its checkpoint keeps it)."""
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or otherwise
