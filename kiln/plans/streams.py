@@ -77,7 +77,7 @@ def q_stream_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise _Killed("after the commit")
 
     for write in (before_commit, after_commit, None):
-        stream = _score(SJ.file_stream(spark, sf_dir, schema, glob="documents.parquet"))
+        stream = _score(SJ.table_stream(spark, sf_dir, "documents", schema))
         try:
             SJ.run_to_end(stream, write or SJ.append_new_rows(out, "doc_id", SJ.finished_keys(spark, out, "doc_id")), ckpt)
         except StreamingQueryException as e:
