@@ -2,7 +2,7 @@
 
 Each 64-bit hash belongs to one block of 32,768 bits and sets three bits there,
 all taken from the hash itself. The blocks are rows ``block, words`` (512 longs),
-at most :data:`MAX_BLOCKS` of them (16 MB), so they may always be broadcast: the
+at most :data:`MAX_BLOCKS` of them (64 MB), so they may always be broadcast: the
 probe runs in the stage that makes the hashes, and what passes is a superset of
 the true members. Beyond the capacity more passes, nothing is lost.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BITS = 32_768
 WORDS = BLOCK_BITS // 64
-MAX_BLOCKS = 4_096
+MAX_BLOCKS = 16_384
 BITS_PER_KEY = 24
 _PROBES, _STEP = 3, 15
 
@@ -35,13 +35,14 @@ class BloomFilter:
         while self.blocks < max_blocks and self.blocks * BLOCK_BITS < n * BITS_PER_KEY:
             self.blocks *= 2
         h = F.col(col)
-        places = hashes.select(
-            _block(h, self.blocks).alias("block"), F.explode(F.array(*[_place(h, i) for i in range(_PROBES)])).alias("at")
+        # Dealt out by block once, as hashes: the words of a block are then made where its hashes are.
+        dealt = hashes.select(_block(h, self.blocks).alias("block"), h.alias(col)).repartition("block")
+        places = dealt.select(
+            "block", F.explode(F.array(*[_place(h, i) for i in range(_PROBES)])).alias("at")
         )
         at = F.col("at")
-        words = places.groupBy((F.col("block") * WORDS + F.shiftright(at, 6)).cast("long").alias("id")).agg(
-            F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits")
-        )
+        words = places.groupBy("block", F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
+        words = words.select((F.col("block") * WORDS + F.col("word")).cast("long").alias("id"), "bits")
         every = hashes.sparkSession.range(self.blocks * WORDS).join(words, "id", "left")
         listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
         self.table = every.groupBy(F.floor(F.col("id") / WORDS).cast("int").alias("_block")).agg(listed.alias("_l")).select(

@@ -2,16 +2,15 @@
 
 Plan shape (no shuffle of the corpus text):
 
-1. benchmark texts → normalised words → distinct 8-grams tagged with the
-   benchmark name (counted before they are broadcast);
-2. corpus rows → 8-byte hashes of their 8-grams (each word hashed once, a gram's
-   hash is that of its words' hashes) → ``explode`` → semi-join with the
-   benchmarks' hashes, broadcast within the measured bound → digests of the texts
-   with a hit (few) → exact confirmation of those texts on the strings;
+1. benchmark texts and corpus rows → 8-byte hashes of their 8-grams (each word
+   hashed once, a gram's hash is that of its words' hashes); the corpus hashes are
+   semi-joined with the benchmarks', broadcast within the measured bound;
+2. the grams with a hit (few) → strings, on both sides, joined: exact
+   confirmation. No other gram is ever written or shuffled as a string;
 3. flags per text digest = left join of the corpus, broadcast after a count when
    few texts are hit.
 
-Above the bound, a Bloom filter of the benchmarks' hashes (at most 16 MB) is
+Above the bound, a Bloom filter of the benchmarks' hashes (at most 64 MB) is
 broadcast and probed in the scan's stage, and only the hashes that pass it are
 shuffled. Texts, not ids, are what is flagged, so null and repeated ids are
 judged each by their own text.
@@ -20,6 +19,7 @@ judged each by their own text.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +38,6 @@ def ngram_set(df: DataFrame, text: str, n: int) -> DataFrame:
     return words.select(F.explode(F.array_distinct(word_ngrams("_w", n))).alias("ngram")).distinct()
 
 
-def _doc_grams(corpus: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``(key, ngram)`` for each distinct n-gram of each row (words computed once per row)."""
-    words = corpus.select(F.col(key), split_words(text, lower=True).alias("_w"))
-    return words.select(F.col(key), F.explode(F.array_distinct(word_ngrams("_w", n))).alias("ngram"))
-
-
 def benchmark_ngrams(benchmarks: Mapping[str, tuple[DataFrame, str]], n: int = 8) -> DataFrame:
     """Union of the benchmarks' distinct n-grams, tagged ``(ngram, benchmark)``."""
     parts = [ngram_set(df, col, n).withColumn("benchmark", F.lit(name)) for name, (df, col) in benchmarks.items()]
@@ -53,13 +47,29 @@ def benchmark_ngrams(benchmarks: Mapping[str, tuple[DataFrame, str]], n: int = 8
     return out
 
 
-def _gram_hashes(words: DataFrame, n: int) -> DataFrame:
-    """``_w`` (words) → one row ``_h`` for each n-gram; all other columns stay."""
-    rest = [c for c in words.columns if c != "_w"]
-    hashed = words.filter(F.size("_w") >= n).select(*rest, F.transform("_w", lambda w: F.xxhash64(w)).alias("_wh"))
+def _placed_grams(words: DataFrame, n: int) -> DataFrame:
+    """``_w`` (words) → one row for each n-gram with its place ``_i`` (0-based) and hash ``_h``; all columns stay."""
+    hashed = words.filter(F.size("_w") >= n).select("*", F.transform("_w", lambda w: F.xxhash64(w)).alias("_wh"))
     # Positions are exploded, not grams: the hash of each gram is then part of the generated code.
     placed = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("_wh") - F.lit(n))).alias("_i"))
-    return placed.select(*rest, F.xxhash64(*[F.get("_wh", F.col("_i") + k) for k in range(n)]).alias("_h"))
+    return placed.withColumn("_h", F.xxhash64(*[F.get("_wh", F.col("_i") + k) for k in range(n)])).drop("_wh")
+
+
+def _gram_hashes(words: DataFrame, n: int) -> DataFrame:
+    """``_w`` (words) → one row ``_h`` for each n-gram; all other columns stay."""
+    return _placed_grams(words, n).drop("_w", "_i")
+
+
+def _maybe_in(grams: DataFrame, members: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame, bool]:
+    """The rows of ``grams`` whose ``_h`` is (or, above the bound, may be) in ``members``, and whether that is exact.
+
+    No row of ``grams`` is shuffled: the members (materialized, distinct) are
+    broadcast within the bound, above it their Bloom filter is.
+    """
+    probe, small = broadcast_if_small(members, max_broadcast_rows)
+    if small:
+        return grams.join(probe, "_h", "left_semi"), True
+    return BloomFilter(members, "_h").maybe_in(grams, "_h"), False
 
 
 def probe_hashes(grams: DataFrame, members: DataFrame, max_broadcast_rows: int) -> DataFrame:
@@ -68,10 +78,32 @@ def probe_hashes(grams: DataFrame, members: DataFrame, max_broadcast_rows: int)
     Within the bound the members are broadcast; above it their Bloom filter is,
     and what passes is joined by a shuffle.
     """
-    probe, small = broadcast_if_small(members, max_broadcast_rows)
-    if not small:
-        grams = BloomFilter(members, "_h").maybe_in(grams, "_h")
-    return grams.join(probe, "_h", "left_semi")
+    near, exact = _maybe_in(grams, members, max_broadcast_rows)
+    # No semi-join here: Spark would move it below the filter's join and shuffle all grams. The members are distinct.
+    return near if exact else near.join(members, "_h").select(*grams.columns)
+
+
+def _shared_grams(words: DataFrame, shared: DataFrame, n: int, max_broadcast_rows: int) -> DataFrame:
+    """``_w`` (words) → distinct rows with the string ``ngram`` of each n-gram whose hash may be in ``shared``."""
+    near, _ = _maybe_in(_placed_grams(words, n), shared, max_broadcast_rows)
+    rest = [c for c in words.columns if c != "_w"]
+    return near.select(*rest, F.array_join(F.slice("_w", F.col("_i") + 1, n), " ").alias("ngram")).distinct()
+
+
+def _contaminated(corpus: DataFrame, text: str, bench: DataFrame, n: int, max_broadcast_rows: int) -> DataFrame:
+    """Distinct ``(_t, benchmark)`` as in :func:`contaminated_texts`; ``bench`` has rows ``(_w, benchmark)`` of words."""
+    checkpoint_dir(corpus.sparkSession)
+    members = _gram_hashes(bench.select("_w"), n).distinct().checkpoint(eager=True)
+    # Eight bytes stand for a text here; what they confuse the strings tell apart.
+    words = corpus.select(F.xxhash64(text).alias("_id"), split_words(text, lower=True).alias("_w"))
+    pairs = probe_hashes(_gram_hashes(words, n), members, max_broadcast_rows).distinct().checkpoint(eager=True)
+    shared = pairs.select("_h").distinct().checkpoint(eager=True)
+    texts = corpus.select(F.xxhash64(text).alias("_id"), F.col(text).alias("_text"))
+    candidates = measured_join(texts, pairs.select("_id").distinct(), "_id", "left_semi")
+    words = candidates.select(F.md5("_text").alias("_t"), split_words("_text", lower=True).alias("_w"))
+    side = _shared_grams(bench, shared, n, max_broadcast_rows).checkpoint(eager=True)
+    side, _ = broadcast_if_small(side, max_broadcast_rows)
+    return _shared_grams(words, shared, n, max_broadcast_rows).join(side, "ngram").select("_t", "benchmark").distinct()
 
 
 def contaminated_texts(
@@ -83,19 +115,11 @@ def contaminated_texts(
 ) -> DataFrame:
     """Distinct ``(_t, benchmark)``: md5 of each text that shares an n-gram with a benchmark.
 
-    Texts are probed by 8-byte n-gram hashes; those with a hit (few) are then
-    confirmed on the n-gram strings, so the result is exact.
+    Texts are probed by 8-byte n-gram hashes. The n-grams with a hit (few), and no
+    others, are then confirmed as strings, so the result is exact.
     """
-    # Written once, so that the measurements and the joins read the same table.
-    checkpoint_dir(bench_grams.sparkSession)
-    bench_grams = bench_grams.checkpoint(eager=True)
-    texts = corpus.select(F.md5(text).alias("_t"), F.col(text).alias("_text"))
-    members = _gram_hashes(bench_grams.select(F.split("ngram", " ").alias("_w")), n).distinct().checkpoint(eager=True)
-    words = texts.select("_t", split_words("_text", lower=True).alias("_w"))
-    hits = probe_hashes(_gram_hashes(words, n), members, max_broadcast_rows).select("_t").distinct()
-    candidates = measured_join(texts, hits, "_t", "left_semi")
-    exact, _ = broadcast_if_small(bench_grams, max_broadcast_rows)
-    return _doc_grams(candidates, "_t", "_text", n).join(exact, "ngram", "inner").select("_t", "benchmark").distinct()
+    bench = bench_grams.select(F.split("ngram", " ").alias("_w"), "benchmark")
+    return _contaminated(corpus, text, bench, n, max_broadcast_rows)
 
 
 def contamination_hits(
@@ -125,7 +149,8 @@ def decontaminate(
     A row is judged by its text alone, whatever its ``key``; a null text has no n-gram.
     """
     names = list(benchmarks)
-    hits = contaminated_texts(corpus, text, benchmark_ngrams(benchmarks, n), n, max_broadcast_rows)
+    words = [df.select(split_words(col, lower=True).alias("_w"), F.lit(nm).alias("benchmark")) for nm, (df, col) in benchmarks.items()]
+    hits = _contaminated(corpus, text, reduce(DataFrame.unionByName, words), n, max_broadcast_rows)
     flags = hits.groupBy("_t").agg(
         *[F.max(F.col("benchmark") == F.lit(nm)).alias(FLAG_PREFIX + nm) for nm in names]
     )
