@@ -33,12 +33,20 @@ def get_rewards(names: list[str], **params) -> list[Callable[..., Column]]:
     return [reg[n] for n in names]
 
 
-def python_reward(fn: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[..., Column]:
+def python_reward(fn: Callable[[pd.Series, pd.Series], pd.Series], rows: int = 256) -> Callable[..., Column]:
     """Wrap a vectorised pandas function ``(completions, solutions) -> rewards`` as a reward.
 
+    ``fn`` gets up to ``rows`` rows at once, numbered from 0, whatever the size of Spark's batches.
     Missing rewards are NaN/None in pandas and become SQL NULL.
     """
-    udf = F.pandas_udf(lambda c, s: fn(c, s).astype("float64"), "double")
+
+    def in_slices(c: pd.Series, s: pd.Series) -> pd.Series:
+        # Lists of words and the like, which ``fn`` makes of every text, are held for one slice at a time.
+        cuts = range(0, len(c), rows) or [0]
+        parts = [fn(c.iloc[i : i + rows].reset_index(drop=True), s.iloc[i : i + rows].reset_index(drop=True)) for i in cuts]
+        return pd.concat([p.astype("float64") for p in parts], ignore_index=True)
+
+    udf = F.pandas_udf(in_slices, "double")
 
     def reward(completion, solution=None, **kw):
         sol = solution if solution is not None else F.lit(None).cast("string")
