@@ -55,7 +55,9 @@ def word_ngrams(words: Column | str, n: int) -> Column:
     if isinstance(words, str):
         w = F.col(words)
         size = F.size(w)
-        grams = F.transform(F.sequence(F.lit(1), size - F.lit(n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        first = F.slice(w, 1, F.greatest(size - F.lit(n - 1), F.lit(0)))
+        # The words of a gram are named one by one: no array is copied for each place.
+        grams = F.transform(first, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)]))
         return F.when(size >= n, grams).otherwise(empty)
     size = F.size(words)
     slices = [F.slice(words, i + 1, F.greatest(size - F.lit(n - 1), F.lit(0))).alias(f"w{i}") for i in range(n)]
