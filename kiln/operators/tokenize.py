@@ -2,11 +2,12 @@
 
 T1: whitespace words, ids = 0-based dense rank of the word in a vocabulary
 built from the corpus itself (an exact distributed row number). Rows are
-dictionary-encoded by blocks: a block is a run of rows of bounded text size, the
-distinct words of each block get their ids by one join with the vocabulary (very
-common words, which stand in every block, by a broadcast of their own), and each
-block's rows look their words up in their block's dictionary. No row per token is
-shuffled, and rows are matched by place, so null and repeated keys keep their ids.
+dictionary-encoded by blocks: a block is a run of rows of bounded text size, whose
+texts become the places of their words in the block's list of distinct words. These
+lists get their ids by one join with the vocabulary (very common words, which stand
+in every block, by a broadcast of their own), and each block's places are then
+replaced by the ids of its list. Texts are split once, no row per token is shuffled,
+and rows are matched by place, so null and repeated keys keep their ids.
 
 T7: "concatenate and cut": per shard, documents are laid end to end in id
 order and cut into blocks of ``max_length`` tokens. Each document's start
@@ -16,6 +17,8 @@ yields one slice for each block it touches.
 
 from __future__ import annotations
 
+from array import array
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -24,9 +27,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from ..functions.text import split_words
 from ..session import checkpoint_dir
 from .ranking import global_row_number
 from .sizing import broadcast_if_small, join_on_nullable
@@ -84,6 +86,54 @@ def ids_of_words(pairs: DataFrame, vocab: DataFrame, max_broadcast_rows: int | N
     return often.unionByName(rest)
 
 
+def encoded_blocks(df: DataFrame, text: str, keep: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Texts as numbers within their block, written once: ``keep``, ``_block``, ``_local`` and ``_words``.
+
+    Blocks are those of :func:`with_blocks`. A row has in ``_local`` the places of
+    its words among the distinct words of its block, which stand in ``_words`` of one
+    further row for each block (its other columns are null).
+    """
+    at, kept = df.columns.index(text), [df.columns.index(c) for c in keep]
+    places, strings = pa.list_(pa.int32()), pa.list_(pa.string())
+
+    def numbering():  # gives each new key the next number
+        number = defaultdict()
+        number.default_factory = number.__len__
+        return number
+
+    def run(batches):
+        block, held, number, types = TaskContext.get().partitionId() << 33, 0, numbering(), []
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(at)), 0).to_pylist()
+            blocks, ends, flat, ended = np.empty(b.num_rows, np.int64), np.zeros(b.num_rows + 1, np.int32), array("i"), []
+            for i, (n, t) in enumerate(zip(sizes, b.column(at).to_pylist())):
+                if held and held + n > block_bytes:
+                    ended.append((block, list(number)))
+                    block, held, number = block + 1, 0, numbering()
+                held += n + 1
+                blocks[i] = block
+                if t:
+                    flat.extend(map(number.__getitem__, t.split()))
+                ends[i + 1] = len(flat)
+            local = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+            own = [b.column(i) for i in kept]
+            types = [c.type for c in own]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(blocks), local, pa.nulls(b.num_rows, strings)], names=names)
+            yield from (listed(types, *e) for e in ended)
+        if held:
+            yield listed(types, block, list(number))
+
+    def listed(types, block, words):
+        one = [*[pa.nulls(1, t) for t in types], pa.array([block]), pa.nulls(1, places), pa.array([words], strings)]
+        return pa.RecordBatch.from_arrays(one, names=names)
+
+    names = [*keep, _BLOCK, "_local", "_words"]
+    schema = StructType([StructField(c, df.schema[c].dataType) for c in keep])
+    schema = schema.add(_BLOCK, LongType()).add("_local", ArrayType(IntegerType())).add("_words", ArrayType(StringType()))
+    checkpoint_dir(df.sparkSession)
+    return df.mapInArrow(run, schema).checkpoint(eager=True)
+
+
 def whitespace_vocabulary_ids(
     df: DataFrame,
     key: str,
@@ -91,30 +141,36 @@ def whitespace_vocabulary_ids(
     vocab: DataFrame | None = None,
     unknown_id: int | None = None,
     max_broadcast_rows: int | None = None,
+    keep: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Return ``(df + input_ids, vocab)``; ids follow the word order of each text.
 
     Every row gets its own ids, whatever its ``key``; a null or empty text has
     none. A word outside a given vocabulary gets ``unknown_id``; without one it is
-    an error.
+    an error. ``keep`` names the columns of ``df`` that are wanted (all, if unset):
+    without the text, only numbers are written and shuffled.
     """
-    rows = with_blocks(df, text)
-    words = rows.select(_BLOCK, F.explode(F.array_distinct(split_words(text, lower=False))).alias("word")).distinct()
-    words = words.checkpoint(eager=True)
+    kept = df.columns if keep is None else list(keep)
+    coded = encoded_blocks(df, text, kept)
+    words = coded.filter(F.col("_words").isNotNull()).select(_BLOCK, F.posexplode("_words").alias("_at", "word"))
     if vocab is None:
         vocab = vocabulary(words)
     unknown = F.lit(unknown_id) if unknown_id is not None else F.raise_error(F.lit("word outside the vocabulary")).cast("int")
     known = ids_of_words(words, vocab, max_broadcast_rows)
-    known = known.select(F.col(_BLOCK).alias("_of"), "word", F.coalesce("token_id", unknown).alias("token_id"))
-    kept, at = [f.name for f in df.schema.fields], df.columns.index(text)
+    known = known.select(F.col(_BLOCK).alias("_of"), "_at", F.coalesce("token_id", unknown).alias("token_id"))
 
     def look_up(block: pa.Table, ids: pa.Table) -> pa.Table:
-        number = dict(zip(ids.column(1).to_pylist(), ids.column(2).to_pylist()))
-        found = [[number[w] for w in t.split()] if t else [] for t in block.column(at).to_pylist()]
-        out = [block.column(i) for i in range(len(kept))]
-        return pa.Table.from_arrays([*out, pa.array(found, pa.list_(pa.int32()))], names=[*kept, "input_ids"])
-
-    schema = StructType([*df.schema.fields]).add("input_ids", ArrayType(IntegerType()))
+        number = np.zeros(ids.num_rows, np.int32)
+        number[ids.column("_at").to_numpy()] = ids.column("token_id").to_numpy()
+        local = block.column("_local").combine_chunks()
+        ends = np.zeros(len(local) + 1, np.int32)
+        np.cumsum(pc.list_value_length(local).to_numpy(zero_copy_only=False), out=ends[1:])
+        found = number[pc.list_flatten(local).to_numpy(zero_copy_only=False)]
+        out = pa.ListArray.from_arrays(pa.array(ends), pa.array(found, pa.int32()))
+        return pa.Table.from_arrays([*[block.column(c) for c in kept], out], names=[*kept, "input_ids"])
+
+    schema = StructType([df.schema[c] for c in kept]).add("input_ids", ArrayType(IntegerType()))
+    rows = coded.filter(F.col("_words").isNull()).drop("_words")
     return rows.groupBy(_BLOCK).cogroup(known.groupBy("_of")).applyInArrow(look_up, schema), vocab
 
 

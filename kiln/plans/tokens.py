@@ -31,8 +31,7 @@ ids AS (SELECT d.doc_id, d.source, coalesce(t.input_ids, []) AS input_ids FROM d
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
-    out, _ = whitespace_vocabulary_ids(d, "doc_id", "text")
-    return out.select("doc_id", "source", "input_ids")
+    return whitespace_vocabulary_ids(d, "doc_id", "text", keep=["doc_id", "source"])[0]
 
 
 @query("token_ids_vocab", ids=("T1", "X5"), sql=f"WITH {_IDS_CTE.strip()} SELECT doc_id, len(input_ids) AS n_tokens, input_ids FROM ids")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kiln.functions import hooks, text
-from kiln.operators import decontam
+from kiln.operators import decontam, tokenize
 from kiln.plans import catalog
 from kiln.plans.registry import REGISTRY
 
