@@ -10,6 +10,7 @@ leave the array. Repeated chunks cost one dictionary access.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from functools import lru_cache
@@ -27,9 +28,9 @@ from .common import query, read
 from .flat_memo import FlatMemo
 
 #: Bytes of chunks and ids a worker remembers; beyond that it starts anew (a matter of memory, not of results).
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 32 << 20
 #: Bytes of text, and ids, that a worker turns at a time; a longer text is cut at blanks.
-SLICE_BYTES, SLICE_IDS = 1 << 20, 1 << 19
+SLICE_BYTES, SLICE_IDS = 1 << 19, 1 << 18
 
 _NONE = np.iinfo(np.int64).max
 
@@ -175,7 +176,8 @@ class ChunkEncoder:
         if self.memo.held > MEMO_BYTES:
             self.memo.clear()
         cut = [[c for c in (t or "").replace("\n", " ").split(" ") if c] for t in texts]
-        new = set().union(*cut) - self.memo.number.keys()
+        known = self.memo.number.__contains__  # asked chunk by chunk: a set less the memo's keys walks through the whole memo
+        new = set(itertools.filterfalse(known, set().union(*cut)))
         odd = self.odd(new)
         for c in odd:
             self.learn_odd(c)

@@ -57,3 +57,11 @@ def test_chat_query_judges_the_order_of_roles(spark, tmp_path):
             bad = next((i for i, s in enumerate(zip(walk, walk[1:])) if s not in steps), None)
             bad = len(walk) - 1 if bad is None and walk[-1] != "assistant" else bad
             assert (r["valid"], r["first_bad_turn"]) == (bad is None, bad)
+
+
+def test_pipeline_encodes_and_decodes_in_two_stages(spark):
+    """One Python worker a task: the ids are written before they are decoded."""
+    docs = spark.createDataFrame([(1, "s", "two words"), (2, None, None)], "doc_id long, source string, text string")
+    out = P.tokenize(spark, docs, SF)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["doc_id"], r["n_tokens"] > 0) for r in out.orderBy("doc_id").collect()] == [(1, True), (2, False)]
