@@ -14,6 +14,7 @@ then only the frames that hold the documents asked for.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -72,7 +73,8 @@ class ChunkedTokenizer:
         """Remember chunks, encoded in lots that a newline separates."""
         for i in range(0, len(chunks), LOT):
             lot = chunks[i : i + LOT]
-            ids = np.array(self.tok.encode("\n".join([before + c.removeprefix("\n") for c in lot]), add_special_tokens=False).ids, dtype="<u4")
+            text = "\n".join([before + c.removeprefix("\n") for c in lot])
+            ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             data = ids.tobytes()
             ends = np.flatnonzero(ids == self.newline).tolist()
             self.memo.update(
@@ -85,7 +87,8 @@ class ChunkedTokenizer:
         # A chunk begins with a newline or, unwritten, with a blank; the first one gets a newline to be dropped.
         plain = [t and not any(s in t for s in self.special) for t in texts]
         cut = [("\n" + t).replace("\n", " \n").split(" ")[1:] if p else None for t, p in zip(texts, plain)]
-        new = set().union(*[c for c in cut if c]) - self.memo.keys()
+        known = self.memo.__contains__  # asked chunk by chunk: a set less the memo's keys walks through the whole memo
+        new = set(itertools.filterfalse(known, set().union(*[c for c in cut if c])))
         odd = [c for c in new if self.odd(c)]
         self.memo.update(dict.fromkeys(odd))
         new.difference_update(odd)

@@ -462,3 +462,27 @@ def test_classifier_cutoff_is_the_out_of_sample_quantile(spark):
         assert r["cutoff"] == pytest.approx(math.exp(cutoff), rel=2e-3) and r["kept"] == (r["perplexity"] <= r["cutoff"])
     assert all(got[i]["kept"] for i in range(24)) and not any(got[i]["kept"] for i in range(24, 34))
     assert any(want[i] <= high(want[:24]) + math.log(1.5) for i in range(24, 34))  # 1.5 times the quantile in sample keeps these
+
+
+class UnwalkedDict(dict):
+    """Counts the times all its keys were taken."""
+
+    walks = 0
+
+    def keys(self):
+        self.walks += 1
+        return super().keys()
+
+
+def test_new_chunks_without_walking_the_memo():
+    plain = framed.ChunkedTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.memo = memo = UnwalkedDict()
+    texts = ["one two\nthree", "two  three four", None, "", "one\n\nfive two"]
+    first = plain.encode(texts)
+    assert first == plain.encode(texts) and memo and memo.walks == 0
+    assert first == [b"" if not t else plain.raw([t])[0] for t in texts]
+    merged = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    merged.memo.number = number = UnwalkedDict()
+    ids, at = merged.encode(texts)
+    again, at2 = merged.encode(texts)
+    assert number and number.walks == 0 and ids.tolist() == again.tolist() and at.tolist() == at2.tolist()
