@@ -29,6 +29,8 @@ ORDER = 5
 PAD = "\x02"
 #: Model rows (n-grams and contexts) of one shard; the table is cut into as many shards as it needs.
 SHARD_ROWS = 2_000_000
+#: Rows of a partition of the model's tables at least: fewer files than shuffle partitions where the tables are small.
+PART_ROWS = 100_000
 QUANTILE = 0.99
 FOLDS = 2
 _SLICE = 256
@@ -87,12 +89,17 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """``n, gram, logp`` of all orders and, as ``n = -len``, ``logp`` = log back-off weight of contexts."""
-    tables = {ORDER: saved(counts)}
+    counts = saved(counts)
+    rows = {ORDER: counts.count()}
+    few = {ORDER: -(-rows[ORDER] // PART_ROWS) or 1}
+    tables = {ORDER: counts.coalesce(few[ORDER])}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: how many characters stand before
-        tables[n] = saved(
-            tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
-        )
-    vocabulary = tables[1].count() + 1
+        shorter = tables[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+        tables[n] = saved(shorter.coalesce(few[n + 1]))
+        rows[n] = tables[n].count()
+        few[n] = -(-rows[n] // PART_ROWS) or 1
+        tables[n] = tables[n].coalesce(few[n])
+    vocabulary = rows[1] + 1
     parts, lower = [], None
     for n in range(1, ORDER + 1):
         t = tables[n]
@@ -104,13 +111,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         d3 = bound(3 - 4 * y * n4 / n3 if n3 else 1.5, 3)
         off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         t = t.select("gram", "c", off.alias("off"), F.substring("gram", 1, n - 1).alias("ctx"))
-        ctx = saved(t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma")))
+        ctx = t.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("gamma"))
+        ctx = saved(ctx.coalesce(few[n]))
         t = t.join(ctx.hint("merge"), "ctx")  # both sides grow with the input: never broadcast
         if lower is None:
             t = t.withColumn("low", F.lit(1.0 / vocabulary))
         else:
             t = t.join(lower.hint("merge"), F.substring(F.col("gram"), 2, n - 1) == F.col("low_gram"))
-        own = saved(t.select("gram", ((F.col("c") - F.col("off")) / F.col("total") + F.col("gamma") * F.col("low")).alias("p")))
+        p = (F.col("c") - F.col("off")) / F.col("total") + F.col("gamma") * F.col("low")
+        own = saved(t.select("gram", p.alias("p")).coalesce(few[n]))
         parts.append(own.select(F.lit(n).alias("n"), "gram", F.log("p").alias("logp")))
         parts.append(ctx.select(F.lit(1 - n).alias("n"), F.col("ctx").alias("gram"), F.log("gamma").alias("logp")))
         lower = own.select(F.col("gram").alias("low_gram"), F.col("p").alias("low"))
@@ -118,7 +127,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.union(p)
     unknown = counts.sparkSession.createDataFrame([(0, PAD, -float(np.log(vocabulary)))], "n int, gram string, logp double")
-    return out.unionByName(unknown)
+    return out.unionByName(unknown.coalesce(1))
 
 
 def _pair_shard(before2: np.ndarray, before1: np.ndarray, shards: int) -> np.ndarray:
@@ -297,7 +306,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     trusted texts fall into one, as a single one must, their cutoff is in sample.
     ``doc_id`` is an integer; repeated rows are judged each; null ids are never trusted.
     """
-    ids = labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct()
+    ids = saved(labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id").distinct())
     trusted = docs.join(F.broadcast(ids) if _small(ids) else ids, "doc_id", "left_semi")
     scored = saved(score_documents(docs, saved(kneser_ney(count_grams(trusted)))))
     cutoffs = saved(language_cutoffs(_out_of_sample(trusted, scored, ids)))

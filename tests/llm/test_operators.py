@@ -486,3 +486,21 @@ def test_new_chunks_without_walking_the_memo():
     ids, at = merged.encode(texts)
     again, at2 = merged.encode(texts)
     assert number and number.walks == 0 and ids.tolist() == again.tolist() and at.tolist() == at2.tolist()
+
+
+def test_perplexity_model_has_few_partitions(spark, monkeypatch):
+    """As many partitions as its rows need, however many a shuffle has; the rows are the same."""
+    docs = spark.createDataFrame([(i, f"some text of number {i} and {i * i}") for i in range(30)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = perplexity.count_grams(docs)
+        model = perplexity.kneser_ney(counts)
+        assert model.rdd.getNumPartitions() == 2 * perplexity.ORDER + 1
+        monkeypatch.setattr(perplexity, "PART_ROWS", 5)
+        many = perplexity.kneser_ney(counts)
+        assert many.rdd.getNumPartitions() > 2 * perplexity.ORDER + 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    rounded = [sorted((r["n"], r["gram"], round(r["logp"], 9)) for r in m.collect()) for m in (model, many)]
+    assert rounded[0] == rounded[1]
