@@ -123,9 +123,9 @@ def stage2_weight(step: Column, total_steps: Column, warmup: float, valid: Colum
 
 # A19
 def shifted_token_hits(pred_ids: Column | str, labels: Column | str) -> tuple[Column, Column]:
-    """(correct, total) with logits shifted by one: pred[i] vs label[i+1], label ≠ −100."""
+    """(correct, total) with logits shifted by one: pred[i] vs label[i+1], label ≠ −100; (0, 0) without tokens."""
     p, lab = _c(pred_ids), _c(labels)
-    n = F.least(F.size(p), F.size(lab)) - F.lit(1)
+    n = F.greatest(F.least(F.size(p), F.size(lab)) - F.lit(1), F.lit(0))
     pairs = F.arrays_zip(F.slice(p, 1, n).alias("p"), F.slice(lab, 2, n).alias("l"))
     kept = F.filter(pairs, lambda z: z["l"] != IGNORE_INDEX)
     correct = F.size(F.filter(kept, lambda z: z["p"] == z["l"]))

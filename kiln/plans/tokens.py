@@ -166,7 +166,8 @@ def q_token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     correct, total = T.shifted_token_hits(pred, labels)
     s = t.select(correct.alias("c"), total.alias("t")).agg(F.sum("c").alias("correct"), F.sum("t").alias("total"))
-    return s.select("correct", "total", F.round(F.col("correct") / F.col("total"), DEC).alias("token_accuracy"))
+    ratio = F.when(F.col("total") == 0, F.lit(float("nan"))).otherwise(F.col("correct") / F.col("total"))  # 0 / 0 as in the SQL
+    return s.select("correct", "total", F.round(ratio, DEC).alias("token_accuracy"))
 
 
 _PACK_SQL = f"""
